@@ -84,6 +84,11 @@ class Windows:
         with np.errstate(over="ignore"):
             return mix((self.total[at + width] - self.total[at]) * self.down[at])
 
+    def hashes_to(self, at: np.ndarray, widths: np.ndarray) -> np.ndarray:
+        """As :meth:`hashes`, with a width for each position."""
+        with np.errstate(over="ignore"):
+            return mix((self.total[at + widths] - self.total[at]) * self.down[at])
+
     def positions(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of all windows that lie inside one text, and the number of windows of each text."""
         counts = np.maximum(self.lengths - width + 1, 0)
