@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe, mixing, neardup, overlap, quota
+from veilspark.llm import bpe, lookalike, mixing, neardup, overlap, quota
 from veilspark.session import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: overlap.found(read_table(s, d, "holdout", "id", "text"), read_table(s, d, "es_1", "id", "text")),
         "p1_report": lambda s, d: overlap.report(read_table(s, d, "holdout", "id", "text", "split", "source"), read_table(s, d, "es_1", "id", "text")),
+        "p2_found": lambda s, d: lookalike.found(read_table(s, d, "holdout", "id", "text", "expected")),
+        "p2_texts": lambda s, d: lookalike.consistent(read_table(s, d, "holdout", "id", "text", "expected")),
         "p3_found": lambda s, d: quota.out_of_reach(read_table(s, d, "es_1"), read_table(s, d, "coverage_targets")),
         "p3_counts": lambda s, d: quota.counts(read_table(s, d, "es_1"), read_table(s, d, "coverage_targets")),
         "p3_sample": lambda s, d: quota.sample(read_table(s, d, "es_1"), read_table(s, d, "coverage_targets")),
