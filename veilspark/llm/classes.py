@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.forms import SHORTEST, WIDTH, Windows, blocks, fingerprint, plain
+from veilspark.llm.forms import SHORTEST, WIDTH, blocks, fingerprint, plain
 
 
 def plain_block(batch: pa.RecordBatch, shortest: int = SHORTEST) -> tuple[np.ndarray, list[str]]:
@@ -50,20 +50,20 @@ def texts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).mapInArrow(run, "cls bigint, plain string")
 
 
-def likenesses(left: list[str], right: list[str], width: int = WIDTH) -> np.ndarray:
-    """Exact likeness of each pair of plain forms: windows of a block are hashed at once and told apart by text number."""
-    n = len(left)
-    w = Windows([*left, *right])
-    at, counts = w.positions(width)
-    h = w.hashes(at, width)
-    pair = np.repeat(np.tile(np.arange(n), 2), counts).astype(np.uint64)
-    side = np.repeat(np.repeat(np.array([0, 1], np.uint64), n), counts)
-    # pair number in the upper bits keeps pairs apart; 43 bits of hash within a pair of texts, a bit for the side
-    key = (pair << np.uint64(44)) | ((h >> np.uint64(21)) << np.uint64(1)) | side
-    key = np.unique(key)
-    both = np.bincount((key[1:][(key[1:] >> np.uint64(1)) == (key[:-1] >> np.uint64(1))] >> np.uint64(44)).astype(np.int64), minlength=n)
-    every = np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=n)
-    return both / np.maximum(1, every - both)
+def likenesses(left: list[str], right: list[str], width: int = WIDTH, least: float = 0.0) -> np.ndarray:
+    """Exact likeness of each pair of plain forms; 0 where one set against the other's length keeps it under ``least``."""
+    out = np.zeros(len(left))
+    for k, (x, y) in enumerate(zip(left, right, strict=True)):
+        if x == y:
+            out[k] = 1.0
+            continue
+        a = {x[i : i + width] for i in range(len(x) - width + 1)}
+        if len(y) - width + 1 < least * len(a):
+            continue
+        b = {y[i : i + width] for i in range(len(y) - width + 1)}
+        both = len(a & b)
+        out[k] = both / max(1, len(a) + len(b) - both)
+    return out
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -90,7 +90,7 @@ def _scored(halves: DataFrame, least: float) -> DataFrame:
         for b in batches:
             for cut in range(0, b.num_rows, 2000):
                 part = b.slice(cut, 2000)
-                score = likenesses(part.column("x").to_pylist(), part.column("y").to_pylist())
+                score = likenesses(part.column("x").to_pylist(), part.column("y").to_pylist(), least=least)
                 keep = np.nonzero(score >= least - 1e-12)[0]
                 yield pa.RecordBatch.from_arrays([part.column("a").take(pa.array(keep)), part.column("b").take(pa.array(keep)), pa.array(score[keep])], ["a", "b", "likeness"])
 
