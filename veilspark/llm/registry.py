@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe, lookalike, mixing, neardup, overlap, personal, quota
+from veilspark.llm import bpe, lookalike, mixing, neardup, overlap, personal, quota, sentences
 from veilspark.session import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
         "p7_found": lambda s, d: mixing.out_of_reach(read_table(s, d, "documents"), read_table(s, d, "mix_weights")),
         "p7_mixture": lambda s, d: mixing.mixture(read_table(s, d, "documents"), read_table(s, d, "mix_weights")),
         "p7_shares": lambda s, d: mixing.shares(read_table(s, d, "documents"), read_table(s, d, "mix_weights")),
+        "p8_found": lambda s, d: sentences.found(read_table(s, d, "documents", "doc_id", "text")),
     }
 
 
