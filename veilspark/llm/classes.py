@@ -71,16 +71,20 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float)
 
     The class tables cross the network once; after that only texts that have a candidate partner travel.
     """
-    first = pairs.select(F.col("a").alias("cls"), "a", "b").join(left, "cls").groupBy("a", "b").agg(F.max("plain").alias("x"), F.lit(None).cast("string").alias("y"))
-    second = pairs.select(F.col("b").alias("cls"), "a", "b").join(right, "cls").groupBy("a", "b").agg(F.lit(None).cast("string").alias("x"), F.max("plain").alias("y"))
-    return _scored(first.unionByName(second), least)
+    sides = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    return _scored(_halves(pairs, sides, ["cls", "side"]), least)
 
 
 def verified_within(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
     """As :func:`verified`, for pairs of one class table."""
+    return _scored(_halves(pairs, table, ["cls"]), least)
+
+
+def _halves(pairs: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """``a, b, x, y``: two rows a pair, each with the text of one end. The candidates are computed and travel once."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.lit(0).alias("side")), F.struct(F.col("b").alias("cls"), F.lit(1).alias("side")))).alias("e"), "a", "b")
-    both = ends.select("e.cls", "e.side", "a", "b").join(table, "cls")
-    return _scored(both.select("a", "b", F.when(F.col("side") == 0, F.col("plain")).alias("x"), F.when(F.col("side") == 1, F.col("plain")).alias("y")), least)
+    both = ends.select("e.cls", "e.side", "a", "b").join(table, on)
+    return both.select("a", "b", F.when(F.col("side") == 0, F.col("plain")).alias("x"), F.when(F.col("side") == 1, F.col("plain")).alias("y"))
 
 
 def _scored(halves: DataFrame, least: float) -> DataFrame:
