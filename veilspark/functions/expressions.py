@@ -68,13 +68,18 @@ def offsets(text: Column | str, pattern: str) -> Column:
     Positions are summed from the pieces between matches, as no built-in returns them.
     """
     t = _col(text)
-    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    pieces = F.split(t, pattern, -1)
-    def add(acc: Column, k: Column) -> Column:
-        start = acc["at"] + F.length(F.element_at(pieces, k))
-        value = F.element_at(found, k)
-        one = F.struct(start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value"))
-        return F.struct((start + F.length(value)).alias("at"), F.array_append(acc["out"], one).alias("out"))
-
-    zero = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, add)["out"]).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def sums(x: Column) -> Column:
+        def add(acc: Column, k: Column) -> Column:
+            start = acc["at"] + F.length(F.element_at(x["pieces"], k))
+            value = F.element_at(x["found"], k)
+            one = F.struct(start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value"))
+            return F.struct((start + F.length(value)).alias("at"), F.array_append(acc["out"], one).alias("out"))
+
+        zero = F.struct(F.lit(0).cast("int").alias("at"), empty.alias("out"))
+        return F.when(F.size(x["found"]) > 0, F.aggregate(F.sequence(F.lit(1), F.size(x["found"])), zero, add)["out"]).otherwise(empty)
+
+    # bound as a lambda's variable, so that the text is matched once and not once a match
+    both = F.array(F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found"), F.split(t, pattern, -1).alias("pieces")))
+    return F.flatten(F.transform(both, sums))
