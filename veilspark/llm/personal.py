@@ -177,12 +177,16 @@ STRONG = {
 _HAN, _KANA, _HAN_ONLY, _HANGUL = (re.compile(f"[{r}]") for r in ("\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3", "\u3040-\u30ff", "\u4e00-\u9fff", "\uac00-\ud7a3"))
 
 
+#: Words of labels that Japanese alone writes this way, for texts without kana.
+_JA_WORDS = re.compile("名義|旅券番号|会員番号|口座|氏名|様宛|番地|丁目")
+
+
 def language(form: str) -> str:
     """The language whose cues fit: by script, then by commonest words. Labels of rows are not relied upon."""
     if not form.isascii() and _HAN.search(form):
         kana, han, hangul = (len(r.findall(form)) for r in (_KANA, _HAN_ONLY, _HANGUL))
         if (kana + han + hangul) * 6 > len(form):
-            return "ko" if hangul > kana + han else "ja" if kana * 8 > han else "zh"
+            return "ko" if hangul > kana + han else "ja" if kana * 8 > han or not kana and _JA_WORDS.search(form) else "zh"
     n = dict.fromkeys(STOP, 0)
     for w in form.lower().split():
         for one, words in _STOP_OF.get(w, ()):
