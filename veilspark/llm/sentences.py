@@ -38,7 +38,7 @@ _BLANK = re.compile(r"(?:\r\n|\r(?!\n)|(?<!\r)\n)[^\S\r\n]*(?:\r\n?|\n)\s*")
 _LINE = re.compile(r"\r\n?|\n")
 #: Line starts that always begin a unit: list marker, bracketed or plain clock time, date stamp, label or speaker.
 _STARTS = re.compile(
-    r"\s*(?:[-*•·‣◦▪–—+]\s+|\(?(?:\d{1,3}|[a-zA-Z])[.)]\s+|\[\d{1,2}:\d{2}(?::\d{2})?\]|\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\d{1,2}:\d{2}(?::\d{2})? |[#>]+\s|[^\W\d_][\w .'’/-]{0,28}[:：](?!//)(?:\s|$)|[一-鿿가-힣぀-ヿ][\w ]{0,10}[:：])"
+    r"\s*(?:[-*•·‣◦▪–—+]\s+|\(?(?:\d{1,3}|[a-zA-Z])[.)]\s+|\[\d{1,2}:\d{2}(?::\d{2})?\]|\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\d{1,2}:\d{2}(?::\d{2})? |[#>]+\s|[^\W\d_a-zß-öø-ÿ][\w '’/-]{0,28}\.?[:：](?!//)(?:\s|$)|[一-鿿가-힣぀-ヿ][\w ]{0,10}[:：])"
 )
 _MARK = re.compile(r"\s*(?:[-*•·‣◦▪–—+]\s+|\(?(?:\d{1,3}|[a-zA-Z])[.)]\s+)")
 _CJK = re.compile("[぀-ヿ一-鿿가-힣]")
@@ -175,7 +175,10 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
             # a full line breaks in the middle of a sentence; a short one without an end mark is a heading, greeting or entry
             full = len(line) >= (HEADING if not text[:a].strip() else FULL) // (2 if _CJK.match(line[-1:]) else 1)
             small = new[0].islower() and line[-1:] not in "!?:"
-            if not line or _STARTS.match(text, c, d) or not small and (line[-1] in ".!?。！？｡:：…" or not full):
+            open_ = bool(line) and line[-1] not in ".!?。！？｡:：…"
+            # what looks like a marker or label after a full line is one only among others of its kind
+            marked = _STARTS.match(text, c, d) and (not (full and open_) or _STARTS.match(text, a, b))
+            if not line or marked or not small and not (open_ and full):
                 yield first, b
                 first = c
         yield first, end
