@@ -234,3 +234,27 @@ def test_generation_is_deterministic(spark):
     cards = [G.Values(random.Random(k), "en").card() for k in range(20)]
     assert all(map(V.luhn, cards)) and all(V.is_nif_es(G.Values(random.Random(k), "es").gov_id()[0]) for k in range(20))
     assert G.names_seen(["Ann", "田中", "X"], "Anna met 田中さん") == ["田中"] and json.dumps(p, default=str)
+
+
+def test_training_windows_and_groups(spark):
+    df = spark.createDataFrame([(k, " ".join(["Jane"] * n), [(0, 4, "PERSON")]) for k, n in enumerate((1, 3, 20, 21, 60))], "doc_id int, text string, spans array<struct<start:int,end:int,kind:string>>")
+    w = tokens.labelled_windows(df, 12, 3)
+    rows = w.where("doc_id = 2").orderBy("window_no").collect()
+    assert rows[0].tags[:3] == [-100, BIO.index("B-PERSON"), 0] and all(len(r.tags) == len(r.tokens) for r in rows)
+    assert len(tokens.truncated(tokens.tokens(df), 12).where("doc_id = 4").first().tokens) == 12
+    groups = tokens.length_groups(w, size=4, most_tokens=48, parts=2).collect()
+    assert len(groups) == 5
+    sizes = {r.doc_id: (r["count"], r.width) for r in w.groupBy("doc_id").agg(F.count("*").alias("count"), F.max(F.size("tokens")).alias("width")).collect()}
+    for key in {(g.part, g.batch) for g in groups}:
+        inside = [sizes[g.doc_id] for g in groups if (g.part, g.batch) == key]
+        assert len(inside) == 1 or sum(n for n, _ in inside) <= 4 and sum(n for n, _ in inside) * max(x for _, x in inside) <= 48
+
+
+def test_coverage_messages(spark):
+    off = spark.createDataFrame([("chat", 0.5, 0.1)], "value string, target double, share double")
+    assert C.warnings("train", "formats", off).first()[0] == "train formats chat: actual 0.1000, target 0.5000"
+    low = C.below_minimum("train", "span", spark.createDataFrame([("PERSON", 10.0)], "value string, per_1000 double"), spark.createDataFrame([("PERSON", 5.0), ("EMAIL", 1.0)], "value string, least double"))
+    assert [r[0] for r in low.collect()] == ["train span EMAIL: 0.0 per 1000 documents, below the minimum 1.0"]
+    assert C.shortfall_line("train", "en", {"cell": "high/long", "target": 3, "own": 1, "borrowed": {"high/short": 1}, "unfilled": 1}) == "train en high/long: 1 of 3 from its own cell, the rest from high/short (1), 1 could not be filled"
+    b = C.briefs({"high": {"health": 2}, "none": {"code_log_or_config": 1}}, "en", ["clinic"], ["email"])
+    assert [x["id"] for x in b] == ["t_en_001", "t_en_002", "t_en_003"] and sum(x["cell"] == "health" for x in b) == 2

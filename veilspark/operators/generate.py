@@ -137,6 +137,25 @@ class Values:
         return f"{self.r.uniform(-45, 60):.5f}, {self.r.uniform(-120, 145):.5f}"
 
 
+def number_variant(r: Random, value: str) -> str:
+    """Now and then a number digit by digit, or with dots for its separators."""
+    n = r.random()
+    return " ".join(c for c in value if not c.isspace()) if n < 0.03 else re.sub(r"[\s-]", ".", value) if n < 0.05 else value
+
+
+def phone_variant(r: Random, lang: str, value: str) -> str:
+    """Now and then full-width digits (ja, zh, ko), or digit by digit."""
+    n = r.random()
+    if lang in CJK and n < 0.06:
+        return "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in value)
+    return " ".join(value.replace(" ", "")) if 0.06 <= n < 0.09 else value
+
+
+def mail_variant(r: Random, value: str) -> str:
+    """Now and then a mail address with its signs spelled out."""
+    return value.replace("@", " [at] ").replace(".", " [dot] ") if r.random() < 0.04 else value
+
+
 def plain_ascii(name: str) -> str:
     return re.sub("[^a-z]", "", "".join(c for c in unicodedata.normalize("NFD", name.replace("ß", "ss")) if not unicodedata.combining(c)).lower())
 
@@ -147,7 +166,7 @@ class Person:
         self.cjk = v.lang in CJK
         self.full = self.surname + self.given if self.cjk else f"{self.given} {self.surname}"
         local = plain_ascii(self.given) + "." + plain_ascii(self.surname)
-        self.email = f"{local if len(local) > 3 else v.pick(['blue.kite', 'north_fox', 'quiet.reed'])}@{v.pick(['postbox', 'mailwell'])}.example"
+        self.email = mail_variant(v.r, f"{local if len(local) > 3 else v.pick(['blue.kite', 'north_fox', 'quiet.reed'])}@{v.pick(['postbox', 'mailwell'])}.example")
 
     def mention(self, v: Values) -> str:
         n = v.r.random()
@@ -184,14 +203,15 @@ class Document:
             elif slot == "P":
                 self.person(who or Person(v))
             elif slot == "N":
-                self.span(*v.gov_id())
+                value, kind = v.gov_id()
+                self.span(number_variant(self.r, value), kind)
             elif slot in "LDK":
                 self.add({"L": lambda: v.pick(v.w["place"]), "D": v.date, "K": v.code}[slot]())
             elif slot == "O":
                 self.span(v.pick(v.w["firm"]), "EMPLOYMENT") if "{J}" in pattern else self.add(v.pick(v.w["firm"]))
             else:
                 kind, make = {
-                    "E": ("EMAIL", lambda: (who or Person(v)).email), "T": ("PHONE", v.phone), "A": ("ADDRESS", v.address), "B": ("DATE_OF_BIRTH", lambda: v.date(True)), "J": ("EMPLOYMENT", lambda: v.pick(v.w["job"])),
+                    "E": ("EMAIL", lambda: (who or Person(v)).email), "T": ("PHONE", lambda: phone_variant(self.r, self.lang, v.phone())), "A": ("ADDRESS", v.address), "B": ("DATE_OF_BIRTH", lambda: v.date(True)), "J": ("EMPLOYMENT", lambda: v.pick(v.w["job"])),
                     "C": ("CREDIT_CARD", v.card), "H": ("PHONE_CORPORATE", v.hotline),
                 }[slot]
                 self.span(make(), kind)

@@ -151,3 +151,47 @@ def resolve(tagged: DataFrame, id_col: str = "doc_id", threshold: float | None =
     kind = tagged.schema[id_col].dataType.simpleString()
     spans = texts.join(per, id_col, "left").select(id_col, "text", "tagged").mapInArrow(run, f"`{id_col}` {kind}, spans array<struct<start:int,end:int,kind:string>>")
     return spans.join(decisive(tagged, id_col), id_col).select(id_col, F.struct("spans", "level", "probabilities", "categories", "windows").alias("tags"))
+
+
+def truncated(tokenised: DataFrame, max_length: int = 512) -> DataFrame:
+    """One window per document: its first ``max_length - 2`` tokens between the special ones."""
+    special = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
+    return tokenised.withColumn("tokens", F.concat(special, F.slice("tokens", 1, max_length - 2), special))
+
+
+def labelled_windows(docs: DataFrame, max_length: int = 512, stride: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, window_no, tokens, tags`` of labelled documents (``text, spans``): windows as at inference, each with its own tags."""
+    w = windows(tokens(docs, id_col, text_col), max_length, stride).join(docs.select(id_col, "spans"), id_col)
+    keyed = w.withColumn("key", F.struct(id_col, "window_no"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [S.bio_tags([(t["start"], t["end"]) for t in ts or ()], [(s["start"], s["end"], s["kind"]) for s in ss or ()]) for ts, ss in zip(b.column("tokens").to_pylist(), b.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("tokens"), pa.array(out, pa.list_(pa.int32()))], ["key", "tokens", "tags"])
+
+    rows = keyed.select("key", "tokens", "spans")
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {kind}, tokens array<struct<start:int,end:int>>, tags array<int>").select("key.*", "tokens", "tags")
+
+
+def length_groups(windowed: DataFrame, size: int = 16, most_tokens: int = 8192, id_col: str = "doc_id", parts: int = 64) -> DataFrame:
+    """``id, part, batch``: documents of like width in batches of at most ``size`` windows and ``most_tokens`` padded tokens.
+
+    Range-partitioned by width, then packed in one pass per part, so that no part sees the whole table.
+    """
+    per = windowed.groupBy(id_col).agg(F.count("*").cast("int").alias("windows"), F.max(F.size("tokens")).cast("int").alias("width"))
+    ranged = per.repartitionByRange(parts, "width", id_col).sortWithinPartitions("width", id_col).withColumn("part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch, filled, wide = 0, 0, 0
+        for b in batches:
+            out = []
+            for n, w in zip(b.column("windows").to_pylist(), b.column("width").to_pylist(), strict=True):
+                if filled and (filled + n > size or (filled + n) * max(wide, w) > most_tokens):
+                    batch, filled, wide = batch + 1, 0, 0
+                filled, wide = filled + n, max(wide, w)
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("part"), pa.array(out, pa.int32())], [id_col, "part", "batch"])
+
+    kind = per.schema[id_col].dataType.simpleString()
+    return ranged.mapInArrow(run, f"`{id_col}` {kind}, part int, batch int")
