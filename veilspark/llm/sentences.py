@@ -126,7 +126,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     # words that go on with a small letter or a digit after their period can't be sentence ends there
     goes_on = F.col("l") / F.greatest(F.lit(1), F.col("p"))
     # and a title is never the last word of a paragraph, as the last word of a sentence is now and then
-    never_last = F.col("e") < 0.005 * F.col("p")
+    never_last = (F.col("e") < 0.005 * F.col("p")) & (F.col("p") >= 3)
     spaced = ~F.col("word").rlike("[\\u3040-\\u30ff\\u4e00-\\u9fff\\uac00-\\ud7a3]")
     abbreviation = spaced & (F.col("p") > 0) & (letters <= 6) & ((score >= ABBREVIATION) & ((goes_on > 0.02) | never_last) | (F.col("word").rlike("^([^.]{1,2}[.])+[^.]{1,3}$")) | ((goes_on >= 0.9) & never_last & (F.col("p") >= 5)) | ((goes_on > 0.2) & (F.col("p") >= 3) & (F.col("w") <= 0.1 * F.col("p"))))
     may_end = F.col("e") >= F.greatest(F.lit(1.0), 0.005 * F.col("p"))
