@@ -118,7 +118,9 @@ def acceptance(rows: DataFrame, levels: DataFrame) -> DataFrame:
     names = rows.where("type = 'person_name'").agg(F.count_if(outcome() == "tp").alias("tp"), F.count_if(outcome() == "fn").alias("fn"))
     e, p = F.col("expected_level"), F.col("predicted_level")
     docs = levels.agg(F.count("*").alias("documents"), F.count_if(e == p).alias("right"), F.count_if((e == "high") & (p != "high")).alias("high"), F.count_if((e != "none") & (p == "none")).alias("personal"))
-    one = names.crossJoin(F.broadcast(docs))  # one row each
+    zero = {c: F.lit(0) for c in ("tp", "fn", "documents", "right", "high", "personal")}
+    both = names.select("tp", "fn", *(zero[c].alias(c) for c in ("documents", "right", "high", "personal"))).unionByName(docs.withColumns({"tp": zero["tp"], "fn": zero["fn"]}))
+    one = both.agg(*(F.sum(c).alias(c) for c in zero))
     recall = F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fn")) >= RECALL
     return one.select(
         "documents", F.round(F.col("right") / F.greatest(F.lit(1), F.col("documents")), 4).alias("sensitivity_accuracy"), recall.alias("person_recall_ok"),
