@@ -45,7 +45,7 @@ class MergeReplay:
         key = a << 20 | b
         found = self.joined.get(key)
         if found is None:
-            if len(self.joined) > 2_000_000:
+            if len(self.joined) > 500_000:  # keeps the memory of a worker bounded
                 self.joined.clear()
             found = self.joined[key] = self.rank.get(self.token[a] + self.token[b], -1)
         return found

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.forms import _format_characters
+from veilspark.session import checkpoint
 
 # Letters of Cyrillic and Greek with the Latin letters they look like.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝкАВСЕНІЈКМОРЅТУХԜԚ", "aeopcyxijshdqwkABCEHIJKMOPSTYXWQ", strict=True))
@@ -129,7 +130,7 @@ def repairs(records: DataFrame) -> DataFrame:
 
     The first proposal that is a word of the corpus is accepted; the word may be written in any case.
     """
-    evidence = _evidence(records)
+    evidence = checkpoint(_evidence(records))  # read three times, made once
     doubtful = evidence.where("spelling IS NOT NULL").distinct()
     proposed = doubtful.select("spelling", "rank", "word", "low").distinct()
     clean = evidence.where("spelling IS NULL").select("low").distinct()
