@@ -73,6 +73,21 @@ def test_p4_long_runs_lose_nothing(spark, monkeypatch):
     assert got == 90 * 89 // 2
 
 
+def test_p4_long_runs_give_all_pairs(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=390))
+
+    def version():
+        text = list(base)
+        for at in rng.sample(range(390), 9):
+            text[at] = rng.choice("0123456789")
+        return "".join(text)
+
+    keys = neardup.keyed(spark.createDataFrame([(version(),) for _ in range(300)], "text string")).cache()
+    whole, cut = ({tuple(r) for r in neardup.candidates(keys, longest=n).collect()} for n in (1000, 16))
+    assert whole == cut and len(whole) > 10_000 and all(a < b for a, b in whole)
+
+
 def test_p1_all_pairs(spark, rows):
     left, right = [r for k, r in enumerate(rows) if k % 2], [r for k, r in enumerate(rows) if k % 2 == 0] + [rows[1]]
     a, b = (spark.createDataFrame([(i, t, 1, "x", "y") for i, t in part], COLUMNS) for part in (left, right))

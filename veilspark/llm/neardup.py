@@ -28,8 +28,7 @@ from veilspark.session import checkpoint, spread
 
 LEAST, HALF, RIGHT, TABLES = 0.6, 3, 2, 10
 AGREE, BITS = 14, 5
-#: Runs of equal keys longer than this are told apart by a further half key before pairs are made. A pair of likeness s meets in
-#: such a run with s**3 times the chance of a short one, in each of the TABLES**2 tables; all shorter runs give all their pairs.
+#: Runs of equal keys longer than this are cut into blocks of this size, and each two blocks are compared in a task of their own.
 LONG_RUN = 1024
 
 
@@ -76,19 +75,17 @@ def keyed(df: DataFrame, half: int = HALF, tables: int = TABLES) -> DataFrame:
     return df.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "left bigint, cls bigint, rights binary")
 
 
-def runs_to_pairs(keys: np.ndarray, finer: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of all pairs with equal keys. A long run is first split by the ``finer`` keys, as far as they go."""
+def runs_to_pairs(keys: np.ndarray, longest: int | None = None, long: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs with equal keys. The rows of runs over ``longest`` are put into ``long`` instead, a run each."""
     rows = np.argsort(keys, kind="stable")
     keys = keys[rows]
     starts = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(keys)))
-    if finer and (sizes > LONG_RUN).any():
-        long = np.repeat(sizes > LONG_RUN, sizes)
-        picked = rows[long]
-        sub = mix(keys[long] ^ (finer[0][picked].astype(np.uint64) + np.uint64(1)) * MIX)
-        for a, b in runs_to_pairs(sub, [f[picked] for f in finer[1:]]):
-            yield picked[a], picked[b]
-        keys, rows = keys[~long], rows[~long]
+    if longest is not None and (sizes > longest).any():
+        over = sizes > longest
+        long += [rows[at : at + n] for at, n in zip(starts[over], sizes[over], strict=True)]
+        short = np.repeat(~over, sizes)
+        keys, rows = keys[short], rows[short]
     step = 1
     alive = np.arange(len(keys))
     while True:
@@ -107,8 +104,12 @@ def agreeing(rights: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum((((apart >> np.uint16(BITS * k)) & mask) == 0).sum(1) for k in range(HALF))
 
 
-def candidates(keys: DataFrame, tables: int = TABLES) -> DataFrame:
-    """Distinct ``a, b`` (a < b) of classes that agree in a left and a right half key."""
+def candidates(keys: DataFrame, tables: int = TABLES, longest: int = LONG_RUN) -> DataFrame:
+    """Distinct ``a, b`` (a < b) of classes that agree in a left and a right half key.
+
+    A run over ``longest`` leaves the task of its left key as block pairs, which cover all of its pairs and are spread over the tasks.
+    """
+    carried = np.dtype([("cls", "<i8"), ("rights", "<u2", (tables,))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, cls, rights = [], [], []
@@ -126,32 +127,69 @@ def candidates(keys: DataFrame, tables: int = TABLES) -> DataFrame:
         same = left[1:] == left[:-1]
         shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])  # a half key of one class alone makes no pair
         left, cls, rights = left[shared], cls[shared], rights[shared]
-        held, some = [], 0
+        found = _Distinct()
         for t in range(tables):
             with np.errstate(over="ignore"):
                 key = mix(left ^ ((rights[:, t] >> np.uint16(BITS * (HALF - RIGHT))).astype(np.uint64) + np.uint64(1 + (t << 16))) * MIX)
-            finer = [rights[:, (t + d) % tables] for d in (1, 2, 3)]
-            for a, b in runs_to_pairs(key, finer):
+            long: list[np.ndarray] = []
+            for a, b in runs_to_pairs(key, longest, long):
                 near = agreeing(rights, a, b) >= AGREE
-                a, b = cls[a[near]], cls[b[near]]
-                held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-                some += len(a)
-                if some > 2_000_000:
-                    done = np.unique(np.concatenate(held), axis=0)
-                    held, some = [done], len(done)
-                    if some > 1_000_000:
-                        yield from _pairs(done)
-                        held, some = [], 0
-        if held:
-            yield from _pairs(np.unique(np.concatenate(held), axis=0))
-
-    return keys.repartition("left").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _pairs(found: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for cut in range(0, len(found), 100_000):
-        part = found[cut : cut + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
+                yield from found.add(cls[a[near]], cls[b[near]])
+            for one in long:
+                rows = np.empty(len(one), carried)
+                rows["cls"], rows["rights"] = cls[one], rights[one]
+                cuts = [rows[at : at + longest].tobytes() for at in range(0, len(rows), longest)]
+                for i, x in enumerate(cuts):
+                    for j in range(i, len(cuts)):
+                        name = mix(key[one[:1]] ^ np.uint64(i << 32 | j)).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array([j - i]), pa.array([x], pa.binary()), pa.array([cuts[j]], pa.binary())], names)
+        yield from found.rest()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Distinct()
+        for batch in batches:
+            unit = batch.column("x").is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(~unit)).select(["a", "b"])
+            for k in np.nonzero(unit)[0].tolist():
+                x, y = (np.frombuffer(batch.column(c)[k].as_py(), carried) for c in ("x", "y"))
+                rows = np.concatenate([x, y])
+                for i in range(len(x)):
+                    # a block against itself: each two of its rows once
+                    b = np.arange(len(x) + (0 if batch.column("b")[k].as_py() else i + 1), len(rows))
+                    b = b[agreeing(rows["rights"], np.full(len(b), i), b) >= AGREE]
+                    for part in found.add(np.full(len(b), rows["cls"][i]), rows["cls"][b]):
+                        yield part.select(["a", "b"])
+        for part in found.rest():
+            yield part.select(["a", "b"])
+
+    names = ["a", "b", "x", "y"]
+    first = keys.repartition("left").mapInArrow(run, "a bigint, b bigint, x binary, y binary")
+    return first.repartition("a", "b").mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+class _Distinct:
+    """Collects pairs of classes and gives them on as distinct as its bounded memory allows."""
+
+    def __init__(self) -> None:
+        self.held: list[np.ndarray] = []
+        self.some = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        self.some += len(a)
+        if self.some > 2_000_000:
+            done = np.unique(np.concatenate(self.held), axis=0)
+            self.held, self.some = [done], len(done)
+            if self.some > 1_000_000:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        found = np.unique(np.concatenate(self.held), axis=0) if self.held else np.zeros((0, 2), np.int64)
+        self.held, self.some = [], 0
+        for cut in range(0, len(found), 100_000):
+            part = found[cut : cut + 100_000]
+            none = pa.nulls(len(part), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), none, none], ["a", "b", "x", "y"])
 
 
 def class_pairs(df: DataFrame, least: float = LEAST) -> DataFrame:
