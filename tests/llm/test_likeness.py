@@ -83,9 +83,22 @@ def test_p4_long_runs_give_all_pairs(spark):
             text[at] = rng.choice("0123456789")
         return "".join(text)
 
-    keys = neardup.keyed(spark.createDataFrame([(version(),) for _ in range(300)], "text string")).cache()
+    keys = neardup.keyed(spark.createDataFrame([(version(),) for _ in range(150)], "text string")).cache()
     whole, cut = ({tuple(r) for r in neardup.candidates(keys, longest=n).collect()} for n in (1000, 16))
-    assert whole == cut and len(whole) > 10_000 and all(a < b for a, b in whole)
+    assert whole == cut and len(whole) > 5_000 and all(a < b for a, b in whole)
+
+
+def test_p4_pairs_at_the_threshold_are_candidates():
+    rng, letters = random.Random(6), "abcdefghijklmnopqrstuvwxyz "
+    left = ["".join(rng.choices(letters, k=390)) for _ in range(1000)]
+    right = ["".join("#" if k in range(10, 390, 20) else c for k, c in enumerate(t)) for t in left]
+    assert all(0.6 <= s < 0.61 for s in classes.likenesses(left, right))
+    lefts, rights = neardup.half_keys(left + right)
+    a = list(range(1000))
+    b = [1000 + k for k in a]
+    enough = neardup.agreeing(rights, a, b) >= neardup.AGREE
+    assert enough.all()
+    assert ((lefts[a] == lefts[b]).any(1) & (rights[a] == rights[b]).any(1)).mean() > 0.96
 
 
 def test_p1_all_pairs(spark, rows):

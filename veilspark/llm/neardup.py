@@ -1,16 +1,16 @@
 """Problem 4: near-duplicate texts by tensored minhash banding.
 
-Likeness is the Jaccard similarity of the sets of 5-character substrings of plain forms. Two collections of TABLES half
-keys, left ones of HALF minhashes and right ones of RIGHT, stand for all TABLES ** 2 tables: a table's key is a pair of
-half keys, so TABLES * (HALF + RIGHT) minhashes do what TABLES ** 2 * (HALF + RIGHT) would. A text travels once per left
+Likeness is the Jaccard similarity of the sets of 5-character substrings of plain forms. Two collections of half keys, LEFTS
+left ones of LEFT minhashes and RIGHTS right ones of RIGHT, stand for LEFTS * RIGHTS tables: a table's key is a pair of half
+keys, so LEFTS * LEFT + RIGHTS * RIGHT minhashes do what LEFTS * RIGHTS * (LEFT + RIGHT) would. A text travels once per left
 half key and carries its right half keys along; the pairing of the two happens where it arrives, so the tensor is never
-shuffled. The right side has HALF minhashes a table too, 5 bits of each; a key is made of the first RIGHT, and all of them give
-an estimate of the likeness: of the TABLES * HALF at least AGREE must agree. Every pair left is compared exactly, whole
+shuffled. A hash function gives two minhashes, its least and its greatest value. Every pair left is compared exactly, whole
 text against whole text.
 
-With (HALF, RIGHT, TABLES) = (3, 2, 10) a pair of likeness s is a candidate with probability
-(1 - (1 - s**3)**10) * (1 - (1 - s**2)**10): 0.90 at 0.6, 0.956 at 0.65, 0.984 at 0.7, 0.999 at 0.8, 0.99999 at 0.9. AGREE loses a
-further 3 % at 0.6, 0.7 % at 0.65, 0.1 % at 0.7.
+With (LEFT, LEFTS, RIGHT, RIGHTS) = (2, 10, 3, 20) a pair of likeness s is a candidate with probability
+(1 - (1 - s**2)**10) * (1 - (1 - s**3)**20): 0.981 at 0.6, 0.994 at 0.65, 0.9986 at 0.7, 0.99996 at 0.8. Of the 60 carried
+minhashes, 5 bits each, at least AGREE must agree before the exact comparison; at likeness 0.6 each agrees with probability
+0.6125, and fewer than 22 of 60 do with probability 0.00003.
 """
 
 from __future__ import annotations
@@ -26,38 +26,46 @@ from veilspark.llm.classes import distinct_block, members, texts, verified_withi
 from veilspark.llm.forms import MIX, WIDTH, Windows, blocks, mix
 from veilspark.session import checkpoint, spread
 
-LEAST, HALF, RIGHT, TABLES = 0.6, 3, 2, 10
-AGREE, BITS = 14, 5
+LEAST, LEFT, LEFTS, RIGHT, RIGHTS = 0.6, 2, 10, 3, 20
+AGREE, BITS = 22, 5
 #: Runs of equal keys longer than this are cut into blocks of this size, and each two blocks are compared in a task of their own.
 LONG_RUN = 1024
 
 
-def half_keys(forms: list[str], half: int = HALF, tables: int = TABLES, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit left and 15-bit right half keys of each plain form, both of shape (texts, tables)."""
+def half_keys(forms: list[str], seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit left and 15-bit right half keys of each plain form, of shapes (texts, LEFTS) and (texts, RIGHTS)."""
     w = Windows(forms)
     at, counts = w.positions(WIDTH)
     h = (w.hashes(at, WIDTH) >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum(counts) - counts
     draw = np.random.default_rng(seed)
-    out = []
-    for side in (0, 1):
-        keys = np.empty((len(forms), tables), np.uint64)
-        for t in range(tables):
-            key = np.full(len(forms), 0 if side else t + 1, np.uint64)
-            for _ in range(half):
-                a, c = (np.uint32(x) for x in (int(draw.integers(1 << 31)) * 2 + 1, int(draw.integers(1 << 32))))
-                x = h ^ c
-                x *= a
-                x ^= x >> np.uint32(15)
-                least = np.minimum.reduceat(x, starts).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    key = (key << np.uint64(BITS)) | (least & np.uint64((1 << BITS) - 1)) if side else mix((key * MIX) ^ least)
-            keys[:, t] = key
-        out.append(keys)
-    return out[0], out[1].astype(np.uint16)
-
-
-def keyed(df: DataFrame, half: int = HALF, tables: int = TABLES) -> DataFrame:
+
+    def minhashes() -> Iterator[np.ndarray]:
+        while True:
+            a, c = (np.uint32(x) for x in (int(draw.integers(1 << 31)) * 2 + 1, int(draw.integers(1 << 32))))
+            x = h ^ c
+            x *= a
+            x ^= x >> np.uint32(15)
+            yield np.minimum.reduceat(x, starts).astype(np.uint64)
+            yield np.maximum.reduceat(x, starts).astype(np.uint64)
+
+    values = minhashes()
+    left, right = np.empty((len(forms), LEFTS), np.uint64), np.empty((len(forms), RIGHTS), np.uint16)
+    with np.errstate(over="ignore"):
+        for t in range(LEFTS):
+            key = np.full(len(forms), t + 1, np.uint64)
+            for _ in range(LEFT):
+                key = mix((key * MIX) ^ next(values))
+            left[:, t] = key
+    for t in range(RIGHTS):
+        key = np.zeros(len(forms), np.uint64)
+        for _ in range(RIGHT):
+            key = (key << np.uint64(BITS)) | (next(values) & np.uint64((1 << BITS) - 1))
+        right[:, t] = key.astype(np.uint16)
+    return left, right
+
+
+def keyed(df: DataFrame) -> DataFrame:
     """``left bigint, cls bigint, rights binary``: a row per left half key of each distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,12 +73,12 @@ def keyed(df: DataFrame, half: int = HALF, tables: int = TABLES) -> DataFrame:
             cls, forms = distinct_block(b)
             if not forms:
                 continue
-            left, right = half_keys(forms, half, tables)
-            carried = np.repeat(np.ascontiguousarray(right), tables, axis=0).tobytes()
-            n, wide = len(forms) * tables, 2 * tables
+            left, right = half_keys(forms)
+            carried = np.repeat(right, LEFTS, axis=0).tobytes()
+            n, wide = len(forms) * LEFTS, 2 * RIGHTS
             offsets = pa.py_buffer(np.arange(0, (n + 1) * wide, wide, dtype=np.int32).tobytes())
             rights = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(carried)])
-            yield pa.RecordBatch.from_arrays([pa.array(left.reshape(-1).view(np.int64)), pa.array(np.repeat(cls, tables)), rights], ["left", "cls", "rights"])
+            yield pa.RecordBatch.from_arrays([pa.array(left.reshape(-1).view(np.int64)), pa.array(np.repeat(cls, LEFTS)), rights], ["left", "cls", "rights"])
 
     return df.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "left bigint, cls bigint, rights binary")
 
@@ -101,22 +109,22 @@ def agreeing(rights: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many of the carried minhashes agree in each pair of rows."""
     apart = rights[a] ^ rights[b]
     mask = np.uint16((1 << BITS) - 1)
-    return sum((((apart >> np.uint16(BITS * k)) & mask) == 0).sum(1) for k in range(HALF))
+    return sum((((apart >> np.uint16(BITS * k)) & mask) == 0).sum(1) for k in range(RIGHT))
 
 
-def candidates(keys: DataFrame, tables: int = TABLES, longest: int = LONG_RUN) -> DataFrame:
+def candidates(keys: DataFrame, longest: int = LONG_RUN) -> DataFrame:
     """Distinct ``a, b`` (a < b) of classes that agree in a left and a right half key.
 
     A run over ``longest`` leaves the task of its left key as block pairs, which cover all of its pairs and are spread over the tasks.
     """
-    carried = np.dtype([("cls", "<i8"), ("rights", "<u2", (tables,))])
+    carried = np.dtype([("cls", "<i8"), ("rights", "<u2", (RIGHTS,))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, cls, rights = [], [], []
         for b in batches:
             left.append(b.column("left").to_numpy().view(np.uint64))
             cls.append(b.column("cls").to_numpy())
-            rights.append(np.frombuffer(b"".join(b.column("rights").to_pylist()), np.uint16).reshape(-1, tables))
+            rights.append(np.frombuffer(b"".join(b.column("rights").to_pylist()), np.uint16).reshape(-1, RIGHTS))
         if not left:
             return
         left, cls, rights = np.concatenate(left), np.concatenate(cls), np.concatenate(rights)
@@ -128,9 +136,9 @@ def candidates(keys: DataFrame, tables: int = TABLES, longest: int = LONG_RUN) -
         shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])  # a half key of one class alone makes no pair
         left, cls, rights = left[shared], cls[shared], rights[shared]
         found = _Distinct()
-        for t in range(tables):
+        for t in range(RIGHTS):
             with np.errstate(over="ignore"):
-                key = mix(left ^ ((rights[:, t] >> np.uint16(BITS * (HALF - RIGHT))).astype(np.uint64) + np.uint64(1 + (t << 16))) * MIX)
+                key = mix(left ^ (rights[:, t].astype(np.uint64) + np.uint64(1 + (t << 16))) * MIX)
             long: list[np.ndarray] = []
             for a, b in runs_to_pairs(key, longest, long):
                 near = agreeing(rights, a, b) >= AGREE
