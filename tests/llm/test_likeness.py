@@ -109,6 +109,14 @@ def test_p1_all_pairs(spark, rows):
     assert {tuple(r) for r in overlap.found(a, b).collect()} == want and want
 
 
+def test_p1_short_texts_with_one_edit(spark):
+    rng = random.Random(8)
+    left = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=45)) for _ in range(400)]
+    right = [t[:at] + "#" + t[at + 1 :] for t in left for at in [rng.randrange(45)]]
+    a, b = (spark.createDataFrame([(f"k{k:03d}", t) for k, t in enumerate(part)], "id string, text string") for part in (left, right))
+    assert {tuple(r) for r in overlap.found(a, b).collect()} == {(f"k{k:03d}", f"k{k:03d}") for k in range(400)}
+
+
 def test_p1_common_frames(spark):
     frame = "the records unit approved the renewal form for the third time this year without waiting for "
     rows = [(f"k{k:03d}", frame + " ".join(random.Random(k).choices(["amber", "birch", "cedar", "dune", "elm", "fern", "gorse", "heath"], k=40))) for k in range(60)]

@@ -2,7 +2,8 @@
 
 A sparse suffix array over the concatenated plain forms of both splits. Suffixes start at minimizers (the place of the
 least 5-character hash among WINDOW neighbours), so equal stretches of at least WINDOW - 1 + LEVELS[0] characters have a
-suffix start in common, wherever they stand. As in prefix doubling a suffix is ordered by the names of its prefixes of
+suffix start in common, wherever they stand. In a text under SHORT characters, where few stretches are that long, every
+position is a start. As in prefix doubling a suffix is ordered by the names of its prefixes of
 growing length (LEVELS), names being hashes. The array is partitioned by the first name, each part is sorted where
 it arrives, and its runs are the stretches that both splits share. A run that pairs many records is followed to the
 next level, that is to longer common prefixes, until few are left or the last level is reached, where all stay. Shared
@@ -24,6 +25,8 @@ from veilspark.llm.forms import MIX, WIDTH, Windows, blocks, mix
 from veilspark.session import checkpoint, spread
 
 LEAST, WINDOW, LEVELS = 0.6, 24, (8, 24, 48, 80)
+#: Plain forms under this length have a suffix at every position.
+SHORT = 150
 #: Pairs of records up to which a run needs no longer prefix.
 FEW = 16
 #: Parts of the suffix array, by the first name of a suffix.
@@ -44,13 +47,15 @@ def suffixes(forms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = (w.hashes(at, WIDTH) >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
     text = np.repeat(np.arange(len(forms)), counts)
     n = len(h)
-    if n < WINDOW:
-        return np.zeros(0, np.int64), np.zeros((0, len(LEVELS)), np.uint64), np.zeros(0, np.int64)
-    least = _sliding(h, WINDOW, np.minimum)
-    least[text[: n - WINDOW + 1] != text[WINDOW - 1 :]] = 0  # a window across two texts names no start
-    padded = np.zeros(n + WINDOW - 1, np.uint32)
-    padded[WINDOW - 1 : n] = least
-    chosen = np.nonzero(_sliding(padded, WINDOW, np.maximum)[:n] == h)[0]
+    short = (w.lengths < SHORT)[text]
+    if n >= WINDOW:
+        least = _sliding(h, WINDOW, np.minimum)
+        least[text[: n - WINDOW + 1] != text[WINDOW - 1 :]] = 0  # a window across two texts names no start
+        padded = np.zeros(n + WINDOW - 1, np.uint32)
+        padded[WINDOW - 1 : n] = least
+        chosen = np.nonzero((_sliding(padded, WINDOW, np.maximum)[:n] == h) | short)[0]
+    else:
+        chosen = np.nonzero(short)[0]
     start, text = at[chosen], text[chosen]
     left = w.starts[text] + w.lengths[text] - start
     inside = left >= LEVELS[0]
