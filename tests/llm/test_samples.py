@@ -5,6 +5,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.llm import mixing, quota, registry
 
@@ -66,6 +67,15 @@ def test_p7_shares(spark):
     assert mixing.mixture(docs.limit(0), weights).count() == 0 and mixing.out_of_reach(docs.limit(0), weights).count() == 0
 
 
+def test_p7_rates_are_one_per_source_and_meet_the_tokens(spark):
+    docs = spark.createDataFrame([(k, "one two three " * (1 + k % 9), ("a", "b")[k % 3 == 0]) for k in range(600)], "doc_id bigint, text string, source string")
+    weights = spark.createDataFrame([("a", 0.2, 4), ("b", 0.8, 4)], "source string, weight double, max_repeat int")
+    per = {r.source: r.tokens for r in mixing.source_tokens(docs).collect()}
+    size = sum(per.values())
+    rates = {r.source: r.rates for r in mixing.mixture(docs, weights).groupBy("source").agg(F.collect_set("rate").alias("rates")).collect()}
+    assert rates == {"a": [0.2 * size / per["a"]], "b": [0.8 * size / per["b"]]}
+
+
 @pytest.mark.parametrize("name", registry.queries())
 def test_query(spark, name):
     df = registry.queries()[name](spark, DIR)

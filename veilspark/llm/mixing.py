@@ -1,17 +1,15 @@
-"""Problem 7: mix sources to target weights by entropy balancing.
+"""Problem 7: mix sources to target weights by plain scaling of each source.
 
-Each document of a source gets the rate ``exp(a_s + l_s * n)``, cut off at the source's largest repeat count, n being
-its tokens over the source's mean. Of all rates with the wanted token total these stay closest to the source's uniform
-rate in relative entropy. The dual is convex; Newton steps solve it for (a_s, l_s) from moments of documents and of
-tokens that Spark aggregates over the histogram (source, tokens), whose rows don't grow with copies of a length.
+Each document of a source gets the rate ``wanted tokens / tokens of the source``, cut off at the source's largest repeat
+count. That is what entropy balancing comes to here: of all rates with the wanted token totals these are closest to the
+documents as they are, in relative entropy over tokens. A document is in one source and a source has one constraint, so
+the dual falls apart by source, and its multiplier is log(wanted / tokens); no step has to be iterated, and the lengths
+of a source's documents keep their distribution.
 Rates become copies by systematic rounding in an order given by a keyed hash, block by block.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from veilspark.llm.bpe import token_counts
 from veilspark.session import checkpoint, spread
 
 #: Blocks of a source in the rounding.
-STEPS, CLOSE, BLOCKS = 40, 1e-9, 256
+BLOCKS = 256
 
 
 def source_tokens(documents: DataFrame) -> DataFrame:
@@ -48,38 +46,6 @@ def out_of_reach(documents: DataFrame, weights: DataFrame) -> DataFrame:
     return targets(documents, weights).where("short").select("source").distinct()
 
 
-def _newton(histogram: DataFrame, wanted: dict[str, tuple[float, float, int]], means: dict[str, float]) -> dict[str, tuple[float, float]]:
-    """(a, l) of each source for which the dual's gradient vanishes: tokens as wanted, documents in the same proportion.
-
-    ``wanted`` has a row per row of the weights table: source -> (tokens, documents, largest count).
-    """
-    spark = histogram.sparkSession
-    state = {s: [math.log(min(c, max(1e-9, d / max(1.0, n)))), 0.0] for s, (_, d, c, n) in wanted.items()}
-    open_ = {s for s in wanted}
-    for _ in range(STEPS):
-        if not open_:
-            break
-        at = spark.createDataFrame([(s, *map(float, state[s]), float(wanted[s][2]), means[s]) for s in sorted(open_)], "source string, a double, l double, cap double, mean double")
-        n = F.col("tokens") / F.col("mean")
-        raw = F.exp(F.least(F.lit(50.0), F.col("a") + F.col("l") * n))
-        rate = F.least(raw, F.col("cap")) * F.col("docs")
-        free = F.when(raw < F.col("cap"), raw * F.col("docs")).otherwise(0.0)
-        moments = histogram.join(F.broadcast(at), "source").groupBy("source").agg(  # a row per row of the weights table
-            F.sum(rate).alias("r0"), F.sum(rate * n).alias("r1"), F.sum(free).alias("h0"), F.sum(free * n).alias("h1"), F.sum(free * n * n).alias("h2")
-        )
-        for m in moments.collect():  # at most a row per source of the weights table
-            s = m["source"]
-            tokens, docs, _, _ = wanted[s]
-            gap = np.array([docs - m["r0"], tokens / means[s] - m["r1"]])
-            if abs(gap[1]) <= CLOSE * max(1.0, tokens / means[s]) and abs(gap[0]) <= 1e-3 * max(1.0, docs):
-                open_.discard(s)
-                continue
-            hessian = np.array([[m["h0"], m["h1"]], [m["h1"], m["h2"]]]) + 1e-9 * max(1.0, m["h0"]) * np.eye(2)
-            step = np.clip(np.linalg.solve(hessian, gap), -2, 2)
-            state[s] = [state[s][0] + step[0], state[s][1] + step[1]]
-    return {s: (a, b) for s, (a, b) in state.items()}
-
-
 def mixture(documents: DataFrame, weights: DataFrame, tokens: int | None = None, key: int = 7) -> DataFrame:
     """``doc_id, source, tokens, rate, copies`` of every document with at least one copy.
 
@@ -91,26 +57,13 @@ def mixture(documents: DataFrame, weights: DataFrame, tokens: int | None = None,
     )
     rows = weights.select("source", "weight", "max_repeat").na.drop().distinct()
     counted = counted.join(F.broadcast(rows.select("source")), "source")  # the weights table: a row per source
-    histogram = checkpoint(counted.groupBy("source", "tokens").agg(F.count("*").alias("docs")))
-    per = {r["source"]: (r["n"], r["s"]) for r in histogram.groupBy("source").agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("tokens")).alias("s")).collect()}
+    per = {r["source"]: r["s"] for r in counted.groupBy("source").agg(F.sum("tokens").alias("s")).collect()}  # at most a row per source of the weights table
     table = {r["source"]: (r["weight"], r["max_repeat"]) for r in rows.collect() if r["source"] in per}
-    size = tokens if tokens is not None else sum(s for _, s in per.values())
-    wanted, means, fixed = {}, {}, {}
-    for source, (weight, most) in table.items():
-        n, s = per[source]
-        want = weight * size
-        means[source] = s / n
-        if want >= most * s:
-            fixed[source] = float(most)
-        else:
-            wanted[source] = (want, want / (s / n), most, n)
-    solved = _newton(histogram, wanted, means)
-    spec = [(s, *solved[s], float(table[s][1]), means[s], None) for s in solved] + [(s, 0.0, 0.0, v, 1.0, v) for s, v in fixed.items()]
-    at = documents.sparkSession.createDataFrame(spec, "source string, a double, l double, cap double, mean double, fixed double")
+    size = tokens if tokens is not None else sum(per.values())
+    spec = [(s, min(float(most), weight * size / per[s]), float(most)) for s, (weight, most) in table.items()]
+    at = documents.sparkSession.createDataFrame(spec, "source string, rate double, cap double")
     rated = counted.join(F.broadcast(at), "source").select(
-        "doc_id", "source", "tokens",
-        F.coalesce("fixed", F.least(F.col("cap"), F.exp(F.least(F.lit(50.0), F.col("a") + F.col("l") * F.col("tokens") / F.col("mean"))))).alias("rate"),
-        F.xxhash64(F.lit(key), "doc_id").alias("at"), F.ceil("cap").cast("double").alias("cap"),
+        "doc_id", "source", "tokens", "rate", F.xxhash64(F.lit(key), "doc_id").alias("at"), F.ceil("cap").cast("double").alias("cap"),
     )
     # systematic rounding: running sums of a source's rates, a copy at each whole number passed. The sums run block by block,
     # each block from where the ones before it end, so that no source is one task
