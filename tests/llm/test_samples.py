@@ -3,9 +3,9 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from veilspark.llm import mixing, quota, registry
 
@@ -34,8 +34,6 @@ def test_p3_sample_follows_targets(spark):
 def test_pivotal_keeps_probabilities():
     import random
 
-    import numpy as np
-
     hits = np.zeros(40)
     p = np.linspace(0.05, 0.9, 40)
     for seed in range(3000):
@@ -67,13 +65,29 @@ def test_p7_shares(spark):
     assert mixing.mixture(docs.limit(0), weights).count() == 0 and mixing.out_of_reach(docs.limit(0), weights).count() == 0
 
 
-def test_p7_rates_are_one_per_source_and_meet_the_tokens(spark):
-    docs = spark.createDataFrame([(k, "one two three " * (1 + k % 9), ("a", "b")[k % 3 == 0]) for k in range(600)], "doc_id bigint, text string, source string")
-    weights = spark.createDataFrame([("a", 0.2, 4), ("b", 0.8, 4)], "source string, weight double, max_repeat int")
-    per = {r.source: r.tokens for r in mixing.source_tokens(docs).collect()}
-    size = sum(per.values())
-    rates = {r.source: r.rates for r in mixing.mixture(docs, weights).groupBy("source").agg(F.collect_set("rate").alias("rates")).collect()}
-    assert rates == {"a": [0.2 * size / per["a"]], "b": [0.8 * size / per["b"]]}
+def test_p7_tilts_meet_the_tokens(spark):
+    docs = spark.createDataFrame([(k, "one two three " * (1 + k % 9), ("a", "b", "c")[k % 3]) for k in range(900)], "doc_id bigint, text string, source string")
+    weights = spark.createDataFrame([("a", 0.2, 4), ("b", 0.7, 4), ("c", 0.1, 1)], "source string, weight double, max_repeat int")
+    counted = mixing.token_table(docs)
+    found = {x.source: x for x in mixing.balance(counted, weights)}
+    assert all(x.solves >= 1 and x.slope < 1e-6 and x.multiplier for x in found.values())
+    per = counted.toPandas()
+    for source, x in found.items():  # the optimality conditions, from the definition
+        t = per[per["source"] == source]["tokens"].to_numpy(float)
+        rate = np.minimum(x.max_repeat, x.base * np.exp(x.multiplier * t))
+        assert abs((rate * t).sum() - x.wanted) < 1e-6 * x.wanted
+    mix = mixing.mixture(docs, weights).toPandas()
+    assert (mix.groupby("source")["rate"].nunique() > 1).all()
+    got = {r.source: r.tokens for r in mixing.shares(docs, weights).collect()}
+    assert all(abs(got[s] - x.wanted) < max(0.005 * x.wanted, per["tokens"].max()) for s, x in found.items())
+
+
+def test_p7_cap_inside_the_dual(spark):
+    docs = spark.createDataFrame([(k, "word " * (1 + k % 50), "ab"[k % 2]) for k in range(400)], "doc_id bigint, text string, source string")
+    weights = spark.createDataFrame([("a", 0.95, 2), ("b", 0.05, 2)], "source string, weight double, max_repeat int")
+    found = {x.source: x for x in mixing.balance(mixing.token_table(docs), weights)}
+    assert found["a"].slope < 1e-6 and not found["a"].short and found["b"].multiplier < 0 < found["a"].multiplier
+    assert mixing.mixture(docs, weights).toPandas()["copies"].max() <= 2
 
 
 @pytest.mark.parametrize("name", registry.queries())
