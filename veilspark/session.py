@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session with the settings the tests and the bench use."""
-    return (
+def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g", checkpoints: str | None = None) -> SparkSession:
+    """A local session with the settings the tests and the bench use; ``checkpoints`` is where lineage is cut."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("veilspark")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -17,8 +18,8 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", checkpoints) if checkpoints else builder).getOrCreate()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -38,8 +39,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; a folder of our own only if that is unset."""
+    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``.
+
+    Only a local session may go without that setting and gets a folder of its own; elsewhere executors would write to their own
+    disks, so an unset folder is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veilspark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not re.fullmatch(r"local(\[[\d*,]+\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="veilspark-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
