@@ -1,73 +1,116 @@
 """Problem 1: records of one split that occur, exactly or almost, in another.
 
-A sparse suffix array over the concatenated plain forms of both splits. Suffixes start at minimizers (the place of the
-least 5-character hash among WINDOW neighbours), so equal stretches of at least WINDOW - 1 + LEVELS[0] characters have a
-suffix start in common, wherever they stand. In a text under SHORT characters, where few stretches are that long, every
-position is a start. As in prefix doubling a suffix is ordered by the names of its prefixes of
-growing length (LEVELS), names being hashes. The array is partitioned by the first name, each part is sorted where
-it arrives, and its runs are the stretches that both splits share. A run that pairs many records is followed to the
-next level, that is to longer common prefixes, until few are left or the last level is reached, where all stay. Shared
-stretches are summed up to a coverage per pair of records; pairs with enough of it are compared exactly, whole text
-against whole text.
+A suffix array over the plain forms of both splits, partitioned by ranges of the suffixes' own text. Suffixes start at
+minimizers (the place of the least 5-character hash among neighbours), so equal stretches have equal starts wherever they stand.
+The bounds of the ranges come from a bounded sample of suffixes; a part is sorted where it arrives, the lengths of the common
+prefixes of adjacent suffixes are taken, and a run of neighbours with DEPTH bytes or more in common that has suffixes of both
+splits is a stretch that they share.
+
+Most shared stretches are frames that very many records have. Runs are therefore ordered from rare to common, and a record
+pairs only in its rarest runs, up to the point where what is left of its suffixes is less than COVERAGE of them. Two records that
+share COVERAGE of the suffixes of each share a run before that point in both, so nothing is lost by it, however common a run is (the
+prefix filter of set joins). A run with very many records is paired in blocks of BLOCK by BLOCK, each a unit of its own.
+Pairs that can reach the likeness by the suffixes left and by a sketch are then compared exactly, whole text
+against whole text, and the shared stretches of what is found are merged into covered characters per record.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.classes import distinct_block, members, texts, verified
-from veilspark.llm.forms import MIX, WIDTH, Windows, blocks, mix
+from veilspark.llm.classes import likenesses, plain_block
+from veilspark.llm.forms import MIX, WIDTH, Windows, blocks, fingerprint, mix
 from veilspark.session import checkpoint, spread
 
-LEAST, WINDOW, LEVELS = 0.6, 24, (8, 24, 48, 80)
-#: Plain forms under this length have a suffix at every position.
-SHORT = 150
-#: Pairs of records up to which a run needs no longer prefix.
-FEW = 16
-#: Parts of the suffix array, by the first name of a suffix.
-PARTS = 1024
-#: Share of the starts of the smaller record that a pair must have in common to be compared. Of the 701 pairs of the scale 0.1 tables
-#: the least share was 0.33; one start always does if a record has six or fewer.
-COVERAGE = 0.15
-#: As a suffix travels: 32 bits of its first name (beside the 10 that name the part), its class, 10 bits of each longer name, and
-#: the number of suffixes of its record. A chance agreement costs a comparison, never a result.
-RECORD = np.dtype([("name", "<u4"), ("cls", "<i8"), ("deep", "<u4"), ("starts", "u1")])
-DEEP = 10
-
-
-def suffixes(forms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, names at each level, and number of suffixes of the text, for each suffix start."""
-    w = Windows(forms)
-    at, counts = w.positions(WIDTH)
-    h = (w.hashes(at, WIDTH) >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
-    text = np.repeat(np.arange(len(forms)), counts)
-    n = len(h)
-    short = (w.lengths < SHORT)[text]
-    if n >= WINDOW:
-        least = _sliding(h, WINDOW, np.minimum)
-        least[text[: n - WINDOW + 1] != text[WINDOW - 1 :]] = 0  # a window across two texts names no start
-        padded = np.zeros(n + WINDOW - 1, np.uint32)
-        padded[WINDOW - 1 : n] = least
-        chosen = np.nonzero((_sliding(padded, WINDOW, np.maximum)[:n] == h) | short)[0]
-    else:
-        chosen = np.nonzero(short)[0]
-    start, text = at[chosen], text[chosen]
-    left = w.starts[text] + w.lengths[text] - start
-    inside = left >= LEVELS[0]
-    start, text, left = start[inside], text[inside], left[inside]
-    names = np.stack([mix(w.hashes_to(start, np.minimum(level, left)) ^ np.uint64(level)) for level in LEVELS], 1) if len(start) else np.zeros((0, len(LEVELS)), np.uint64)
-    # a stretch that a text repeats is one suffix, and the number of suffixes is that of different stretches
-    own = text.astype(np.uint64) << np.uint64(44)
-    whole = own | mix(names[:, 0] ^ sum((names[:, k] >> np.uint64(k)) * MIX for k in range(1, len(LEVELS)))) >> np.uint64(20)
-    _, first = np.unique(whole, return_index=True)
-    different = np.unique(own | names[:, 0] >> np.uint64(20))
-    text, names = text[first], names[first]
-    return text, names, np.bincount((different >> np.uint64(44)).astype(np.int64), minlength=len(forms))[text]
+LEAST = 0.6
+
+
+@dataclass(frozen=True)
+class Level:
+    """One array: plain forms of ``shortest`` to ``longest`` characters, minimizers among ``window`` places, runs from ``depth`` bytes."""
+
+    shortest: int
+    longest: int
+    window: int
+    depth: int
+
+
+#: Short texts have finer starts and shorter runs. Lengths of a pair differ by 1 / LEAST at most, so every pair is whole in one array.
+LEVELS = (Level(150, 1 << 60, 24, 24), Level(0, 251, 6, 16))
+#: Bytes of a suffix that travel and are sorted.
+CARRY = 32
+#: Share of the suffixes of either record that a pair must have in common to be compared. Of the pairs of the scale 0.1 tables the
+#: least share is 0.30.
+COVERAGE = 0.2
+#: Suffix rows of a part, about; texts sampled for the bounds; records of a side of a unit of pairs.
+PART, SAMPLE, BLOCK = 250_000, 6000, 2048
+#: Bins of the sketch, a bit each: agreement is (1 + likeness) / 2 per bin. A pair is dropped 4 standard deviations under what LEAST gives.
+BINS = 192
+SPREAD = 4.0
+#: Bits of the filter by which texts without a candidate stay where they are. It is of this size for any input; a full one lets all pass.
+FILTER = 1 << 23
+REF = np.uint64((1 << 48) - 1)
+
+
+# ---- packing ---------------------------------------------------------------------------------------------------------
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length, byte by byte and compressed; what is sorted costs little."""
+    import zstandard
+
+    data = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    return zstandard.ZstdCompressor(1).compress(data)
+
+
+def _unpack(data: bytes, n: int, kinds: tuple[tuple[type, int], ...]) -> list[np.ndarray]:
+    import zstandard
+
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), 0, []
+    for kind, wide in kinds:
+        size = np.dtype(kind).itemsize * wide
+        rows = np.ascontiguousarray(raw[at : at + size * n].reshape(size, n).T).view(kind)
+        out.append(rows if wide > 1 else rows.reshape(n))
+        at += size * n
+    return out
+
+
+#: What travels: suffixes to their part of the array; records with their sketches; shared suffixes to their record; kept ones to their unit.
+SUFFIX = ((np.uint8, CARRY), (np.uint64, 1), (np.uint32, 1))
+RECORD = ((np.uint64, 1), (np.uint32, 1), (np.uint8, BINS // 8))
+SHARED = ((np.uint64, 1), (np.uint64, 1), (np.uint32, 1), (np.uint8, 2))
+KEPT = ((np.uint64, 1), (np.uint64, 1), (np.uint32, 3), (np.uint8, BINS // 8))
+ROWS = "part int, kind int, side int, n int, data binary"
+
+
+def _batch(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["part", "kind", "side", "n", "data"])
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, int, bytes]]]]:
+    held: dict[int, list[tuple[int, int, int, bytes]]] = {}
+    for b in batches:
+        for part, *row in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "side", "n", "data")), strict=True):
+            held.setdefault(part, []).append(tuple(row))
+    for part in sorted(held):
+        yield part, held.pop(part)
+
+
+def _split(bucket: np.ndarray, kind: int, side: int, columns: list[np.ndarray]) -> list[tuple[int, int, int, int, bytes]]:
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0] if len(bucket) else []
+    return [(int(bucket[a]), kind, side, int(b - a), _pack(*(c[order[a:b]] for c in columns))) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+
+
+# ---- suffixes --------------------------------------------------------------------------------------------------------
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -80,129 +123,398 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(out[: len(out) - rest], out[rest:]) if rest else out.copy()
 
 
-def packed(df: DataFrame, side: int) -> DataFrame:
-    """``part int, side int, suffixes binary``: the suffixes of a block's distinct texts, packed by part of the array."""
+def suffixes(forms: list[str], level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first CARRY bytes, number of different suffixes of the text, and place, of each suffix; sorted by bytes."""
+    none = np.zeros(0, np.int64)
+    w = Windows(forms)
+    at, counts = w.positions(WIDTH)
+    n = len(at)
+    if n < level.window:
+        return none, np.zeros((0, CARRY), np.uint8), none, none
+    h = (w.hashes(at, WIDTH) >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
+    text = np.repeat(np.arange(len(forms)), counts)
+    least = _sliding(h, level.window, np.minimum)
+    least[text[: n - level.window + 1] != text[level.window - 1 :]] = 0  # a window across two texts names no start
+    padded = np.zeros(n + level.window - 1, np.uint32)
+    padded[level.window - 1 : n] = least
+    chosen = np.nonzero(_sliding(padded, level.window, np.maximum)[:n] == h)[0]
+    place, text = at[chosen], text[chosen]
+    width = 1 + (w.points >= 0x80) + (w.points >= 0x800) + (w.points >= 0x10000)
+    to_byte = np.concatenate([[0], np.cumsum(width)])
+    first, left = to_byte[place], to_byte[w.starts[text] + w.lengths[text]] - to_byte[place]
+    inside = left >= level.depth
+    place, text, first, left = place[inside], text[inside], first[inside], left[inside]
+    raw = np.frombuffer("".join(forms).encode("utf-8", "surrogatepass") + bytes(CARRY), np.uint8)
+    head = np.lib.stride_tricks.sliding_window_view(raw, CARRY)[first]
+    last = np.nonzero(left < CARRY)[0]
+    head[last] = np.where(np.arange(CARRY) < left[last, None], head[last], 0)
+    keys = np.ascontiguousarray(head).view(">u8").astype(np.uint64)
+    # a stretch that a text repeats is one suffix
+    with np.errstate(over="ignore"):
+        name = mix(sum((keys[:, k] * (MIX + np.uint64(2 * k))) ^ (keys[:, k] >> np.uint64(31 - k)) for k in range(level.depth // 8)) + text.astype(np.uint64) * MIX)
+    _, once = np.unique(name, return_index=True)
+    once = once[np.lexsort(tuple(keys[once, k] for k in range(keys.shape[1] - 1, -1, -1)))]
+    text, place = text[once], place[once] - w.starts[text[once]]
+    return text, head[once], np.bincount(text, minlength=len(forms))[text], place
+
+
+def _sketches(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of 5-character substrings and sketch of each form: a bit of the least hash in each of BINS bins of them."""
+    w = Windows(forms)
+    at, counts = w.positions(WIDTH)
+    h = w.hashes(at, WIDTH)
+    text = np.repeat(np.arange(len(forms), dtype=np.uint64), counts)
+    bin_ = (h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)
+    value = (h * MIX) >> np.uint64(1)
+    cell = (text * np.uint64(BINS) + bin_).astype(np.int64)
+    least = np.full(len(forms) * BINS, 1 << 63, np.uint64)
+    np.minimum.at(least, cell, value)
+    least = least.reshape(len(forms), BINS)
+    empty = least == np.uint64(1 << 63)
+    bits = (mix(least) & np.uint64(1)).astype(np.uint8)
+    # an empty bin takes the bit of the next one that is not, so that equal sets agree throughout
+    places = np.where(empty, 2 * BINS, np.arange(BINS))
+    nearest = np.minimum.accumulate(np.concatenate([places, places + BINS], 1)[:, ::-1], 1)[:, ::-1][:, :BINS] % BINS
+    return counts.astype(np.uint32), np.packbits(np.take_along_axis(bits, nearest, 1), axis=1)
+
+
+def _distinct(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
+    forms = list(dict.fromkeys(plain_block(batch)[1]))
+    return forms, np.array([fingerprint(f) for f in forms], np.int64).view(np.uint64) & REF
+
+
+def _levels(forms: list[str], ref: np.ndarray) -> Iterator[tuple[int, Level, list[str], np.ndarray]]:
+    """The forms of each level; a record is named by its class and its level."""
+    for k, level in enumerate(LEVELS):
+        pick = [i for i, f in enumerate(forms) if level.shortest <= len(f) < level.longest]
+        if pick:
+            yield k, level, [forms[i] for i in pick], ref[pick] << np.uint64(1) | np.uint64(k)
+
+
+@dataclass
+class Bounds:
+    """Ranges of each level by bytes; a suffix that takes several whole ranges by itself (``wide``) is spread over as many parts."""
+
+    cuts: list[np.ndarray]
+    wide: list[dict[bytes, int]]
+    parts: int
+
+    def place(self, k: int, head: np.ndarray, rec: np.ndarray) -> np.ndarray:
+        depth = LEVELS[k].depth
+        text = np.ascontiguousarray(head[:, :depth]).view(f"S{depth}").reshape(-1)
+        part = np.searchsorted(self.cuts[k], text, "right") * len(LEVELS) + k
+        for name, many in self.wide[k].items():
+            a, b = np.searchsorted(text, np.bytes_(name), "left"), np.searchsorted(text, np.bytes_(name), "right")
+            part[a:b] = (fingerprint(name.hex()) + (mix(rec[a:b].copy()) % np.uint64(many)).astype(np.int64) * 7919) % self.parts + self.parts
+        return part
+
+
+def bounds(both: DataFrame) -> Bounds:
+    """Ranges of about PART suffixes from a bounded sample of texts. It decides where a suffix goes, never what is found."""
+    rows = both.count()
+    share = min(1.0, SAMPLE / max(1, rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            for k, level, forms, _ in _levels(*_distinct(b)):
+                head = suffixes(forms, level)[1][:, : level.depth]
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([head.tobytes()], pa.binary())], ["k", "heads"])
+
+    taken = both.sample(False, share, 1) if share < 1 else both
+    found = taken.mapInArrow(run, "k bigint, heads binary").collect()  # the suffixes of at most SAMPLE texts, about
+    cuts, wide, parts = [], [], 1
+    for k, level in enumerate(LEVELS):
+        heads = np.sort(np.frombuffer(b"".join(r["heads"] for r in found if r["k"] == k), f"S{level.depth}"))
+        many = int(max(1, len(heads) / share // PART))
+        at = heads[(np.arange(1, many) * len(heads)) // many] if len(heads) else heads
+        names, times = np.unique(at, return_counts=True)
+        cuts.append(names)
+        wide.append({bytes(x): int(t) for x, t in zip(names, times, strict=True) if t > 1})
+        parts += many
+    return Bounds(cuts, wide, len(LEVELS) * parts)
+
 
+def _suffix_rows(df: DataFrame, side: int, at: Bounds) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            cls, forms = distinct_block(b)
-            if not forms:
+            rows = []
+            for k, level, forms, rec in _levels(*_distinct(b)):
+                text, head, many, _ = suffixes(forms, level)
+                if not len(text):
+                    continue
+                rows += _split(at.place(k, head, rec[text]), 0, side, [head, rec[text], many.astype(np.uint32)])
+                has = np.unique(text)
+                grams, sketch = _sketches([forms[i] for i in has.tolist()])
+                rows += _split((mix(rec[has]) % np.uint64(at.parts)).astype(np.int64), 1, side, [rec[has], grams, sketch])
+            yield _batch(rows)
+
+    return df.mapInArrow(run, ROWS)
+
+
+# ---- runs ------------------------------------------------------------------------------------------------------------
+
+
+def _code(n: np.ndarray) -> np.ndarray:
+    """A number of records in one byte, rounded up in steps of 12 %."""
+    return np.ceil(np.log(np.maximum(n, 1)) / np.log(1.12) - 1e-9).astype(np.uint8)
+
+
+def shared_suffixes(rows: DataFrame, at: Bounds) -> DataFrame:
+    """Of each part, sorted: the suffixes in runs of both sides, on the way to their records. Records pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, pieces in _by_part(batches):
+            yield _batch([(part, *p) for p in pieces if p[0] == 1])
+            own = [p for p in pieces if p[0] == 0]
+            if not own or len({p[1] for p in own}) < 2 and not any(at.wide):
                 continue
-            text, names, starts = suffixes(forms)
-            rows = np.empty(len(text), RECORD)
-            rows["name"], rows["cls"], rows["starts"] = (names[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.uint32), cls[text], np.minimum(starts, 255)
-            rows["deep"] = sum((names[:, k] >> np.uint64(64 - DEEP)).astype(np.uint32) << np.uint32(DEEP * (k - 1)) for k in range(1, len(LEVELS)))
-            part = (names[:, 0] >> np.uint64(54)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            rows, part = rows[order], part[order]
-            cuts = np.searchsorted(part, np.arange(PARTS + 1))
-            full = [i for i in range(PARTS) if cuts[i] < cuts[i + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([side] * len(full), pa.int32()), pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())],
-                ["part", "side", "suffixes"],
-            )
+            read = [_unpack(data, n, SUFFIX) for _, _, n, data in own]
+            head, rec, many = (np.concatenate(c) for c in zip(*read, strict=True))
+            side = np.repeat(np.array([p[1] for p in own], np.uint8), [p[2] for p in own])
+            keys = head.view(">u8").astype(np.uint64)
+            order = np.lexsort((rec, side, *(keys[:, k] for k in range(keys.shape[1] - 1, -1, -1)), rec & np.uint64(1)))
+            head, rec, many, side, keys = head[order], rec[order], many[order], side[order], keys[order]
+            k = (rec & np.uint64(1)).astype(np.int64)
+            apart = head[1:] != head[:-1]
+            common = np.where(apart.any(1), apart.argmax(1), CARRY)  # the common prefix of a suffix and the one before it
+            depth = np.array([level.depth for level in LEVELS])[k]
+            new = np.concatenate([[True], (common < depth[1:]) | (k[1:] != k[:-1])])
+            group = np.cumsum(new) - 1
+            order = np.lexsort((rec, side, group))
+            group, side, rec, many = group[order], side[order], rec[order], many[order]
+            once = np.concatenate([[True], (group[1:] != group[:-1]) | (side[1:] != side[:-1]) | (rec[1:] != rec[:-1])])
+            group, side, rec, many = group[once], side[once], rec[once], many[once]
+            first = np.nonzero(new)[0]
+            with np.errstate(over="ignore"):
+                name = mix(sum(np.where(depth[first] > 8 * j, keys[first, j], 0).astype(np.uint64) * (MIX + np.uint64(2 * j)) ^ (keys[first, j] >> np.uint64(29)) * (depth[first] > 8 * j) for j in range(3)) + k[first].astype(np.uint64))
+            n = np.stack([np.bincount(group[side == s], minlength=len(first)) for s in (0, 1)], 1)
+            sizes = _code(n)
+            both = (n > 0).all(1)
+            for j, wide in enumerate(at.wide):  # seen in part only: of the size that the sample says, the same in all of its parts
+                for text, times in wide.items():
+                    hit = np.nonzero((k[first] == j) & (np.ascontiguousarray(head[first, : LEVELS[j].depth]).view(f"S{LEVELS[j].depth}").reshape(-1) == text))[0]
+                    sizes[hit], both[hit] = _code(np.array([times * PART])), True
+            keep = both[group]
+            for s in (0, 1):
+                on = keep & (side == s)
+                yield _batch(_split((mix(rec[on]) % np.uint64(at.parts)).astype(np.int64), 2, s, [rec[on], name[group[on]], many[on], sizes[group[on]]]))
+
+    return rows.repartition("part").mapInArrow(run, ROWS)
 
-    return df.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "part int, side int, suffixes binary")
-
-
-def _runs(rows: np.ndarray, side: np.ndarray, name: np.ndarray, level: int, few: int = FEW) -> Iterator[np.ndarray]:
-    """Arrays of (class of side 0, class of side 1, suffixes of the smaller) for each shared suffix start."""
-    order = np.lexsort((rows["cls"], side, name))
-    rows, side, name = rows[order], side[order], name[order]
-    new = np.concatenate([[True], name[1:] != name[:-1]])
-    # a stretch repeated within a record counts once
-    once = new | np.concatenate([[True], (rows["cls"][1:] != rows["cls"][:-1]) | (side[1:] != side[:-1])])
-    run = np.cumsum(new) - 1
-    rows, side, run = rows[once], side[once], run[once]
-    n0 = np.bincount(run[side == 0], minlength=run[-1] + 1)
-    n1 = np.bincount(run[side == 1], minlength=run[-1] + 1)
-    product = n0 * n1
-    deeper = (product > few) & (level < len(LEVELS) - 1)
-    go = deeper[run]
-    if go.any():
-        again = rows[go]
-        finer = mix((run[go].astype(np.uint64) << np.uint64(16)) | (again["deep"].astype(np.uint64) >> np.uint64(DEEP * level)) & np.uint64((1 << DEEP) - 1)) if level < len(LEVELS) - 1 else None
-        yield from _runs(again, side[go], finer, level + 1, few)
-    stay = (product > 0)[run] & ~go
-    rows, side, run = rows[stay], side[stay], run[stay]
-    if not len(rows):
-        return
-    lefts, rights = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-    # each left record meets the right records of its run, in slices of bounded size
-    first = np.searchsorted(run[rights], run[lefts])
-    count = np.searchsorted(run[rights], run[lefts], "right") - first
-    ends = np.cumsum(count)
-    cut = 0
-    while cut < len(lefts):
-        base = ends[cut - 1] if cut else 0
-        end = max(cut + 1, int(np.searchsorted(ends, base + 1_000_000, "right")))
-        c = count[cut:end]
-        at = np.repeat(first[cut:end] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-        a, b = rows[np.repeat(lefts[cut:end], c)], rows[rights[at]]
-        yield np.stack([a["cls"], b["cls"], np.minimum(a["starts"], b["starts"]).astype(np.int64)], 1)
-        cut = end
-
-
-def shared(left: DataFrame, right: DataFrame, few: int = FEW) -> DataFrame:
-    """``a, b, common, starts``: class pairs with the number of suffix starts they share and that of the smaller record."""
+
+def rare_suffixes(rows: DataFrame, at: Bounds, coverage: float) -> DataFrame:
+    """Of each record the rarest runs, on the way to the units in which they are paired."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_part: dict[int, list[tuple[int, bytes]]] = {}
-        for b in batches:
-            for part, side, data in zip(b.column("part").to_pylist(), b.column("side").to_pylist(), b.column("suffixes").to_pylist(), strict=True):
-                by_part.setdefault(part, []).append((side, data))
-        held, some = [], 0
-        for part in sorted(by_part):
-            pieces = by_part.pop(part)
-            if len({s for s, _ in pieces}) < 2:
+        for _, pieces in _by_part(batches):
+            for s in (0, 1):
+                known = [_unpack(data, n, RECORD) for kind, side, n, data in pieces if kind == 1 and side == s]
+                own = [_unpack(data, n, SHARED) for kind, side, n, data in pieces if kind == 2 and side == s]
+                if not own:
+                    continue
+                of, grams, sketch = (np.concatenate(c) for c in zip(*known, strict=True))
+                of, first = np.unique(of, return_index=True)
+                grams, sketch = grams[first], sketch[first]
+                rec, name, many, sizes = (np.concatenate(c) for c in zip(*own, strict=True))
+                order = np.lexsort((name, sizes.astype(np.uint16).sum(1), rec))
+                rec, name, many, sizes = rec[order], name[order], many[order], sizes[order]
+                new = np.concatenate([[True], rec[1:] != rec[:-1]])
+                count = np.diff(np.append(np.nonzero(new)[0], len(rec)))
+                number = np.arange(len(rec)) - np.repeat(np.nonzero(new)[0], count)
+                before = many - np.repeat(count, count) + number  # suffixes that nobody shares come first
+                need = np.maximum(1, np.ceil(coverage * many - 1e-9))
+                keep = before < many - need + 1
+                rec, name, many, sizes, left = rec[keep], name[keep], many[keep], sizes[keep], (many - before)[keep].astype(np.uint32)
+                mine = np.searchsorted(of, rec)
+                # blocks of this side and of the other; a row goes to the unit of its block with each block of the other side
+                cut = np.maximum(1, np.ceil(1.12 ** sizes.astype(float) / BLOCK)).astype(np.int64)
+                block = (mix(rec * MIX) % cut[:, s].astype(np.uint64)).astype(np.int64)
+                copies = cut[:, 1 - s]
+                row = np.repeat(np.arange(len(rec)), copies)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+                i, j = (block[row], other) if s == 0 else (other, block[row])
+                with np.errstate(over="ignore"):
+                    unit = mix(name[row] + i.astype(np.uint64) * MIX + mix(j.astype(np.uint64) + np.uint64(77)) * np.uint64(3))
+                numbers = np.stack([many[row], left[row], grams[mine[row]]], 1)
+                yield _batch(_split((unit % np.uint64(at.parts)).astype(np.int64), 3, s, [unit, rec[row], numbers, sketch[mine[row]]]))
+
+    return rows.repartition("part").mapInArrow(run, ROWS)
+
+
+def paired(rows: DataFrame, least: float, coverage: float) -> DataFrame:
+    """Distinct ``a, b``: records that share a rare run and may reach the likeness."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pieces in _by_part(batches):
+            sides = []
+            for s in (0, 1):
+                read = [_unpack(data, n, KEPT) for _, side, n, data in pieces if side == s]
+                if not read:
+                    break
+                cols = [np.concatenate(c) for c in zip(*read, strict=True)]
+                order = np.argsort(cols[0], kind="stable")
+                sides.append([c[order] for c in cols])
+            if len(sides) < 2:
                 continue
-            arrays = [np.frombuffer(data, RECORD) for _, data in pieces]
-            side = np.repeat(np.array([s for s, _ in pieces]), [len(a) for a in arrays])
-            rows = np.concatenate(arrays)
-            for found in _runs(rows, side, rows["name"].astype(np.uint64), 0, few):
-                held.append(found)
-                some += len(found)
+            (unit, rec, number, sketch), (unit2, rec2, number2, sketch2) = sides
+            first = np.searchsorted(unit2, unit, "left")
+            count = np.searchsorted(unit2, unit, "right") - first
+            ends = np.cumsum(count)
+            cut, held, some = 0, [], 0
+            while cut < len(unit):
+                base = ends[cut - 1] if cut else 0
+                end = max(cut + 1, int(np.searchsorted(ends, base + 500_000, "right")))
+                c = count[cut:end]
+                x, y = np.repeat(np.arange(cut, end), c), np.repeat(first[cut:end] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+                cut = end
+                a, b = number[x], number2[y]
+                fit = np.minimum(a[:, 1], b[:, 1]) >= coverage * np.maximum(a[:, 0], b[:, 0]) - 1e-6
+                x, y, a, b = x[fit], y[fit], a[fit], b[fit]
+                agree = BINS - np.bitwise_count(sketch[x] ^ sketch2[y]).sum(1, dtype=np.int64)
+                sample = np.minimum(BINS, np.minimum(a[:, 2], b[:, 2]))
+                fit = agree / BINS >= (1 + least) / 2 - SPREAD * 0.5 * np.sqrt((1 - least**2) / sample)
+                held.append(np.stack([rec[x[fit]] >> np.uint64(1), rec2[y[fit]] >> np.uint64(1)], 1).astype(np.int64))
+                some += len(held[-1])
                 if some > 1_000_000:
-                    yield _counted(held)
+                    yield _pairs(held)
                     held, some = [], 0
-        if held:
-            yield _counted(held)
+            if held:
+                yield _pairs(held)
 
-    both = packed(left, 0).unionByName(packed(right, 1)).repartition("part")
-    pairs = both.mapInArrow(run, "a bigint, b bigint, common bigint, starts bigint")
-    return pairs.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("starts").alias("starts"))
+    return rows.repartition("part").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
-    rows = np.concatenate(held)
-    order = np.lexsort((rows[:, 1], rows[:, 0]))
-    rows = rows[order]
-    new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])
-    at = np.nonzero(new)[0]
-    common = np.diff(np.append(at, len(rows)))
-    return pa.RecordBatch.from_arrays([pa.array(rows[at, 0]), pa.array(rows[at, 1]), pa.array(common), pa.array(np.maximum.reduceat(rows[:, 2], at))], ["a", "b", "common", "starts"])
+def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.unique(np.concatenate(held), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], ["a", "b"])
 
 
-def class_pairs(left: DataFrame, right: DataFrame, least: float = LEAST, coverage: float = COVERAGE) -> DataFrame:
-    """``a, b, likeness``: pairs of a class of ``left`` and one of ``right`` that reach ``least``."""
-    left, right = spread(left.select("text")), spread(right.select("text"))
-    pairs = shared(left, right).where((F.col("common") >= F.greatest(F.lit(1.0), F.col("starts") * coverage))).select("a", "b")
-    return verified(pairs, texts(left), texts(right), least)
+def candidates(left: DataFrame, right: DataFrame, least: float = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """Distinct ``a, b``: class names of ``left`` and ``right`` whose texts are to be compared."""
+    left, right = (spread(df.select("text").where(F.col("text").isNotNull())) for df in (left, right))
+    at = bounds(left.unionByName(right))
+    rows = _suffix_rows(left, 0, at).unionByName(_suffix_rows(right, 1, at))
+    return paired(rare_suffixes(shared_suffixes(rows, at), at, coverage), least, coverage)
 
 
-def found(held_out: DataFrame, training: DataFrame, least: float = LEAST) -> DataFrame:
-    """``holdout_id, es_1_id``: every pair of ids whose texts reach ``least``.
+# ---- comparison ------------------------------------------------------------------------------------------------------
+
+
+def _filter(pairs: DataFrame) -> list[bytes]:
+    """Bit filters of the class names on either side of the pairs, of FILTER bits whatever their number."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros((2, FILTER // 8), np.uint8)
+        for b in batches:
+            if b.schema.names == ["bits"]:
+                for one in b.column("bits").to_pylist():
+                    bits |= _unpack(one, FILTER // 8, ((np.uint8, 1), (np.uint8, 1)))
+            else:
+                for k, c in enumerate(("a", "b")):
+                    at = (mix(b.column(c).to_numpy().view(np.uint64).copy()) % np.uint64(FILTER)).astype(np.int64)
+                    np.bitwise_or.at(bits[k], at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([_pack(*bits)], pa.binary())], ["bits"])
+
+    whole = pairs.mapInArrow(partial, "bits binary").coalesce(1).mapInArrow(partial, "bits binary").first()
+    return [x.tobytes() for x in _unpack(whole["bits"], FILTER // 8, ((np.uint8, 1), (np.uint8, 1)))]
+
+
+def _wanted(df: DataFrame, side: int, bits: bytes) -> DataFrame:
+    """``ref, side, cls, id, plain`` of the rows whose class may be in a pair. Null ids and texts are left out."""
+    data = df.sparkSession.sparkContext.broadcast(bits)  # FILTER bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(data.value, np.uint8)
+        for b in blocks(batches):
+            rows, forms = plain_block(b)
+            cls = np.array([fingerprint(f) for f in forms], np.int64)
+            ref = cls.view(np.uint64) & REF
+            at = (mix(ref.copy()) % np.uint64(FILTER)).astype(np.int64)
+            on = np.nonzero(known[at >> 3] >> (at & 7).astype(np.uint8) & 1)[0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ref[on].astype(np.int64)), pa.array([side] * len(on), pa.int32()), pa.array(cls[on]), b.column("id").take(pa.array(rows[on])), pa.array([forms[i] for i in on.tolist()], pa.string())],
+                ["ref", "side", "cls", "id", "plain"],
+            )
+
+    source = spread(df.select("id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull()))
+    return source.mapInArrow(run, f"ref bigint, side int, cls bigint, id {source.schema['id'].dataType.simpleString()}, plain string")
+
+
+def covered(x: str, y: str) -> tuple[int, int]:
+    """Characters of each of two plain forms that lie in stretches both share: suffixes with a common prefix, grown and merged."""
+    level = next((lv for lv in LEVELS if min(len(x), len(y)) >= lv.shortest and max(len(x), len(y)) < lv.longest), LEVELS[-1])
+    text, head, _, place = suffixes([x, y], level)
+    spans: tuple[list, list] = ([], [])
+    name = [bytes(h[: level.depth]) for h in head]
+    at: dict[bytes, list[int]] = {}
+    for t, p, k in zip(text.tolist(), place.tolist(), name, strict=True):
+        if t == 1:
+            at.setdefault(k, []).append(p)
+    for t, p, k in zip(text.tolist(), place.tolist(), name, strict=True):
+        for q in at.get(k, ()) if t == 0 else ():
+            a, b = p, q
+            while a and b and x[a - 1] == y[b - 1]:
+                a, b = a - 1, b - 1
+            end = 0
+            while p + end < len(x) and q + end < len(y) and x[p + end] == y[q + end]:
+                end += 1
+            spans[0].append((a, p + end)), spans[1].append((b, q + end))
+    return tuple(_union(s) for s in spans)
+
+
+def _union(spans: list[tuple[int, int]]) -> int:
+    total, upto = 0, 0
+    for a, b in sorted(spans):
+        total += max(0, b - max(a, upto))
+        upto = max(upto, b)
+    return total
+
+
+def overlaps(held_out: DataFrame, training: DataFrame, least: float = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """``holdout_id, es_1_id, likeness, covered, es_1_covered``: every pair of ids whose texts reach ``least``, with the characters of
+    the plain form of each that stand in stretches both share.
 
     Null texts and plain forms under 40 characters belong to no pair, null ids are left out, redelivered rows count once.
     """
-    pairs = class_pairs(held_out, training, least).select("a", "b")
-    a = members(spread(held_out.select("id", "text"))).select(F.col("cls").alias("a"), F.col("id").alias("holdout_id"))
-    b = members(spread(training.select("id", "text"))).select(F.col("cls").alias("b"), F.col("id").alias("es_1_id"))
-    return pairs.join(a, "a").join(b, "b").select("holdout_id", "es_1_id").distinct()
+    pairs = checkpoint(candidates(held_out, training, least, coverage))
+    bits = _filter(pairs)
+    rows = checkpoint(_wanted(held_out, 0, bits[0]).unionByName(_wanted(training, 1, bits[1])))
+    texts = rows.select("ref", "side", "cls", "plain").distinct()
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("ref"), F.lit(0).alias("side")), F.struct(F.col("b").alias("ref"), F.lit(1).alias("side")))).alias("e"), "a", "b")
+    halves = ends.select("e.*", "a", "b").join(texts, ["ref", "side"])
+    one = F.struct("cls", "plain")
+    # a name is 48 bits of a class; where two classes have the same one, both are compared
+    whole = halves.groupBy("a", "b").agg(F.collect_set(F.when(F.col("side") == 0, one)).alias("x"), F.collect_set(F.when(F.col("side") == 1, one)).alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in range(0, batch.num_rows, 2000):
+                part = batch.slice(cut, 2000)
+                met = [(x, y) for xs, ys in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True) for x in xs for y in ys]
+                score = likenesses([x["plain"] for x, _ in met], [y["plain"] for _, y in met], least=least)
+                keep = [k for k in range(len(met)) if score[k] >= least - 1e-12]
+                cover = [covered(met[k][0]["plain"], met[k][1]["plain"]) for k in keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([met[k][s]["cls"] for k in keep], pa.int64()) for s in (0, 1)] + [pa.array(score[keep], pa.float64())] + [pa.array([c[s] for c in cover], pa.int64()) for s in (0, 1)],
+                    ["a", "b", "likeness", "covered", "es_1_covered"],
+                )
+
+    scored = whole.mapInArrow(run, "a bigint, b bigint, likeness double, covered bigint, es_1_covered bigint")
+    ids = [rows.where(F.col("side") == s).select(F.col("cls").alias(c), F.col("id").alias(i)).distinct() for s, c, i in ((0, "a", "holdout_id"), (1, "b", "es_1_id"))]
+    pairs = scored.join(ids[0], "a").join(ids[1], "b")
+    return pairs.groupBy("holdout_id", "es_1_id").agg(*(F.max(c).alias(c) for c in ("likeness", "covered", "es_1_covered")))
+
+
+def found(held_out: DataFrame, training: DataFrame, least: float = LEAST) -> DataFrame:
+    """``holdout_id, es_1_id`` of :func:`overlaps`."""
+    return overlaps(held_out, training, least).select("holdout_id", "es_1_id")
 
 
 def report(held_out: DataFrame, training: DataFrame, least: float = LEAST) -> DataFrame:
-    """``split, source, pairs, records, of_records``: overlaps by the held-out record's split and source."""
+    """``split, source, pairs, records, of_records, covered``: overlaps by the held-out record's split and source; ``covered`` is the sum
+    over its records of the most characters that one training record covers."""
     where = held_out.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("split").alias("split"), F.min("source").alias("source"))
-    per = checkpoint(found(held_out, training, least)).groupBy(F.col("holdout_id").alias("id")).agg(F.count("*").alias("pairs"))
-    return where.join(per, "id", "left").groupBy("split", "source").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.count("pairs").alias("records"), F.count("*").alias("of_records"))
+    per = overlaps(held_out, training, least).groupBy(F.col("holdout_id").alias("id")).agg(F.count("*").alias("pairs"), F.max("covered").alias("covered"))
+    return where.join(per, "id", "left").groupBy("split", "source").agg(
+        F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.count("pairs").alias("records"), F.count("*").alias("of_records"), F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"),
+    )
