@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.classes import likenesses, plain_block
+from veilspark.llm.classes import REF, class_filter, class_rows, likenesses, pack, plain_block, unpack
 from veilspark.llm.forms import MIX, WIDTH, Windows, blocks, fingerprint, mix
 from veilspark.session import checkpoint, spread
 
@@ -42,9 +42,9 @@ class Level:
 
 
 #: Short texts have finer starts and shorter runs. Lengths of a pair differ by 1 / LEAST at most, so every pair is whole in one array.
-LEVELS = (Level(150, 1 << 60, 24, 24), Level(0, 251, 6, 16))
+LEVELS = (Level(150, 1 << 60, 24, 16), Level(0, 251, 5, 16))
 #: Bytes of a suffix that travel and are sorted.
-CARRY = 32
+CARRY = 16
 #: Share of the suffixes of either record that a pair must have in common to be compared. Of the pairs of the scale 0.1 tables the
 #: least share is 0.30.
 COVERAGE = 0.2
@@ -53,61 +53,55 @@ PART, SAMPLE, BLOCK = 250_000, 6000, 2048
 #: Bins of the sketch, a bit each: agreement is (1 + likeness) / 2 per bin. A pair is dropped 4 standard deviations under what LEAST gives.
 BINS = 192
 SPREAD = 4.0
-#: Bits of the filter by which texts without a candidate stay where they are. It is of this size for any input; a full one lets all pass.
-FILTER = 1 << 23
-REF = np.uint64((1 << 48) - 1)
 
 
 # ---- packing ---------------------------------------------------------------------------------------------------------
 
-
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length, byte by byte and compressed; what is sorted costs little."""
-    import zstandard
-
-    data = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
-    return zstandard.ZstdCompressor(1).compress(data)
-
-
-def _unpack(data: bytes, n: int, kinds: tuple[tuple[type, int], ...]) -> list[np.ndarray]:
-    import zstandard
-
-    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), 0, []
-    for kind, wide in kinds:
-        size = np.dtype(kind).itemsize * wide
-        rows = np.ascontiguousarray(raw[at : at + size * n].reshape(size, n).T).view(kind)
-        out.append(rows if wide > 1 else rows.reshape(n))
-        at += size * n
-    return out
+#: What travels: suffixes to their part of the array; records with the number of their suffixes, of their substrings and their
+#: sketches; shared suffixes to their record; kept ones to their unit. Whole numbers that are small cost few bytes.
+SUFFIX = ((np.uint64, 1),)
+RECORD = ((np.uint64, 1), (np.uint32, 2), (np.uint8, BINS // 8))
+SHARED = ((np.uint64, 1), (np.uint64, 1), (np.uint8, 2))
+KEPT = ((np.uint64, 1), (np.uint64, 1), (np.uint32, 2), (np.uint8, 1), (np.uint8, BINS // 8))
+SHORT_NAME = np.uint64((1 << 40) - 1)
+ROWS = "part int, kind int, side int, n int, text binary, data binary"
 
 
-#: What travels: suffixes to their part of the array; records with their sketches; shared suffixes to their record; kept ones to their unit.
-SUFFIX = ((np.uint8, CARRY), (np.uint64, 1), (np.uint32, 1))
-RECORD = ((np.uint64, 1), (np.uint32, 1), (np.uint8, BINS // 8))
-SHARED = ((np.uint64, 1), (np.uint64, 1), (np.uint32, 1), (np.uint8, 2))
-KEPT = ((np.uint64, 1), (np.uint64, 1), (np.uint32, 3), (np.uint8, BINS // 8))
-ROWS = "part int, kind int, side int, n int, data binary"
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:4]), *(pa.array(c, pa.binary()) for c in cols[4:])], ["part", "kind", "side", "n", "text", "data"])
 
 
-def _batch(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["part", "kind", "side", "n", "data"])
-
-
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, int, bytes]]]]:
-    held: dict[int, list[tuple[int, int, int, bytes]]] = {}
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The pieces (kind, side, n, text, data) of each part."""
+    held: dict[int, list[tuple]] = {}
     for b in batches:
-        for part, *row in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "side", "n", "data")), strict=True):
+        for part, *row in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
             held.setdefault(part, []).append(tuple(row))
     for part in sorted(held):
         yield part, held.pop(part)
 
 
-def _split(bucket: np.ndarray, kind: int, side: int, columns: list[np.ndarray]) -> list[tuple[int, int, int, int, bytes]]:
+def _read(pieces: list[tuple], kind: int, side: int | None, kinds: tuple) -> list[np.ndarray]:
+    """The columns of all pieces of a kind, of one side or both; none if there are no such pieces."""
+    read = [unpack(p[4], p[2], kinds) for p in pieces if p[0] == kind and side in (None, p[1])]
+    return [np.concatenate(c) for c in zip(*read, strict=True)]
+
+
+def _split(bucket: np.ndarray, kind: int, side: int, columns: list[np.ndarray], text: np.ndarray | None = None) -> list[tuple]:
+    """Rows by bucket. ``text`` is sorted and compresses best row by row."""
+    import zstandard
+
+    if not len(bucket):
+        return []
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    cuts = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0] if len(bucket) else []
-    return [(int(bucket[a]), kind, side, int(b - a), _pack(*(c[order[a:b]] for c in columns))) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+    cuts = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0]
+    tight = zstandard.ZstdCompressor(3)
+    return [
+        (int(bucket[a]), kind, side, int(b - a), None if text is None else tight.compress(text[order[a:b]].tobytes()), pack(*(c[order[a:b]] for c in columns)))
+        for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)
+    ]
 
 
 # ---- suffixes --------------------------------------------------------------------------------------------------------
@@ -198,6 +192,7 @@ class Bounds:
     cuts: list[np.ndarray]
     wide: list[dict[bytes, int]]
     parts: int
+    tasks: int
 
     def place(self, k: int, head: np.ndarray, rec: np.ndarray) -> np.ndarray:
         depth = LEVELS[k].depth
@@ -231,7 +226,7 @@ def bounds(both: DataFrame) -> Bounds:
         cuts.append(names)
         wide.append({bytes(x): int(t) for x, t in zip(names, times, strict=True) if t > 1})
         parts += many
-    return Bounds(cuts, wide, len(LEVELS) * parts)
+    return Bounds(cuts, wide, len(LEVELS) * parts, max(12, parts))
 
 
 def _suffix_rows(df: DataFrame, side: int, at: Bounds) -> DataFrame:
@@ -242,10 +237,10 @@ def _suffix_rows(df: DataFrame, side: int, at: Bounds) -> DataFrame:
                 text, head, many, _ = suffixes(forms, level)
                 if not len(text):
                     continue
-                rows += _split(at.place(k, head, rec[text]), 0, side, [head, rec[text], many.astype(np.uint32)])
-                has = np.unique(text)
+                rows += _split(at.place(k, head, rec[text]), 0, side, [rec[text]], head)
+                has, first = np.unique(text, return_index=True)
                 grams, sketch = _sketches([forms[i] for i in has.tolist()])
-                rows += _split((mix(rec[has]) % np.uint64(at.parts)).astype(np.int64), 1, side, [rec[has], grams, sketch])
+                rows += _split((mix(rec[has]) % np.uint64(at.parts)).astype(np.int64), 1, side, [rec[has], np.stack([many[first].astype(np.uint32), grams], 1), sketch])
             yield _batch(rows)
 
     return df.mapInArrow(run, ROWS)
@@ -261,6 +256,7 @@ def _code(n: np.ndarray) -> np.ndarray:
 
 def shared_suffixes(rows: DataFrame, at: Bounds) -> DataFrame:
     """Of each part, sorted: the suffixes in runs of both sides, on the way to their records. Records pass through."""
+    import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, pieces in _by_part(batches):
@@ -268,12 +264,13 @@ def shared_suffixes(rows: DataFrame, at: Bounds) -> DataFrame:
             own = [p for p in pieces if p[0] == 0]
             if not own or len({p[1] for p in own}) < 2 and not any(at.wide):
                 continue
-            read = [_unpack(data, n, SUFFIX) for _, _, n, data in own]
-            head, rec, many = (np.concatenate(c) for c in zip(*read, strict=True))
+            opened = zstandard.ZstdDecompressor()
+            head = np.frombuffer(b"".join(opened.decompress(p[3]) for p in own), np.uint8).reshape(-1, CARRY)
+            rec = _read(own, 0, None, SUFFIX)[0]
             side = np.repeat(np.array([p[1] for p in own], np.uint8), [p[2] for p in own])
             keys = head.view(">u8").astype(np.uint64)
             order = np.lexsort((rec, side, *(keys[:, k] for k in range(keys.shape[1] - 1, -1, -1)), rec & np.uint64(1)))
-            head, rec, many, side, keys = head[order], rec[order], many[order], side[order], keys[order]
+            head, rec, side, keys = head[order], rec[order], side[order], keys[order]
             k = (rec & np.uint64(1)).astype(np.int64)
             apart = head[1:] != head[:-1]
             common = np.where(apart.any(1), apart.argmax(1), CARRY)  # the common prefix of a suffix and the one before it
@@ -281,12 +278,12 @@ def shared_suffixes(rows: DataFrame, at: Bounds) -> DataFrame:
             new = np.concatenate([[True], (common < depth[1:]) | (k[1:] != k[:-1])])
             group = np.cumsum(new) - 1
             order = np.lexsort((rec, side, group))
-            group, side, rec, many = group[order], side[order], rec[order], many[order]
+            group, side, rec = group[order], side[order], rec[order]
             once = np.concatenate([[True], (group[1:] != group[:-1]) | (side[1:] != side[:-1]) | (rec[1:] != rec[:-1])])
-            group, side, rec, many = group[once], side[once], rec[once], many[once]
+            group, side, rec = group[once], side[once], rec[once]
             first = np.nonzero(new)[0]
             with np.errstate(over="ignore"):
-                name = mix(sum(np.where(depth[first] > 8 * j, keys[first, j], 0).astype(np.uint64) * (MIX + np.uint64(2 * j)) ^ (keys[first, j] >> np.uint64(29)) * (depth[first] > 8 * j) for j in range(3)) + k[first].astype(np.uint64))
+                name = mix(sum(np.where(depth[first] > 8 * j, keys[first, j], 0).astype(np.uint64) * (MIX + np.uint64(2 * j)) ^ (keys[first, j] >> np.uint64(29)) * (depth[first] > 8 * j) for j in range(keys.shape[1])) + k[first].astype(np.uint64))
             n = np.stack([np.bincount(group[side == s], minlength=len(first)) for s in (0, 1)], 1)
             sizes = _code(n)
             both = (n > 0).all(1)
@@ -297,9 +294,9 @@ def shared_suffixes(rows: DataFrame, at: Bounds) -> DataFrame:
             keep = both[group]
             for s in (0, 1):
                 on = keep & (side == s)
-                yield _batch(_split((mix(rec[on]) % np.uint64(at.parts)).astype(np.int64), 2, s, [rec[on], name[group[on]], many[on], sizes[group[on]]]))
+                yield _batch(_split((mix(rec[on]) % np.uint64(at.parts)).astype(np.int64), 2, s, [rec[on], name[group[on]] & SHORT_NAME, sizes[group[on]]]))
 
-    return rows.repartition("part").mapInArrow(run, ROWS)
+    return rows.repartition(at.tasks, "part").mapInArrow(run, ROWS)
 
 
 def rare_suffixes(rows: DataFrame, at: Bounds, coverage: float) -> DataFrame:
@@ -308,24 +305,24 @@ def rare_suffixes(rows: DataFrame, at: Bounds, coverage: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pieces in _by_part(batches):
             for s in (0, 1):
-                known = [_unpack(data, n, RECORD) for kind, side, n, data in pieces if kind == 1 and side == s]
-                own = [_unpack(data, n, SHARED) for kind, side, n, data in pieces if kind == 2 and side == s]
+                own = _read(pieces, 2, s, SHARED)
                 if not own:
                     continue
-                of, grams, sketch = (np.concatenate(c) for c in zip(*known, strict=True))
+                of, numbers, sketch = _read(pieces, 1, s, RECORD)
                 of, first = np.unique(of, return_index=True)
-                grams, sketch = grams[first], sketch[first]
-                rec, name, many, sizes = (np.concatenate(c) for c in zip(*own, strict=True))
+                numbers, sketch = numbers[first], sketch[first]
+                rec, name, sizes = own
                 order = np.lexsort((name, sizes.astype(np.uint16).sum(1), rec))
-                rec, name, many, sizes = rec[order], name[order], many[order], sizes[order]
+                rec, name, sizes = rec[order], name[order], sizes[order]
+                mine = np.searchsorted(of, rec)
+                many = numbers[mine, 0]
                 new = np.concatenate([[True], rec[1:] != rec[:-1]])
                 count = np.diff(np.append(np.nonzero(new)[0], len(rec)))
                 number = np.arange(len(rec)) - np.repeat(np.nonzero(new)[0], count)
                 before = many - np.repeat(count, count) + number  # suffixes that nobody shares come first
                 need = np.maximum(1, np.ceil(coverage * many - 1e-9))
                 keep = before < many - need + 1
-                rec, name, many, sizes, left = rec[keep], name[keep], many[keep], sizes[keep], (many - before)[keep].astype(np.uint32)
-                mine = np.searchsorted(of, rec)
+                rec, name, mine, sizes, left = rec[keep], name[keep], mine[keep], sizes[keep], (many - before)[keep].astype(np.uint32)
                 # blocks of this side and of the other; a row goes to the unit of its block with each block of the other side
                 cut = np.maximum(1, np.ceil(1.12 ** sizes.astype(float) / BLOCK)).astype(np.int64)
                 block = (mix(rec * MIX) % cut[:, s].astype(np.uint64)).astype(np.int64)
@@ -335,28 +332,22 @@ def rare_suffixes(rows: DataFrame, at: Bounds, coverage: float) -> DataFrame:
                 i, j = (block[row], other) if s == 0 else (other, block[row])
                 with np.errstate(over="ignore"):
                     unit = mix(name[row] + i.astype(np.uint64) * MIX + mix(j.astype(np.uint64) + np.uint64(77)) * np.uint64(3))
-                numbers = np.stack([many[row], left[row], grams[mine[row]]], 1)
-                yield _batch(_split((unit % np.uint64(at.parts)).astype(np.int64), 3, s, [unit, rec[row], numbers, sketch[mine[row]]]))
+                both = np.stack([numbers[mine[row], 0], left[row]], 1)
+                bins = np.minimum(BINS, numbers[mine[row], 1]).astype(np.uint8)
+                yield _batch(_split((unit % np.uint64(at.parts)).astype(np.int64), 3, s, [unit & SHORT_NAME, rec[row], both, bins, sketch[mine[row]]]))
 
-    return rows.repartition("part").mapInArrow(run, ROWS)
+    return rows.repartition(at.tasks, "part").mapInArrow(run, ROWS)
 
 
-def paired(rows: DataFrame, least: float, coverage: float) -> DataFrame:
+def paired(rows: DataFrame, at: Bounds, least: float, coverage: float) -> DataFrame:
     """Distinct ``a, b``: records that share a rare run and may reach the likeness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pieces in _by_part(batches):
-            sides = []
-            for s in (0, 1):
-                read = [_unpack(data, n, KEPT) for _, side, n, data in pieces if side == s]
-                if not read:
-                    break
-                cols = [np.concatenate(c) for c in zip(*read, strict=True)]
-                order = np.argsort(cols[0], kind="stable")
-                sides.append([c[order] for c in cols])
-            if len(sides) < 2:
+            sides = [_read(pieces, 3, s, KEPT) for s in (0, 1)]
+            if not all(sides):
                 continue
-            (unit, rec, number, sketch), (unit2, rec2, number2, sketch2) = sides
+            (unit, rec, number, bins, sketch), (unit2, rec2, number2, bins2, sketch2) = ([c[order] for c in cols] for cols in sides for order in [np.argsort(cols[0], kind="stable")])
             first = np.searchsorted(unit2, unit, "left")
             count = np.searchsorted(unit2, unit, "right") - first
             ends = np.cumsum(count)
@@ -371,7 +362,7 @@ def paired(rows: DataFrame, least: float, coverage: float) -> DataFrame:
                 fit = np.minimum(a[:, 1], b[:, 1]) >= coverage * np.maximum(a[:, 0], b[:, 0]) - 1e-6
                 x, y, a, b = x[fit], y[fit], a[fit], b[fit]
                 agree = BINS - np.bitwise_count(sketch[x] ^ sketch2[y]).sum(1, dtype=np.int64)
-                sample = np.minimum(BINS, np.minimum(a[:, 2], b[:, 2]))
+                sample = np.minimum(bins[x], bins2[y])
                 fit = agree / BINS >= (1 + least) / 2 - SPREAD * 0.5 * np.sqrt((1 - least**2) / sample)
                 held.append(np.stack([rec[x[fit]] >> np.uint64(1), rec2[y[fit]] >> np.uint64(1)], 1).astype(np.int64))
                 some += len(held[-1])
@@ -381,7 +372,7 @@ def paired(rows: DataFrame, least: float, coverage: float) -> DataFrame:
             if held:
                 yield _pairs(held)
 
-    return rows.repartition("part").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition(at.tasks, "part").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -394,72 +385,20 @@ def candidates(left: DataFrame, right: DataFrame, least: float = LEAST, coverage
     left, right = (spread(df.select("text").where(F.col("text").isNotNull())) for df in (left, right))
     at = bounds(left.unionByName(right))
     rows = _suffix_rows(left, 0, at).unionByName(_suffix_rows(right, 1, at))
-    return paired(rare_suffixes(shared_suffixes(rows, at), at, coverage), least, coverage)
+    return paired(rare_suffixes(shared_suffixes(rows, at), at, coverage), at, least, coverage)
 
 
 # ---- comparison ------------------------------------------------------------------------------------------------------
 
 
-def _filter(pairs: DataFrame) -> list[bytes]:
-    """Bit filters of the class names on either side of the pairs, of FILTER bits whatever their number."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros((2, FILTER // 8), np.uint8)
-        for b in batches:
-            if b.schema.names == ["bits"]:
-                for one in b.column("bits").to_pylist():
-                    bits |= _unpack(one, FILTER // 8, ((np.uint8, 1), (np.uint8, 1)))
-            else:
-                for k, c in enumerate(("a", "b")):
-                    at = (mix(b.column(c).to_numpy().view(np.uint64).copy()) % np.uint64(FILTER)).astype(np.int64)
-                    np.bitwise_or.at(bits[k], at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([_pack(*bits)], pa.binary())], ["bits"])
-
-    whole = pairs.mapInArrow(partial, "bits binary").coalesce(1).mapInArrow(partial, "bits binary").first()
-    return [x.tobytes() for x in _unpack(whole["bits"], FILTER // 8, ((np.uint8, 1), (np.uint8, 1)))]
-
-
-def _wanted(df: DataFrame, side: int, bits: bytes) -> DataFrame:
-    """``ref, side, cls, id, plain`` of the rows whose class may be in a pair. Null ids and texts are left out."""
-    data = df.sparkSession.sparkContext.broadcast(bits)  # FILTER bits
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(data.value, np.uint8)
-        for b in blocks(batches):
-            rows, forms = plain_block(b)
-            cls = np.array([fingerprint(f) for f in forms], np.int64)
-            ref = cls.view(np.uint64) & REF
-            at = (mix(ref.copy()) % np.uint64(FILTER)).astype(np.int64)
-            on = np.nonzero(known[at >> 3] >> (at & 7).astype(np.uint8) & 1)[0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ref[on].astype(np.int64)), pa.array([side] * len(on), pa.int32()), pa.array(cls[on]), b.column("id").take(pa.array(rows[on])), pa.array([forms[i] for i in on.tolist()], pa.string())],
-                ["ref", "side", "cls", "id", "plain"],
-            )
-
-    source = spread(df.select("id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull()))
-    return source.mapInArrow(run, f"ref bigint, side int, cls bigint, id {source.schema['id'].dataType.simpleString()}, plain string")
-
-
 def covered(x: str, y: str) -> tuple[int, int]:
-    """Characters of each of two plain forms that lie in stretches both share: suffixes with a common prefix, grown and merged."""
-    level = next((lv for lv in LEVELS if min(len(x), len(y)) >= lv.shortest and max(len(x), len(y)) < lv.longest), LEVELS[-1])
-    text, head, _, place = suffixes([x, y], level)
-    spans: tuple[list, list] = ([], [])
-    name = [bytes(h[: level.depth]) for h in head]
-    at: dict[bytes, list[int]] = {}
-    for t, p, k in zip(text.tolist(), place.tolist(), name, strict=True):
-        if t == 1:
-            at.setdefault(k, []).append(p)
-    for t, p, k in zip(text.tolist(), place.tolist(), name, strict=True):
-        for q in at.get(k, ()) if t == 0 else ():
-            a, b = p, q
-            while a and b and x[a - 1] == y[b - 1]:
-                a, b = a - 1, b - 1
-            end = 0
-            while p + end < len(x) and q + end < len(y) and x[p + end] == y[q + end]:
-                end += 1
-            spans[0].append((a, p + end)), spans[1].append((b, q + end))
-    return tuple(_union(s) for s in spans)
+    """Characters of each of two plain forms that lie in stretches of a run's depth or more that both have, merged."""
+    wide = next((lv.depth for lv in LEVELS if min(len(x), len(y)) >= lv.shortest), LEVELS[-1].depth)
+    out = []
+    for a, b in ((x, y), (y, x)):
+        there = {b[i : i + wide] for i in range(len(b) - wide + 1)}
+        out.append(_union([(i, i + wide) for i in range(len(a) - wide + 1) if a[i : i + wide] in there]))
+    return tuple(out)
 
 
 def _union(spans: list[tuple[int, int]]) -> int:
@@ -477,13 +416,14 @@ def overlaps(held_out: DataFrame, training: DataFrame, least: float = LEAST, cov
     Null texts and plain forms under 40 characters belong to no pair, null ids are left out, redelivered rows count once.
     """
     pairs = checkpoint(candidates(held_out, training, least, coverage))
-    bits = _filter(pairs)
-    rows = checkpoint(_wanted(held_out, 0, bits[0]).unionByName(_wanted(training, 1, bits[1])))
+    rows = [class_rows(df, class_filter(pairs, (c,))) for df, c in ((held_out, "a"), (training, "b"))]
+    named = [r.select(F.col("cls").bitwiseAND(F.lit(int(REF))).alias("ref"), F.lit(s).alias("side"), "cls", "id", "plain") for s, r in enumerate(rows)]
+    rows = checkpoint(named[0].unionByName(named[1]))
     texts = rows.select("ref", "side", "cls", "plain").distinct()
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("ref"), F.lit(0).alias("side")), F.struct(F.col("b").alias("ref"), F.lit(1).alias("side")))).alias("e"), "a", "b")
     halves = ends.select("e.*", "a", "b").join(texts, ["ref", "side"])
     one = F.struct("cls", "plain")
-    # a name is 48 bits of a class; where two classes have the same one, both are compared
+    # a name is 39 bits of a class; where two classes have the same one, both are compared
     whole = halves.groupBy("a", "b").agg(F.collect_set(F.when(F.col("side") == 0, one)).alias("x"), F.collect_set(F.when(F.col("side") == 1, one)).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
