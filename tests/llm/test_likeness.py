@@ -66,28 +66,36 @@ def test_p4_all_pairs(spark, rows):
         assert seen >= part
 
 
-def test_p4_long_runs_lose_nothing(spark, monkeypatch):
-    base = "the records unit moved the certified copy to the northern branch with a delay of many days and asked the desk to check "
-    rows = [(f"k{k:03d}", base * 2 + f"{k:05d}") for k in range(90)]
-    got = neardup.found(spark.createDataFrame(rows, "id string, text string")).count()
-    assert got == 90 * 89 // 2
-
-
-def test_p4_long_runs_give_all_pairs(spark):
+def _versions(n, edits=9):
     rng = random.Random(4)
     base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=390))
 
     def version():
         text = list(base)
-        for at in rng.sample(range(390), 9):
+        for at in rng.sample(range(390), edits):
             text[at] = rng.choice("0123456789")
         return "".join(text)
 
-    keys = neardup.keyed(spark.createDataFrame([(version(),) for _ in range(150)], "text string")).cache()
-    whole, cut = ({tuple(r) for r in neardup.candidates(keys, longest=n).collect()} for n in (1000, 16))
+    return [version() for _ in range(n)]
+
+
+def test_p4_long_runs_give_all_pairs(spark):
+    df = spark.createDataFrame([(t,) for t in _versions(150)], "text string")
+    common, parts = neardup.common_keys(df)
+    assert not len(common)
+    keys = neardup.keyed(df, common, parts).cache()
+    whole, cut = ({tuple(r) for r in neardup.candidates(keys, parts, longest=n).collect()} for n in (1000, 16))
     assert whole == cut and len(whole) > 5_000 and all(a < b for a, b in whole)
 
 
+def test_p4_common_left_keys_are_split_without_loss(spark):
+    df = spark.createDataFrame([(t,) for t in _versions(150)], "text string")
+    common, parts = neardup.common_keys(df, least=2)
+    assert len(common)
+    split, whole = ({tuple(r) for r in neardup.candidates(neardup.keyed(df, c, parts), parts, longest=40).collect()} for c in (common, common[:0]))
+    assert split == whole and len(whole) > 5_000
+
+
 def test_p4_pairs_at_the_threshold_are_candidates():
     rng, letters = random.Random(6), "abcdefghijklmnopqrstuvwxyz "
     left = ["".join(rng.choices(letters, k=390)) for _ in range(1000)]
@@ -98,7 +106,28 @@ def test_p4_pairs_at_the_threshold_are_candidates():
     b = [1000 + k for k in a]
     enough = neardup.agreeing(rights, a, b) >= neardup.AGREE
     assert enough.all()
-    assert ((lefts[a] == lefts[b]).any(1) & (rights[a] == rights[b]).any(1)).mean() > 0.96
+    assert ((lefts[a] == lefts[b]).any(1) & (rights[a] == rights[b]).any(1)).mean() > 0.97
+
+
+def test_p4_recall_between_060_and_065(spark):
+    rng, letters = random.Random(7), "abcdefghijklmnopqrstuvwxyz "
+    rows, want = [], 0
+    for k in range(400):
+        text = "".join(rng.choices(letters, k=rng.choice([60, 200, 500])))
+        twin = list(text)
+        for at in rng.sample(range(len(text)), len(text) // 20):
+            twin[at] = rng.choice("0123456789")
+        if 0.6 <= classes.likenesses([text], ["".join(twin)])[0] < 0.65:
+            rows += [(f"a{k:03d}", text), (f"b{k:03d}", "".join(twin))]
+            want += 1
+    got = neardup.found(spark.createDataFrame(rows, "id string, text string")).count()
+    assert want > 150 and got >= 0.95 * want
+
+
+def test_p4_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COPIES", 10)
+    rows = [(f"k{k:03d}", "the same text of more than forty characters, over and over") for k in range(75)]
+    assert neardup.found(spark.createDataFrame(rows, "id string, text string")).count() == 75 * 74 // 2
 
 
 def test_p1_all_pairs(spark, rows):
@@ -117,6 +146,13 @@ def test_p1_short_texts_with_one_edit(spark):
     assert {tuple(r) for r in overlap.found(a, b).collect()} == {(f"k{k:03d}", f"k{k:03d}") for k in range(400)}
 
 
+def _pairs_of(spark, left, right):
+    a, b = (spark.createDataFrame([(f"k{k:03d}", t) for k, t in enumerate(part)], "id string, text string") for part in (left, right))
+    sa, sb = ({i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t in enumerate(part)} for part in (left, right))
+    want = {(f"k{i:03d}", f"k{j:03d}") for i in sa for j in sb if likeness(sa[i], sb[j]) >= 0.6}
+    return want, {tuple(r) for r in overlap.found(a, b).collect()}
+
+
 def test_p1_common_frames(spark):
     frame = "the records unit approved the renewal form for the third time this year without waiting for "
     rows = [(f"k{k:03d}", frame + " ".join(random.Random(k).choices(["amber", "birch", "cedar", "dune", "elm", "fern", "gorse", "heath"], k=40))) for k in range(60)]
@@ -124,6 +160,30 @@ def test_p1_common_frames(spark):
     assert {tuple(r) for r in overlap.found(df.where("id < 'k030'"), df).collect()} >= {(f"k{k:03d}", f"k{k:03d}") for k in range(30)}
 
 
+def test_p1_versions_of_one_template_all_pair(spark, monkeypatch):
+    texts = _versions(200, edits=8)
+    want, got = _pairs_of(spark, texts[:20], texts[20:])
+    assert got == want and len(want) == 20 * 180
+    monkeypatch.setattr(overlap, "BLOCK", 16)  # common runs in blocks, common suffixes over several parts
+    monkeypatch.setattr(overlap, "PART", 50)
+    want, got = _pairs_of(spark, texts[:20], texts[20:])
+    assert got == want
+
+
+def test_p1_random_edits_near_the_threshold(spark):
+    rng = random.Random(9)
+    left = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.choice([100, 250, 400, 800]))) for _ in range(300)]
+    right = ["".join(rng.choice("0123456789") if rng.random() < 0.045 else c for c in t) for t in left]
+    want, got = _pairs_of(spark, left, right)
+    assert got <= want and len(want) > 150 and len(got) >= 0.95 * len(want)
+
+
+def test_p1_coverage_counts_shared_characters():
+    assert overlap.covered("x" * 50, "y" * 50) == (0, 0)
+    a, b = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEF", "zyxwvutsrqponmlkjihgfedcba"
+    assert overlap.covered(a + b, "#" * 30 + a) == (42, 42)
+
+
 def test_p1_report(spark, rows):
     held = spark.createDataFrame([(i, t, "dev", "s") for i, t in rows[:5]], "id string, text string, split string, source string")
     r = overlap.report(held, spark.createDataFrame(rows, "id string, text string")).first()

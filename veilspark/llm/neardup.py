@@ -167,7 +167,7 @@ def agreeing(rights: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum((((apart >> np.uint16(BITS * k)) & mask) == 0).sum(1) for k in range(RIGHT))
 
 
-def candidates(keys: DataFrame, longest: int | None = None) -> DataFrame:
+def candidates(keys: DataFrame, parts: int, longest: int | None = None) -> DataFrame:
     """Distinct ``a, b`` (a < b) of classes that agree in a left and a right half key.
 
     A run over ``longest`` leaves the task of its key as block pairs, which cover all of its pairs and are spread over the tasks.
@@ -229,7 +229,7 @@ def candidates(keys: DataFrame, longest: int | None = None) -> DataFrame:
             yield part.select(["a", "b"])
 
     names = ["a", "b", "x", "y"]
-    first = keys.repartition("part", "split").mapInArrow(run, "a bigint, b bigint, x binary, y binary")
+    first = keys.repartition(parts, "part", "split").mapInArrow(run, "a bigint, b bigint, x binary, y binary")
     return first.repartition("a", "b").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
@@ -261,7 +261,8 @@ class _Distinct:
 def _linked(df: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """``cls, id`` of every row with a text long enough, and ``a, b, likeness`` of the pairs of different classes that reach ``least``."""
     source = spread(df.select("text").where(F.col("text").isNotNull()))
-    pairs = checkpoint(candidates(keyed(source, *common_keys(source))))
+    common, parts = common_keys(source)
+    pairs = checkpoint(candidates(keyed(source, common, parts), parts))
     rows = checkpoint(class_rows(df, class_filter(pairs), all_ids=True))
     table = rows.where("plain IS NOT NULL").groupBy("cls").agg(F.first("plain").alias("plain"))
     return rows.select("cls", "id").distinct(), verified(pairs, table, least)

@@ -7,8 +7,8 @@ prefixes of adjacent suffixes are taken, and a run of neighbours with DEPTH byte
 splits is a stretch that they share.
 
 Most shared stretches are frames that very many records have. Runs are therefore ordered from rare to common, and a record
-pairs only in its rarest runs, up to the point where what is left of its suffixes is less than COVERAGE of them. Two records that
-share COVERAGE of the suffixes of each share a run before that point in both, so nothing is lost by it, however common a run is (the
+pairs only in its rarest runs, up to the point where what is left of its suffixes is less than a given share of them. Two records
+that have that share of the suffixes of each in common share a run before that point in both, so nothing is lost by it, however common a run is (the
 prefix filter of set joins). A run with very many records is paired in blocks of BLOCK by BLOCK, each a unit of its own.
 Pairs that can reach the likeness by the suffixes left and by a sketch are then compared exactly, whole text
 against whole text, and the shared stretches of what is found are merged into covered characters per record.
@@ -33,26 +33,29 @@ LEAST = 0.6
 
 @dataclass(frozen=True)
 class Level:
-    """One array: plain forms of ``shortest`` to ``longest`` characters, minimizers among ``window`` places, runs from ``depth`` bytes."""
+    """One array: plain forms of ``shortest`` to ``longest`` characters, minimizers among ``window`` places, runs from ``depth`` bytes.
+
+    ``coverage``: share of the suffixes of either record that a pair must have in common to be compared. Of the pairs of the scale
+    0.1 tables the least share is 0.30.
+    """
 
     shortest: int
     longest: int
     window: int
     depth: int
+    coverage: float
 
 
 #: Short texts have finer starts and shorter runs. Lengths of a pair differ by 1 / LEAST at most, so every pair is whole in one array.
-LEVELS = (Level(150, 1 << 60, 24, 16), Level(0, 251, 5, 16))
+LEVELS = (Level(150, 1 << 60, 24, 16, 0.25), Level(0, 251, 5, 16, 0.1))
 #: Bytes of a suffix that travel and are sorted.
 CARRY = 16
-#: Share of the suffixes of either record that a pair must have in common to be compared. Of the pairs of the scale 0.1 tables the
-#: least share is 0.30.
-COVERAGE = 0.2
 #: Suffix rows of a part, about; texts sampled for the bounds; records of a side of a unit of pairs.
 PART, SAMPLE, BLOCK = 250_000, 6000, 2048
-#: Bins of the sketch, a bit each: agreement is (1 + likeness) / 2 per bin. A pair is dropped 4 standard deviations under what LEAST gives.
+#: Bins of the sketch, a bit each: agreement is (1 + likeness) / 2 per bin. A pair is dropped 3.5 standard
+#: deviations under what LEAST gives, which loses a pair right at it with probability 0.0002.
 BINS = 192
-SPREAD = 4.0
+SPREAD = 3.5
 
 
 # ---- packing ---------------------------------------------------------------------------------------------------------
@@ -254,6 +257,16 @@ def _code(n: np.ndarray) -> np.ndarray:
     return np.ceil(np.log(np.maximum(n, 1)) / np.log(1.12) - 1e-9).astype(np.uint8)
 
 
+def common_prefixes(keys: np.ndarray) -> np.ndarray:
+    """Bytes that each row of big-endian words and the row before it have in common, from the second row on."""
+    common, so_far = np.zeros(max(0, len(keys) - 1), np.int64), np.ones(max(0, len(keys) - 1), bool)
+    for j in range(keys.shape[1]):
+        apart = keys[1:, j] ^ keys[:-1, j]
+        common += so_far * sum((apart < np.uint64(1 << 8 * b)).astype(np.int64) for b in range(8))
+        so_far &= apart == 0
+    return common
+
+
 def shared_suffixes(rows: DataFrame, at: Bounds) -> DataFrame:
     """Of each part, sorted: the suffixes in runs of both sides, on the way to their records. Records pass through."""
     import zstandard
@@ -269,37 +282,45 @@ def shared_suffixes(rows: DataFrame, at: Bounds) -> DataFrame:
             rec = _read(own, 0, None, SUFFIX)[0]
             side = np.repeat(np.array([p[1] for p in own], np.uint8), [p[2] for p in own])
             keys = head.view(">u8").astype(np.uint64)
-            order = np.lexsort((rec, side, *(keys[:, k] for k in range(keys.shape[1] - 1, -1, -1)), rec & np.uint64(1)))
+            order = np.lexsort((*(keys[:, k] for k in range(keys.shape[1] - 1, -1, -1)), (rec & np.uint64(1)).astype(np.uint8)))
             head, rec, side, keys = head[order], rec[order], side[order], keys[order]
             k = (rec & np.uint64(1)).astype(np.int64)
-            apart = head[1:] != head[:-1]
-            common = np.where(apart.any(1), apart.argmax(1), CARRY)  # the common prefix of a suffix and the one before it
             depth = np.array([level.depth for level in LEVELS])[k]
-            new = np.concatenate([[True], (common < depth[1:]) | (k[1:] != k[:-1])])
-            group = np.cumsum(new) - 1
+            new = np.concatenate([[True], (common_prefixes(keys) < depth[1:]) | (k[1:] != k[:-1])])
+            group, first = np.cumsum(new) - 1, np.nonzero(new)[0]
+            with np.errstate(over="ignore"):
+                name = mix(sum(np.where(depth[first] > 8 * j, keys[first, j], 0).astype(np.uint64) * (MIX + np.uint64(2 * j)) ^ (keys[first, j] >> np.uint64(29)) * (depth[first] > 8 * j) for j in range(keys.shape[1])) + k[first].astype(np.uint64))
+            # seen in part only: of the size that the sample says, the same in all of its parts
+            sampled = {}
+            for j, wide in enumerate(at.wide):
+                for text, times in wide.items():
+                    for hit in np.nonzero((k[first] == j) & (np.ascontiguousarray(head[first, : LEVELS[j].depth]).view(f"S{LEVELS[j].depth}").reshape(-1) == text))[0].tolist():
+                        sampled[hit] = times * PART
+            kept = np.logical_and(*(np.bincount(group[side == s], minlength=len(first)) > 0 for s in (0, 1)))
+            kept[list(sampled)] = True
+            on = kept[group]
+            group, side, rec = group[on], side[on], rec[on]
             order = np.lexsort((rec, side, group))
             group, side, rec = group[order], side[order], rec[order]
-            once = np.concatenate([[True], (group[1:] != group[:-1]) | (side[1:] != side[:-1]) | (rec[1:] != rec[:-1])])
+            once = np.ones(len(group), bool)
+            once[1:] = (group[1:] != group[:-1]) | (side[1:] != side[:-1]) | (rec[1:] != rec[:-1])
             group, side, rec = group[once], side[once], rec[once]
-            first = np.nonzero(new)[0]
-            with np.errstate(over="ignore"):
-                name = mix(sum(np.where(depth[first] > 8 * j, keys[first, j], 0).astype(np.uint64) * (MIX + np.uint64(2 * j)) ^ (keys[first, j] >> np.uint64(29)) * (depth[first] > 8 * j) for j in range(keys.shape[1])) + k[first].astype(np.uint64))
             n = np.stack([np.bincount(group[side == s], minlength=len(first)) for s in (0, 1)], 1)
             sizes = _code(n)
-            both = (n > 0).all(1)
-            for j, wide in enumerate(at.wide):  # seen in part only: of the size that the sample says, the same in all of its parts
-                for text, times in wide.items():
-                    hit = np.nonzero((k[first] == j) & (np.ascontiguousarray(head[first, : LEVELS[j].depth]).view(f"S{LEVELS[j].depth}").reshape(-1) == text))[0]
-                    sizes[hit], both[hit] = _code(np.array([times * PART])), True
-            keep = both[group]
+            for hit, many in sampled.items():
+                sizes[hit] = _code(np.array([many]))
             for s in (0, 1):
-                on = keep & (side == s)
+                on = side == s
                 yield _batch(_split((mix(rec[on]) % np.uint64(at.parts)).astype(np.int64), 2, s, [rec[on], name[group[on]] & SHORT_NAME, sizes[group[on]]]))
 
     return rows.repartition(at.tasks, "part").mapInArrow(run, ROWS)
 
 
-def rare_suffixes(rows: DataFrame, at: Bounds, coverage: float) -> DataFrame:
+def _coverage(rec: np.ndarray) -> np.ndarray:
+    return np.array([level.coverage for level in LEVELS])[(rec & np.uint64(1)).astype(np.int64)]
+
+
+def rare_suffixes(rows: DataFrame, at: Bounds) -> DataFrame:
     """Of each record the rarest runs, on the way to the units in which they are paired."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +341,7 @@ def rare_suffixes(rows: DataFrame, at: Bounds, coverage: float) -> DataFrame:
                 count = np.diff(np.append(np.nonzero(new)[0], len(rec)))
                 number = np.arange(len(rec)) - np.repeat(np.nonzero(new)[0], count)
                 before = many - np.repeat(count, count) + number  # suffixes that nobody shares come first
-                need = np.maximum(1, np.ceil(coverage * many - 1e-9))
+                need = np.maximum(1, np.ceil(_coverage(rec) * many - 1e-9))
                 keep = before < many - need + 1
                 rec, name, mine, sizes, left = rec[keep], name[keep], mine[keep], sizes[keep], (many - before)[keep].astype(np.uint32)
                 # blocks of this side and of the other; a row goes to the unit of its block with each block of the other side
@@ -339,7 +360,7 @@ def rare_suffixes(rows: DataFrame, at: Bounds, coverage: float) -> DataFrame:
     return rows.repartition(at.tasks, "part").mapInArrow(run, ROWS)
 
 
-def paired(rows: DataFrame, at: Bounds, least: float, coverage: float) -> DataFrame:
+def paired(rows: DataFrame, at: Bounds, least: float) -> DataFrame:
     """Distinct ``a, b``: records that share a rare run and may reach the likeness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +380,7 @@ def paired(rows: DataFrame, at: Bounds, least: float, coverage: float) -> DataFr
                 x, y = np.repeat(np.arange(cut, end), c), np.repeat(first[cut:end] - (np.cumsum(c) - c), c) + np.arange(c.sum())
                 cut = end
                 a, b = number[x], number2[y]
-                fit = np.minimum(a[:, 1], b[:, 1]) >= coverage * np.maximum(a[:, 0], b[:, 0]) - 1e-6
+                fit = np.minimum(a[:, 1], b[:, 1]) >= _coverage(rec[x]) * np.maximum(a[:, 0], b[:, 0]) - 1e-6
                 x, y, a, b = x[fit], y[fit], a[fit], b[fit]
                 agree = BINS - np.bitwise_count(sketch[x] ^ sketch2[y]).sum(1, dtype=np.int64)
                 sample = np.minimum(bins[x], bins2[y])
@@ -380,12 +401,12 @@ def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], ["a", "b"])
 
 
-def candidates(left: DataFrame, right: DataFrame, least: float = LEAST, coverage: float = COVERAGE) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
     """Distinct ``a, b``: class names of ``left`` and ``right`` whose texts are to be compared."""
     left, right = (spread(df.select("text").where(F.col("text").isNotNull())) for df in (left, right))
     at = bounds(left.unionByName(right))
     rows = _suffix_rows(left, 0, at).unionByName(_suffix_rows(right, 1, at))
-    return paired(rare_suffixes(shared_suffixes(rows, at), at, coverage), at, least, coverage)
+    return paired(rare_suffixes(shared_suffixes(rows, at), at), at, least)
 
 
 # ---- comparison ------------------------------------------------------------------------------------------------------
@@ -409,13 +430,13 @@ def _union(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def overlaps(held_out: DataFrame, training: DataFrame, least: float = LEAST, coverage: float = COVERAGE) -> DataFrame:
+def overlaps(held_out: DataFrame, training: DataFrame, least: float = LEAST) -> DataFrame:
     """``holdout_id, es_1_id, likeness, covered, es_1_covered``: every pair of ids whose texts reach ``least``, with the characters of
     the plain form of each that stand in stretches both share.
 
     Null texts and plain forms under 40 characters belong to no pair, null ids are left out, redelivered rows count once.
     """
-    pairs = checkpoint(candidates(held_out, training, least, coverage))
+    pairs = checkpoint(candidates(held_out, training, least))
     rows = [class_rows(df, class_filter(pairs, (c,))) for df, c in ((held_out, "a"), (training, "b"))]
     named = [r.select(F.col("cls").bitwiseAND(F.lit(int(REF))).alias("ref"), F.lit(s).alias("side"), "cls", "id", "plain") for s, r in enumerate(rows)]
     rows = checkpoint(named[0].unionByName(named[1]))
