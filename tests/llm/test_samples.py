@@ -48,7 +48,7 @@ def test_pivotal_keeps_probabilities():
 
 def test_p3_infeasible_margins_still_converge():
     cells = pd.DataFrame([("en", "low", "a", 50), ("en", "", "", 5), ("", "high", "b", 3)], columns=["lang", "sensitivity", "cell", "n"])
-    p = quota.calibrate(cells, {("lang", "en"): 30.0, ("sensitivity", "high"): 20.0, ("cell", "a"): 1.0})
+    p, _ = quota.calibrate(cells, {("lang", "en"): 30.0, ("sensitivity", "high"): 20.0, ("cell", "a"): 1.0})
     assert ((0 <= p) & (p <= 1)).all()
 
 

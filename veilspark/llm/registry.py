@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "p3_found": lambda s, d: quota.out_of_reach(read_table(s, d, "es_1"), read_table(s, d, "coverage_targets")),
         "p3_counts": lambda s, d: quota.counts(read_table(s, d, "es_1"), read_table(s, d, "coverage_targets")),
         "p3_sample": lambda s, d: quota.sample(read_table(s, d, "es_1"), read_table(s, d, "coverage_targets")),
+        "p3_gaps": lambda s, d: quota.gaps(read_table(s, d, "es_1"), read_table(s, d, "coverage_targets")),
         "p4_found": lambda s, d: neardup.found(read_table(s, d, "es_1", "id", "text")),
         "p4_groups": lambda s, d: neardup.groups(read_table(s, d, "es_1", "id", "text")),
         "p5_found": lambda s, d: personal.found({t: read_table(s, d, t, "id", "text") for t in ("es_1", "holdout")}),
