@@ -48,8 +48,28 @@ def test_pivotal_keeps_probabilities():
 
 def test_p3_infeasible_margins_still_converge():
     cells = pd.DataFrame([("en", "low", "a", 50), ("en", "", "", 5), ("", "high", "b", 3)], columns=["lang", "sensitivity", "cell", "n"])
-    p, _ = quota.calibrate(cells, {("lang", "en"): 30.0, ("sensitivity", "high"): 20.0, ("cell", "a"): 1.0})
-    assert ((0 <= p) & (p <= 1)).all()
+    p, expected = quota.calibrate(cells, {("lang", "en"): 30.0, ("sensitivity", "high"): 20.0, ("cell", "a"): 1.0})
+    assert ((0 <= p) & (p <= 1)).all() and expected["sensitivity", "high"] <= 3
+
+
+def test_p3_feasible_margins_are_met():
+    rng = np.random.default_rng(1)
+    cells = pd.DataFrame([(lang, s, "", int(rng.integers(50, 2000))) for lang in "abcd" for s in "xyz"], columns=["lang", "sensitivity", "cell", "n"])
+    total = cells["n"].sum() / 5
+    wanted = {**{("lang", k): w * total for k, w in zip("abcd", (0.4, 0.3, 0.2, 0.1), strict=True)}, **{("sensitivity", k): w * total for k, w in zip("xyz", (0.5, 0.3, 0.2), strict=True)}}
+    p, expected = quota.calibrate(cells, wanted)
+    assert all(abs(expected[k] / w - 1) < 0.01 for k, w in wanted.items()) and p.min() > 0 and p.max() < 1
+
+
+def test_p3_floors_and_gaps(spark, monkeypatch):
+    monkeypatch.setattr(quota, "BLOCK_IDS", 500)  # three rounds of duels
+    es = spark.createDataFrame([(f"i{k:05d}", "rare" if k < 12 else "en", "low" if k % 2 else None, "few" if 100 <= k < 104 else "c") for k in range(3000)], "id string, lang string, sensitivity string, cell string")
+    targets = spark.createDataFrame([("lang", "rare", 0.001, 10, 1), ("lang", "en", 0.999, 1, 1), ("sensitivity", "low", 0.5, 1, 1), ("sensitivity", "high", 0.5, 1, 1), ("cell", "few", 0.0, 9, 1), ("cell", "c", 1.0, 1, 1)], TARGETS)
+    got = quota.sample(es, targets).toPandas()
+    assert got["id"].is_unique and (got["lang"] == "rare").sum() >= 10 and (got["cell"] == "few").sum() == 4
+    rows = {(r.field_name, r.category): r for r in quota.gaps(es, targets).collect()}
+    assert rows["sensitivity", "high"].missed == "ids" and rows["cell", "few"].gap == -5 and rows["lang", "rare"].missed is None
+    assert all(r.drawn == (got[r.field_name] == r.category).sum() for r in rows.values())
 
 
 def test_p7_shares(spark):

@@ -211,7 +211,7 @@ def _fight(seed: int, last: bool):
                 taken, left = _duels(list(range(len(p))), p, random.Random(f"{seed}-{block}-{part.column('id')[0]}"))
                 held = {**part.slice(left[0][0], 1).to_pylist()[0], "p": left[0][1]} if left else None
                 done = part.take(pa.array(taken, pa.int64()))
-                yield done.set_column(len(names) - 1, "p", pa.array(np.ones(len(taken))))
+                yield pa.RecordBatch.from_arrays([*done.columns[:-1], pa.array(np.ones(len(taken)))], names)
         yield rest()
 
     return run
