@@ -47,7 +47,7 @@ class Level:
 
 
 #: Short texts have finer starts and shorter runs. Lengths of a pair differ by 1 / LEAST at most, so every pair is whole in one array.
-LEVELS = (Level(150, 1 << 60, 24, 16, 0.25), Level(0, 251, 5, 16, 0.1))
+LEVELS = (Level(120, 1 << 60, 26, 16, 0.22), Level(0, 201, 5, 16, 0.12))
 #: Bytes of a suffix that travel and are sorted.
 CARRY = 16
 #: Suffix rows of a part, about; texts sampled for the bounds; records of a side of a unit of pairs.
@@ -310,7 +310,8 @@ def shared_suffixes(rows: DataFrame, at: Bounds) -> DataFrame:
             for hit, many in sampled.items():
                 sizes[hit] = _code(np.array([many]))
             for s in (0, 1):
-                on = side == s
+                on = np.nonzero(side == s)[0]
+                on = on[np.argsort(rec[on])]  # names in order cost less
                 yield _batch(_split((mix(rec[on]) % np.uint64(at.parts)).astype(np.int64), 2, s, [rec[on], name[group[on]] & SHORT_NAME, sizes[group[on]]]))
 
     return rows.repartition(at.tasks, "part").mapInArrow(run, ROWS)
@@ -355,6 +356,8 @@ def rare_suffixes(rows: DataFrame, at: Bounds) -> DataFrame:
                     unit = mix(name[row] + i.astype(np.uint64) * MIX + mix(j.astype(np.uint64) + np.uint64(77)) * np.uint64(3))
                 both = np.stack([numbers[mine[row], 0], left[row]], 1)
                 bins = np.minimum(BINS, numbers[mine[row], 1]).astype(np.uint8)
+                order = np.argsort(unit & SHORT_NAME)  # names in order cost less
+                unit, row, both, bins = unit[order], row[order], both[order], bins[order]
                 yield _batch(_split((unit % np.uint64(at.parts)).astype(np.int64), 3, s, [unit & SHORT_NAME, rec[row], both, bins, sketch[mine[row]]]))
 
     return rows.repartition(at.tasks, "part").mapInArrow(run, ROWS)
