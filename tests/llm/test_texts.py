@@ -148,3 +148,32 @@ def test_p8_covers_everything(spark):
     assert {"dr", "p"} <= set(learned["en"].abbreviations) and learned["de"].abbreviations["v"] and "januar" in learned["de"].after_number
     none = spark.createDataFrame([(1, None, 1), (2, "", 1)], "doc_id int, text string, start_pos int")
     assert sentences.found(none).count() == 0 and sentences.found(none.limit(0)).count() == 0
+
+
+def _known(**over):
+    return sentences.Learned(**{"abbreviations": {"etc": False, "art": False, "nr": False, "ltd": True, "dr": False}, "after_number": {"juni"}, "starters": {"the"}, "before_number": {"str"}, **over})
+
+
+def _cut(text, known):
+    return [text[a:b].strip() for a, b in sentences.cut(text, 0, len(text), known)]
+
+
+def test_p8_uses_what_it_learned():
+    text = "Bring a copy, a stamp, etc. The desk is open."
+    assert len(_cut(text, _known())) == 2 and len(_cut(text, _known(starters=set()))) == 1
+    text = "Der Termin ist am 4. Juni im Amt."
+    assert len(_cut(text, _known())) == 1 and len(_cut(text, _known(after_number=set()))) == 2
+    text = "Sie wohnt in der Lindenstr. 12 im Hof."
+    assert len(_cut(text, _known())) == 1 and len(_cut(text, _known(before_number=set()))) == 2
+    assert len(_cut("Ausweis-Nr. C057 liegt vor. Bitte melden.", _known())) == 2 and len(_cut("Voir l'art. 14 du texte.", _known())) == 1
+    assert len(_cut("Ask Dr. Grace at Norvik Ltd. The office knows.", _known())) == 2
+    assert len(_cut("팀장이 2025. 2. 16. 방문을 확인했다. 끝났다.", _known())) == 2
+    assert len(_cut("Call 6 7 3 . 9 6 2 . 7 2 5 today. Thanks.", _known())) == 2
+
+
+def test_p8_learning_has_no_letter_limits(spark):
+    long = "Donaudampfschifffahrtsgesellschaftsdirektionsabteilungsleiter"
+    rows = [(f"Die Firma {long}. {k} hat am {k % 28 + 1}. Juni den Bericht und die Akte der Stelle. Das ist der Stand um {k}.",) for k in range(60)]
+    rows += [(f"Der Bericht und das Blatt ist in der Akte. Das ist gut. Die Stelle hat {k}.",) for k in range(60)]
+    learned = sentences.learn(spark.createDataFrame(rows, "text string"))
+    assert long.lower() in learned["de"].abbreviations and "juni" in learned["de"].after_number

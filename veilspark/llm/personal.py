@@ -183,15 +183,21 @@ _JA_WORDS = re.compile("名義|旅券番号|会員番号|口座|氏名|様宛|
 
 def language(form: str) -> str:
     """The language whose cues fit: by script, then by commonest words. Labels of rows are not relied upon."""
+    return judged_language(form)[0]
+
+
+def judged_language(form: str) -> tuple[str, int]:
+    """The language, and how many of its common words speak for it; 0 if nothing does."""
     if not form.isascii() and _HAN.search(form):
         kana, han, hangul = (len(r.findall(form)) for r in (_KANA, _HAN_ONLY, _HANGUL))
         if (kana + han + hangul) * 6 > len(form):
-            return "ko" if hangul > kana + han else "ja" if kana * 8 > han or not kana and _JA_WORDS.search(form) else "zh"
+            return "ko" if hangul > kana + han else "ja" if kana * 8 > han or not kana and _JA_WORDS.search(form) else "zh", kana + han + hangul
     n = dict.fromkeys(STOP, 0)
-    for w in form.lower().split():
-        for one, words in _STOP_OF.get(w, ()):
+    for w in filter(_STOP_OF.__contains__, form.lower().split()):
+        for one, words in _STOP_OF[w]:
             n[one] += words
-    return max(n, key=n.get)
+    best = max(n, key=n.get)
+    return best, n[best]
 
 
 _STOP_OF: dict[str, list[tuple[str, int]]] = {}

@@ -1,30 +1,32 @@
 """Problem 8: sentence units of documents in any language and layout.
 
 First the layout: blank lines, list items, labelled fields, chat turns, log lines and lines broken off early begin units; a
-line broken because it was full ends nothing. Then the sentences: what a period means is learned without labels, per language,
-from all documents. For each word that stands before periods Spark counts how often it does, how often it doesn't, and
-how often a paragraph ends there; a log-likelihood ratio tells abbreviations, whose period belongs to the word, from
-words that happen to end sentences. Words that keep following "number period" (months, mostly) are collocations that a period
-doesn't part, and words whose capital form follows sentence ends by log-likelihood are sentence starters. A period is
-then judged by these statistics and its neighbours.
+line broken because it was full ends nothing. Then the sentences:
+what a period means is learned without labels, per language, from all documents. Log-likelihood ratios tell
+abbreviations, whose period belongs to the word, from words that happen to end sentences; collocations of a number with a
+period and the word after it (months, mostly), which the period doesn't part; and sentence starters, words that follow
+sentence ends more often than chance has it. A period is then judged by these statistics and its neighbours: after a word
+that is no abbreviation it ends a sentence; after an abbreviation it does before a starter, or before a capital letter if
+the abbreviation is one that ends paragraphs; after a number it doesn't before a collocate.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.forms import blocks
-from veilspark.llm.personal import language
+from veilspark.llm.personal import judged_language
 from veilspark.session import spread
 
-#: Least score of an abbreviation, least log-likelihood ratio of a starter, least share of a word's uses that follow "number period".
-ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 0.3
+#: Least score of an abbreviation, least log-likelihood ratios of a starter and of a collocation.
+ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 #: Rows of learned statistics that are sent to the tasks; more are refused, as they can't be abbreviations of a language.
 MOST_LEARNED = 200_000
 
@@ -42,61 +44,90 @@ _STARTS = re.compile(
 )
 _MARK = re.compile(r"\s*(?:[-*•·‣◦▪–—+]\s+|\(?(?:\d{1,3}|[a-zA-Z])[.)]\s+)")
 _CJK = re.compile("[぀-ヿ一-鿿가-힣]")
+_OPENERS = re.compile("[" + "".join(PAIRS) + "\"']")
+_RUN = re.compile(f"[{ENDS}]+")
+#: What a period or mark of its own may be preceded by in a word.
+_LEADS = re.compile("[\\s\"'“„«‘¿¡([（「『，、,;:：/’]")
 
 
 @dataclass
 class Learned:
-    """Statistics of one language: abbreviations (value: may end a sentence), collocations after a number, starters."""
+    """Statistics of one language: abbreviations (value: may end a sentence), collocations after a number, starters, and endings of
+    words whose period always goes before a number (those of streets)."""
 
     abbreviations: dict[str, bool] = field(default_factory=dict)
     after_number: set[str] = field(default_factory=set)
     starters: set[str] = field(default_factory=set)
+    before_number: set[str] = field(default_factory=set)
 
 
-#: Characters (half as many in scripts without spaces) from which a line without an end mark counts as broken because it was full.
+#: Columns from which a line without an end mark counts as broken because it was full; a document's first line may be a heading.
 FULL, HEADING = 40, 60
 
-
 # ---- learning ------------------------------------------------------------------------------------------------------
 
+#: A number that may be an ordinal, with its period; and what stands for all of them in the counts.
+_ORDINAL = re.compile(r"\d{1,2}\.")
+_LISTED = re.compile(r"(?m)^\s*\(?\d{1,3}[.)]\s+")
+_BEFORE_WORD = "\"'“„«»‘¿¡(["
+_AFTER_WORD = ",;:)”\"»'"
+
 
 def _counts(docs: DataFrame) -> DataFrame:
     """``lang, kind, word, n``: pre-aggregated per block. Kinds: w word, p with period, e at a paragraph's end, l before a small letter,
-    f following a sentence end in capitals, c with a capital, d after number and period."""
+    f following a sentence end in capitals, c with a capital, d after number and period. "~xyz" is any word that ends so.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+    Scripts without spaces between words have no such words and are left out. A word after an apostrophe is a word of its own.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            n: Counter = Counter()
+            single: dict[str, Counter] = {}
+            pairs: dict[str, Counter] = {}
+            last: dict[str, Counter] = {}
             for text in b.column("text").to_pylist():
-                if not text:
+                lang = judged_language(text)[0] if text else "zh"
+                if lang in ("ja", "zh"):
                     continue
-                lang = language(text)
                 for part in _BLANK.split(text):
-                    tokens = _TOKEN.findall(part)
-                    before = ""
-                    for i, token in enumerate(tokens):
-                        m = _WORD.match(token.lstrip("\"'“„«»‘¿¡(["))
-                        if m and len(m[0]) <= 16:
-                            word = m[0]
-                            low = word.lower()
-                            rest = token[token.find(word) + len(word) :]
-                            if low.endswith(".") and not rest.strip(",;:)”\"»'"):
-                                n[lang, "p", low[:-1]] += 1
-                                if i == len(tokens) - 1:
-                                    n[lang, "e", low[:-1]] += 1
-                                elif rest or tokens[i + 1][0].islower() or any(ch.isdigit() for ch in tokens[i + 1]):
-                                    n[lang, "l", low[:-1]] += 1
-                            else:
-                                n[lang, "w", low.rstrip(".")] += 1
-                            if word[0].isupper():
-                                n[lang, "c", low.rstrip(".")] += 1
-                                if before and before[-1] in ".!?" and len(before) > 4 and before[-2].islower():
-                                    n[lang, "f", low.rstrip(".")] += 1
-                            if re.fullmatch(r"\d{1,2}\.", before):
-                                n[lang, "d", low.rstrip(".")] += 1
-                        before = token
+                    tokens = _LISTED.sub(" ", part).split()
+                    if tokens:
+                        single.setdefault(lang, Counter()).update(tokens)
+                        pairs.setdefault(lang, Counter()).update([x for x in zip(tokens, tokens[1:], strict=False) if x[0][-1] in ".!?"])
+                        if tokens[-1][-1] == ".":
+                            last.setdefault(lang, Counter())[tokens[-1]] += 1
+            n: Counter = Counter()
+            for lang, tokens in single.items():
+                for token, many in tokens.items():
+                    if "@" in token or "/" in token:
+                        continue
+                    if (word := _word(token)) is None:
+                        if _ORDINAL.fullmatch(token):
+                            n[lang, "w", "#."] += many
+                        continue
+                    dotted = _dotted(token, word)
+                    n[lang, "p" if dotted else "w", word.lower().rstrip(".")] += many
+                    if dotted and token[-1] != ".":
+                        n[lang, "l", word.lower()[:-1]] += many  # a comma or a bracket follows the period
+                    if word[0].isupper():
+                        n[lang, "c", word.lower().rstrip(".")] += many
+            for lang, seen in last.items():
+                for token, many in seen.items():
+                    if (word := _word(token)) is not None and _dotted(token, word):
+                        n[lang, "e", word.lower()[:-1]] += many
+            for lang, seen in pairs.items():
+                for (one, two), many in seen.items():
+                    word, after = _word(one), _word(two)
+                    if word is not None and _dotted(one, word) and (two[0].islower() or any(ch.isdigit() for ch in two)):
+                        n[lang, "l", word.lower()[:-1]] += many
+                    if word is not None and _dotted(one, word) and len(word) > 4:
+                        n[lang, "p", "~" + word.lower()[-4:-1]] += many
+                        if two[0].isdigit():
+                            n[lang, "l", "~" + word.lower()[-4:-1]] += many
+                    if after is not None and _ORDINAL.fullmatch(one):
+                        n[lang, "d", after.lower().rstrip(".")] += many
+                    if after is not None and after[0].isupper() and len(one) > 4 and one[-2].islower():
+                        n[lang, "f", after.lower().rstrip(".")] += many
             keys = list(n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(n.values()), pa.int64())],
@@ -106,35 +137,60 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "lang string, kind string, word string, n bigint").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
 
 
+def _word(token: str) -> str | None:
+    """The word at the start of a token, after quotation marks; of words that an apostrophe joins the last."""
+    token = token.lstrip(_BEFORE_WORD)
+    m = _WORD.match(token)
+    while m and token[m.end() : m.end() + 1] in ("'", "’") and (more := _WORD.match(token, m.end() + 1)):
+        m = more
+    return m[0] if m else None
+
+
+def _dotted(token: str, word: str) -> bool:
+    """Whether the token is the word, its period and nothing but closing marks."""
+    return word[-1] == "." and not token[token.rfind(word) + len(word) :].strip(_AFTER_WORD)
+
+
+def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
+    return k * F.log(p) + (n - k) * F.log(1 - p)
+
+
+def _ratio(both: Column, first: Column, second: Column, every: Column) -> Column:
+    """Log-likelihood ratio for ``second`` following ``first`` in ``both`` of ``every`` cases, against independence."""
+    p, p1, p2 = second / every, both / F.greatest(first, F.lit(1)), (second - both) / F.greatest(every - first, F.lit(1))
+    return 2 * (_log_likelihood(both, first, p1) + _log_likelihood(second - both, every - first, p2) - _log_likelihood(both, first, p) - _log_likelihood(second - both, every - first, p))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
-    """``lang, word, abbreviation, may_end, after_number, starter`` of the words that are any of these, over all documents."""
+    """``lang, word, abbreviation, may_end, after_number, starter, before_number`` of the words that are any of these, over all documents."""
     wide = _counts(docs).groupBy("lang", "word").pivot("kind", ["w", "p", "e", "l", "f", "c", "d"]).agg(F.sum("n")).na.fill(0)
-    total = wide.groupBy("lang").agg(*(F.sum(k).alias("t" + k) for k in ("w", "p", "f", "c")))
+    ending = F.col("word").startswith("~")
+    total = wide.where(~ending).groupBy("lang").agg(*(F.sum(k).alias("t" + k) for k in ("w", "p", "f")), F.sum(F.when(F.col("word") == "#.", F.col("w")).otherwise(0)).alias("tn"))
     both = wide.join(F.broadcast(total), "lang")  # a row per language the code knows
-
-    def entropy(k, n, p):
-        p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
-        return k * F.log(p) + (n - k) * F.log(1 - p)
-
-    used = F.col("w") + F.col("p")
-    every = F.col("tw") + F.col("tp")
+    used, every = F.col("w") + F.col("p"), F.col("tw") + F.col("tp")
     # how much better "nearly always with a period" explains the word than the language's rate of periods
-    fit = -2 * (entropy(F.col("p"), used, F.col("tp") / every) - entropy(F.col("p"), used, F.lit(0.99)))
+    fit = -2 * (_log_likelihood(F.col("p"), used, F.col("tp") / every) - _log_likelihood(F.col("p"), used, F.lit(0.99)))
     letters = F.length(F.regexp_replace("word", "[.]", ""))
     inner = F.length("word") - letters + 1
     score = fit * F.exp(-letters) * inner * F.pow(F.greatest(letters, F.lit(1)).cast("double"), -F.col("w").cast("double"))
-    # words that go on with a small letter or a digit after their period can't be sentence ends there
+    # words that go on with a small letter, a digit or a comma after their period can't be sentence ends there
     goes_on = F.col("l") / F.greatest(F.lit(1), F.col("p"))
     # and a title is never the last word of a paragraph, as the last word of a sentence is now and then
     never_last = (F.col("e") < 0.005 * F.col("p")) & (F.col("p") >= 3)
     spaced = ~F.col("word").rlike("[\\u3040-\\u30ff\\u4e00-\\u9fff\\uac00-\\ud7a3]")
-    abbreviation = spaced & (F.col("p") > 0) & (letters <= 6) & ((score >= ABBREVIATION) & ((goes_on > 0.02) | never_last) | (F.col("word").rlike("^([^.]{1,2}[.])+[^.]{1,3}$")) | ((goes_on >= 0.9) & never_last & (F.col("p") >= 5)) | ((goes_on > 0.2) & (F.col("p") >= 3) & (F.col("w") <= 0.1 * F.col("p"))))
+    abbreviation = spaced & (F.col("p") > 0) & ((score >= ABBREVIATION) & ((goes_on > 0.02) | never_last) | (F.col("word").rlike("^([^.]{1,2}[.])+[^.]{1,3}$")) | ((goes_on >= 0.9) & never_last & (F.col("p") >= 5)) | ((goes_on > 0.2) & (F.col("p") >= 3) & (F.col("w") <= 0.1 * F.col("p"))))
     may_end = F.col("e") >= F.greatest(F.lit(1.0), 0.005 * F.col("p"))
-    expected = F.col("tf") / F.greatest(F.lit(1), F.col("tc"))
-    lead = 2 * (entropy(F.col("f"), F.col("c"), F.col("f") / F.greatest(F.lit(1), F.col("c"))) - entropy(F.col("f"), F.col("c"), expected))
-    starter = (lead >= STARTER) & (F.col("f") > expected * F.col("c"))
-    after = spaced & (F.col("d") >= 2) & (F.col("d") >= COLLOCATION * (F.col("w") + F.col("p")))
-    return both.select("lang", "word", abbreviation.alias("abbreviation"), may_end.alias("may_end"), after.alias("after_number"), starter.alias("starter")).where("abbreviation OR after_number OR starter")
+    starter = (_ratio(F.col("f"), F.col("tf"), used, every) >= STARTER) & (F.col("f") / F.col("tf") > used / every) & (F.col("f") > 0)
+    # a word also seen in small letters, as a name's capital says nothing
+    starter &= F.col("c") < 0.9 * used
+    # a word that follows numbers with a period more often than it follows the ends of sentences
+    follows, ends = F.col("d") + F.col("f"), F.col("tn") + F.col("tf")
+    after = spaced & (F.col("d") > 0) & (_ratio(F.col("d"), F.col("tn"), follows, ends) >= COLLOCATION) & (F.col("d") / F.col("tn") > follows / ends) & (F.col("d") > F.col("f"))
+    before = ending & (F.col("l") >= 0.99 * F.col("p")) & (F.col("p") >= 10)
+    return both.select(
+        "lang", "word", (abbreviation & ~ending).alias("abbreviation"), may_end.alias("may_end"), (after & ~ending).alias("after_number"), (starter & ~ending).alias("starter"), before.alias("before_number"),
+    ).where("abbreviation OR after_number OR starter OR before_number")
 
 
 def learn(docs: DataFrame) -> dict[str, Learned]:
@@ -151,12 +207,20 @@ def learn(docs: DataFrame) -> dict[str, Learned]:
             of.after_number.add(r["word"])
         if r["starter"]:
             of.starters.add(r["word"])
+        if r["before_number"]:
+            of.before_number.add(r["word"][1:])
+    out[""] = _all(out)
     return out
 
 
 # ---- cutting -------------------------------------------------------------------------------------------------------
 
 
+def _columns(line: str) -> int:
+    """Width of a line; a character of a script without spaces is as wide as two."""
+    return len(line) if line.isascii() else len(line) + len(_CJK.findall(line))
+
+
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
     """Stretches that no unit crosses: between blank lines, and from a line that begins a unit to the next such line."""
     at = 0
@@ -173,7 +237,7 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
             if not new:
                 continue
             # a full line breaks in the middle of a sentence; a short one without an end mark is a heading, greeting or entry
-            full = len(line) >= (HEADING if not text[:a].strip() else FULL) // (2 if _CJK.match(line[-1:]) else 1)
+            full = _columns(line) >= (FULL if text[:a].strip() else HEADING)
             small = new[0].islower() and line[-1:] not in "!?:"
             open_ = bool(line) and line[-1] not in ".!?。！？｡:：…"
             # what looks like a marker or label after a full line is one only among others of its kind
@@ -188,19 +252,17 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
 def _quotes(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Stretches between a quotation mark or bracket and the one that closes it, outermost only."""
     out, i = [], start
-    while i < end:
-        ch = text[i]
+    while m := _OPENERS.search(text, i, end):
+        i, ch = m.start(), m[0]
         close = PAIRS.get(ch)
         if ch == "»" and "«" in text[start:i]:
             close = None
         if ch == '"' and (i == start or text[i - 1].isspace() or text[i - 1] in "(—–:，：") or ch == "'" and (i == start or text[i - 1].isspace()) and _CJK.match(text[i + 1 : i + 2]):
             close = ch
-        if close and (ch not in "(（" or True):
-            ends = [j for j in (text.find(c, i + 1, end) for c in close) if j >= 0]
-            if ends:
-                j = min(ends)
-                out.append((i, j))
-                i = j
+        ends = [j for j in (text.find(c, i + 1, end) for c in close or ()) if j >= 0]
+        if ends:
+            out.append((i, min(ends)))
+            i = min(ends)
         i += 1
     return out
 
@@ -216,18 +278,19 @@ def cut(text: str, start: int, end: int, known: Learned) -> Iterator[tuple[int,
     """Sentences of a paragraph."""
     quotes = _quotes(text, start, end)
     mark = _MARK.match(text, start, end)
-    unit, i, q = start, mark.end() if mark else start, 0
-    while i < end:
-        while q < len(quotes) and quotes[q][1] < i:
-            q += 1
-        if q < len(quotes) and quotes[q][0] < i <= quotes[q][1] or q < len(quotes) and quotes[q][0] == i:
+    unit, i = start, mark.end() if mark else start
+    quotes = [x for x in quotes if x[1] >= i]
+    q = 0
+    while True:
+        m = _RUN.search(text, i, end)
+        at = m.start() if m else end
+        if q < len(quotes) and quotes[q][0] <= at:
             a, b = quotes[q]
-            q, i = q + 1, b + 1
+            q, i = q + 1, max(i, b + 1)
             inner = text[b - 1 : b]
             bracket = text[a] in "(（《"
-            led = text[unit:a].strip()
             # a quotation that ends its own sentence after words that introduce it ends the unit, if a new one follows
-            if not bracket and led and inner in ENDS and inner != "…":
+            if not bracket and text[unit:a].strip() and inner in ENDS and inner != "…":
                 j = i
                 while j < end and text[j].isspace():
                     j += 1
@@ -236,18 +299,12 @@ def cut(text: str, start: int, end: int, known: Learned) -> Iterator[tuple[int,
                     yield unit, i
                     unit = i
             continue
-        ch = text[i]
-        if ch not in ENDS:
-            i += 1
-            continue
-        first = i
-        while i < end and text[i] in ENDS:
-            i += 1
-        run = text[first:i]
-        stop = i
+        if not m:
+            break
+        stop = i = m.end()
         while i < end and text[i] in CLOSERS and not (text[i] in "\"'" and i + 1 < end and not text[i + 1].isspace()):
             i += 1
-        if _ends(text, unit, first, run, stop, i, end, known):
+        if _ends(text, unit, at, m[0], stop, i, end, known):
             yield unit, i
             unit = i
     yield unit, end
@@ -285,21 +342,26 @@ def _ends(text: str, unit: int, first: int, run: str, stop: int, i: int, end: in
         )
     if after.islower() or after in ",;:)]»”":
         return False
-    low = word.lower()
+    if not word:  # a mark of its own, which may stand between spaced digits
+        return not (after.isdigit() and re.search(r"\d\s*$", text[unit:first]))
+    low = re.split("-", word.lower())[-1]
     nxt = re.match(r"[^\W_]+", text[j:end])
     follower = nxt[0].lower() if nxt else ""
+    starts = bool(nxt) and follower in known.starters and follower not in known.abbreviations and nxt[0] in (follower.capitalize(), after) and text[j + nxt.end() : j + nxt.end() + 1].isspace()
     if re.fullmatch(r"\d{1,2}", word) and (follower in known.after_number or after.isdigit() and not _CJK.match(text[first - 1 : first])):
         return False
     if after.isdigit() and re.fullmatch(r"\d{4}|\d{1,2}", word) and re.match(r"\d{1,2}\.\s", text[j:end]):
         return False  # a date written in parts
-    if len(word) == 1 and word.isalpha() and word.isupper() and not (known.abbreviations.get(low) and re.search(r"[^\W\d_]\. ?$", text[unit : first - 1])):
+    if re.search(r"(?<!\d)\d{4}\.\s\d{1,2}\.\s\d{1,2}$", text[unit:first]) and "가" <= after <= "힣":
+        return False  # such a date, and the sentence goes on
+    if len(word) == 1 and word.isalpha() and word.isupper() and not starts and not (known.abbreviations.get(low) and re.search(r"[^\W\d_]\. ?$", text[unit : first - 1])):
         return False  # an initial, not the last part of an abbreviation of several
-    if low.endswith("str") and len(low) > 3:
-        return False  # a street's name, always before its number
     if low in known.abbreviations:
-        if not known.abbreviations[low]:
-            return False
-        return after.isupper() or bool(_CJK.match(after)) or after in "¿¡\"“„«" or (after.isdigit() and low.count(".") > 0 and False)
+        if starts:
+            return True
+        return known.abbreviations[low] and (after.isupper() or bool(_CJK.match(after)) or after in "¿¡\"“„«")
+    if after.isdigit() and len(low) > 3 and low[-3:] in known.before_number:
+        return False  # a street's name
     if re.fullmatch(r"(?:[^\W\d_]{1,2}\.)+[^\W\d_]{1,3}", word):
         return after.isupper() or after in "¿¡\"“„«"
     return True
@@ -312,6 +374,7 @@ def _all(learned: dict[str, Learned]) -> Learned:
             out.abbreviations[word] = out.abbreviations.get(word, False) or ends
         out.after_number |= one.after_number
         out.starters |= one.starters
+        out.before_number |= one.before_number
     return out
 
 
@@ -319,9 +382,10 @@ def units(text: str | None, learned: dict[str, Learned]) -> list[tuple[int, int]
     """(start, end) of every sentence unit; together they cover all that isn't white space. None for null or blank texts."""
     if not text or not text.strip():
         return []
-    known = learned.get(language(text))
-    if known is None or not known.abbreviations:  # a language hardly seen: what the others say
-        known = _all(learned)
+    lang, evidence = judged_language(text)
+    known = learned.get(lang)
+    if known is None or not known.abbreviations or not evidence:  # a language hardly seen, or none that can be told: what all say
+        known = learned.get("") or _all(learned)
     out = []
     for a, b in paragraphs(text):
         for s, e in cut(text, a, b, known):
