@@ -166,7 +166,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """``lang, word, abbreviation, may_end, after_number, starter, before_number`` of the words that are any of these, over all documents."""
     wide = _counts(docs).groupBy("lang", "word").pivot("kind", ["w", "p", "e", "l", "f", "c", "d"]).agg(F.sum("n")).na.fill(0)
     ending = F.col("word").startswith("~")
-    total = wide.where(~ending).groupBy("lang").agg(*(F.sum(k).alias("t" + k) for k in ("w", "p", "f")), F.sum(F.when(F.col("word") == "#.", F.col("w")).otherwise(0)).alias("tn"))
+    total = wide.groupBy("lang").agg(*(F.sum(F.when(ending, 0).otherwise(F.col(k))).alias("t" + k) for k in ("w", "p", "f")), F.sum(F.when(F.col("word") == "#.", F.col("w")).otherwise(0)).alias("tn"))
     both = wide.join(F.broadcast(total), "lang")  # a row per language the code knows
     used, every = F.col("w") + F.col("p"), F.col("tw") + F.col("tp")
     # how much better "nearly always with a period" explains the word than the language's rate of periods
