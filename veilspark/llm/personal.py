@@ -1,29 +1,28 @@
 """Problem 5: personal information in free text, found and replaced.
 
 Values are found by what a language says about a person: cues before or after a name, labels before a number, verbs before
-an address. A text is first brought to one form with a map back to its stored positions, so that zero-width, full-width
-and look-alike characters hide nothing. A second pass finds further mentions of the names of the same text.
-
-Replacement is by surrogate: each distinct person, mailbox, phone, number and address of a text gets one keyed replacement
-of its own type (names by script and by the gender that the given name's pool or the title tells, digits digit by digit,
-letters letter by letter in the same case), distinct entities get distinct surrogates, and all mentions of a person
-agree: the initial, the surname alone and the reversed order follow the full name. The typed placeholder form numbers the
-same entities.
+an address; then by a general layer (``phrasing``) of introductions, greetings, labels and of values' own shapes. A text is first
+brought to one form with a map back to its stored positions, so that zero-width, full-width and look-alike characters hide
+nothing. A last pass finds further mentions of the names of the same text.
+
+Each found value is an entity of its text and gets a keyed surrogate of its own type, script and format (``surrogates``) and a typed
+placeholder with the number of the entity; :func:`entities` gives both, and every result here is read from it.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.lookalike import CYRILLIC, GREEK, HYPHENS
+from veilspark.llm.phrasing import Index, alternatives, general, word_of
+from veilspark.llm.surrogates import Surrogates
 from veilspark.session import spread
 
 KINDS = ("person_name", "email", "phone", "number", "postal_address")
@@ -103,16 +102,16 @@ NUMBER = r"(?-i:(?=(?:[^\d\n,;()]{0,14}\d){4})[A-Z0-9](?:[ ./-]{0,2}[A-Z0-9])*)"
 CUES: dict[str, dict[str, str]] = {
     "en": {
         "before": r"you can reach |the address for |the sheet on |the file says |holder: |account holder: |links |name: |patient: |contact: |signed by |call |born to |on behalf of ",
-        "after": r" confirmed the | wrote from | ?, holder of | asked for [^.\n]{3,60}? and left the number | is on the list for | mentions | \((?:ssn|passport|licence|card|account|member)",
+        "after": r" confirmed the | wrote from | ?, holder of | asked for [^.\n]+? and left the number | is on the list for | mentions | \((?:ssn|passport|licence|card|account|member)",
         "to": r" to ",
-        "phone": r"left the number |reach [^\n]{2,60}?\bon |phone: |tel\.?:? |mobile: |call (?:me |him |her |them )?(?:at|on) ",
+        "phone": r"left the number |reach [^\n]+?\bon |phone: |tel\.?:? |mobile: |call (?:me |him |her |them )?(?:at|on) ",
         "address": r"lives at |living at |address: ",
         "label": r"ssn|passport(?: no\.?)?|licence(?: no\.?)?|license(?: no\.?)?|card(?: no\.?)?|account(?: no\.?)?|member no\.?|id(?: no\.?)?|national insurance(?: no\.?)?|iban",
         "titles": "mr mrs ms miss dr prof sir mx",
     },
     "de": {
         "before": r"die adresse von |laut akte wird |das blatt zu |inhaber(?:in)?: |bringt |name: |ansprechpartner(?:in)?: ",
-        "after": r" schrieb von | bestätigte den termin | steht auf der liste | ist ab \d| bat um [^.\n]{3,60}? und hinterließ | ?, (?:ausweis|konto|karte|steuer|mitglied|führerschein|reisepass|pass-)| \((?:ausweis|konto|karte|steuer|mitglied|führerschein|reisepass|pass-)",
+        "after": r" schrieb von | bestätigte den termin | steht auf der liste | ist ab \d| bat um [^.\n]+? und hinterließ | ?, (?:ausweis|konto|karte|steuer|mitglied|führerschein|reisepass|pass-)| \((?:ausweis|konto|karte|steuer|mitglied|führerschein|reisepass|pass-)",
         "to": r" an ",
         "phone": r"hinterließ die nummer |ist ab [\d.:]+ uhr unter |telefon: |tel\.?:? |mobil: ",
         "address": r"wohnt in (?:der |dem |den )?|wohnhaft |anschrift: ",
@@ -121,52 +120,45 @@ CUES: dict[str, dict[str, str]] = {
     },
     "fr": {
         "before": r"l['’]adresse de |on peut joindre |selon le dossier, |la fiche de |titulaire ?: |(?:relie|associe|lie) |nom ?: ",
-        "after": r" ?, titulaire d| a écrit depuis | figure sur la liste | a demandé [^.\n]{3,60}? et laissé le numéro | a confirmé la visite | est suivie? pour | cite ",
+        "after": r" ?, titulaire d| a écrit depuis | figure sur la liste | a demandé [^.\n]+? et laissé le numéro | a confirmé la visite | est suivie? pour | cite ",
         "to": r" à ",
-        "phone": r"laissé le numéro |joindre [^\n]{2,60}? au |téléphone ?: |tél\.? ?:? ",
+        "phone": r"laissé le numéro |joindre [^\n]+? au |téléphone ?: |tél\.? ?:? ",
         "address": r"habite (?:au |à |dans )?|domiciliée? (?:au |à )?|adresse ?: ",
         "label": r"n[°o]\.? d['’]adhérent|passeport(?: n[°o]\.?)?|nir|carte(?: n[°o]\.?)?|compte(?: n[°o]\.?)?|permis(?: n[°o]\.?)?|iban|n[°o]\.? de (?:membre|client|sécurité sociale|permis|passeport|compte|carte)",
         "titles": "m mme mlle dr me pr mm",
     },
     "es": {
         "before": r"pueden llamar a |el correo de |escribió |la ficha de |consta que |titular: |atribuye a |nombre: ",
-        "after": r" confirmó la cita | figura en la lista | pidió [^.\n]{3,60}? y dejó el teléfono | ?, con (?:n\.?[ºo°]|dni|nie|pasaporte|cuenta|tarjeta|carn)| menciona | sigue un tratamiento",
+        "after": r" confirmó la cita | figura en la lista | pidió [^.\n]+? y dejó el teléfono | ?, con (?:n\.?[ºo°]|dni|nie|pasaporte|cuenta|tarjeta|carn)| menciona | sigue un tratamiento",
         "to": r" a ",
-        "phone": r"dejó el teléfono |llamar a [^\n]{2,60}? al |teléfono: |tel\.?:? |móvil: ",
+        "phone": r"dejó el teléfono |llamar a [^\n]+? al |teléfono: |tel\.?:? |móvil: ",
         "address": r"vive en |domicilio: |reside en ",
         "label": r"n\.?[ºo°]\.? de socio|pasaporte(?: n\.?[ºo°])?|dni|nie|cuenta(?: n\.?[ºo°])?|tarjeta(?: n\.?[ºo°])?|iban|carn[ée]t?(?: de conducir)?(?: n\.?[ºo°])?|permiso(?: n\.?[ºo°])?|n\.?[ºo°] de (?:cliente|cuenta|tarjeta|pasaporte)",
         "titles": "sr sra srta d dña dª dr dra don doña d.ª",
     },
     "it": {
         "before": r"si può chiamare |l['’]indirizzo di |la scheda di |intestatari[oa]: |(?:collega|associa|lega) |nome: |dal [\d/]+ |dal \d+ \w+ \d+ |dal(?:l['’])?\d+[°º]? \w+ \d+ ",
-        "after": r" ha scritto da | è nella lista | ha confermato la visita | ha chiesto [^.\n]{3,60}? e lasciato il numero | ?, (?:codice fiscale|tessera|passaporto|conto|carta|patente)| cita | è in cura",
+        "after": r" ha scritto da | è nella lista | ha confermato la visita | ha chiesto [^.\n]+? e lasciato il numero | ?, (?:codice fiscale|tessera|passaporto|conto|carta|patente)| cita | è in cura",
         "to": r" a ",
-        "phone": r"lasciato il numero |chiamare [^\n]{2,60}? al |telefono: |tel\.?:? |cellulare: ",
+        "phone": r"lasciato il numero |chiamare [^\n]+? al |telefono: |tel\.?:? |cellulare: ",
         "address": r"abita in |residente in |indirizzo: ",
         "label": r"codice fiscale|tessera(?: n\.?)?|passaporto(?: n\.?)?|conto(?: n\.?)?|carta(?: n\.?)?|patente(?: n\.?)?|iban",
         "titles": "sig sig.ra sigra dott dott.ssa avv ing prof prof.ssa dr",
     },
     "pt": {
         "before": r"o e-?mail de |escreveu |a ficha de |consta que |titular: |atribui a |nome: |ligar (?:a|para) ",
-        "after": r" confirmou a | figura na lista | pediu [^.\n]{3,60}? e deixou o | ?, com (?:n\.?[ºo°]|cc|nif|passaporte|conta|cartão)",
+        "after": r" confirmou a | figura na lista | pediu [^.\n]+? e deixou o | ?, com (?:n\.?[ºo°]|cc|nif|passaporte|conta|cartão)",
         "to": r" (?:a|para) ",
-        "phone": r"deixou o (?:telefone|número) |ligar (?:a|para) [^\n]{2,60}? (?:ao|no) |telefone: ",
+        "phone": r"deixou o (?:telefone|número) |ligar (?:a|para) [^\n]+? (?:ao|no) |telefone: ",
         "address": r"mora (?:em|na|no) |vive (?:em|na|no) |reside (?:em|na|no) ",
         "label": r"n\.?[ºo°] de sócio|passaporte(?: n\.?[ºo°])?|nif|cc|conta|cartão|iban",
         "titles": "sr sra d dr dra eng",
     },
 }
-# Given-name pools of the surrogates by script and gender, and surnames by script.
-POOLS = {
-    "latin": {"f": "Alma Berta Clara Dora Elsa Frida Gilda Hedda Irma Jutta Klara Lidia Marga Nora Olga Petra Rosa Selma Thea Ursa".split(), "m": "Albin Bruno Conrad Dario Egon Falk Gregor Hugo Ignaz Jonas Kasimir Linus Milo Nando Oskar Pavel Quirin Rufus Samir Tibor".split(), "s": "Arvell Bostrick Calvane Dorrit Elmbach Farrow Gantner Hollick Ivarsen Jarnel Kestner Lormand Mandrel Norvik Ostrel Pallant Quister Rendal Sorvin Tarnow".split()},
-    "ja": {"f": "花子 美咲 由美 直子 恵子".split(), "m": "太郎 一郎 健二 誠 修".split(), "s": "山本 田村 小川 石田 森本 原田".split()},
-    "zh": {"f": "丽华 美玲 秀英 雪梅 玉兰".split(), "m": "建国 志强 伟明 文斌 立军".split(), "s": "王 李 张 刘 陈 杨".split()},
-    "ko": {"f": "영희 미숙 은주 수진 지영".split(), "m": "철수 민호 성호 준영 동현".split(), "s": "김 이 박 최 정 강".split()},
-}
 SEND = {"en": "ship|send|mail|forward", "de": "bitte|senden sie|schicken sie", "fr": "envoyer|expédier|adresser", "es": "enviar|mandar|remitir", "it": "inviare|spedire|mandare", "pt": "enviar|mandar|remeter"}
 STOP = {
-    "en": "the of to at in is on for and was from by".split(), "de": "der die das den und in von auf nach ist um zu".split(), "fr": "le la les de du à a est pour et sur au".split(),
-    "es": "el la los de del en a que con y por al".split(), "it": "il la lo di del in a che per ha e al".split(), "pt": "o a os as do da em que com e por ao".split(),
+    "en": "the of to at in is on for and was from by i you my with this please".split(), "de": "der die das den und in von auf nach ist um zu mit mich bitte sie ich geehrte".split(), "fr": "le la les de du à a est pour et sur au je vous une avec".split(),
+    "es": "el la los de del en a que con y por al su es mi para".split(), "it": "il la lo di del in a che per ha e al ho con grazie gentile saluti".split(), "pt": "o a os as do da em que com e por ao".split(),
 }
 STRONG = {
     "en": {"the", "of", "at", "for", "from"}, "de": {"der", "die", "das", "den", "und", "um"}, "fr": {"le", "les", "du", "à", "est", "sur"}, "es": {"el", "los", "y", "con", "las"},
@@ -207,7 +199,7 @@ for _one, _words in STOP.items():
 
 #: Start of a sentence or a clause, in scripts without spaces between words.
 EDGE = r"(?:(?<=^)|(?<=[。!?\n,、:;」』”’\"'.!?…]))[ ]{0,2}"
-MAIL = r"[\w.%+ -]{1,60}(?:@|\(at\)|\[at\])"
+MAIL = r"[\w.%+ -]++(?:@|\(at\)|\[at\])"
 DAY = r"(?:\d{4}年\d{1,2}月\d{1,2}日|\d{4}[./-] ?\d{1,2}[./-] ?\d{1,2}|\d{4}년 ?\d{1,2}월 ?\d{1,2}일)"
 _JA, _ZH, _KO = CJK_NAME["ja"], CJK_NAME["zh"], CJK_NAME["ko"]
 JA_LABEL, ZH_LABEL, KO_LABEL = "口座(?:番号)?|会員番号|旅券番号|マイナンバー|カード(?:番号)?|免許(?:証)?番号|個人番号", "身份证号?码?|账号|会员号|护照号?码?|卡号|驾驶证号?", "여권번호|회원번호|주민번호|주민등록번호|계좌(?:번호)?|카드(?:번호)?|면허번호"
@@ -220,9 +212,9 @@ CJK = {
             rf"報告[ ]?[\w./-]+は(?P<n>{_JA})と(?=[^。\n]{{1,20}}結びつ)",
             rf"以降、(?P<n>{_JA})(?=(?:様|さん|氏)は)",
             rf"{EDGE}(?P<n>{_JA})(?=さんの連絡先|さんが[^。\n]{{1,20}}求め|は{MAIL}|の票に|[(（][ ]?(?:{JA_LABEL})|は[^。\n、]{{1,8}}[市町村区]の(?!事務所|担当|窓口))",
-            rf"は(?P<a>[^。\n、は]{{4,60}}?)[ ]{{1,2}}(?P<n>{_JA})(?=様宛)",
+            rf"は(?P<a>[^。\n、は]{{4,}}?)[ ]{{1,2}}(?P<n>{_JA})(?=様宛)",
         ],
-        "address": [rf"[)）]は(?P<a>[^。\n]{{4,60}}?)に住む", r"住所[:：][ ]?(?P<a>[^\n]{4,60})"],
+        "address": [rf"[)）]は(?P<a>[^。\n]{{4,}}?)に住む", r"住所[:：][ ]?(?P<a>[^\n]{4,})"],
         "number": [rf"(?:{JA_LABEL})[ ]?[:：]?[ ]?(?P<v>{NUMBER})"],
         "phone": [rf"(?:様|さん|氏)は(?P<v>{PHONE})(?=で連絡)", rf"求め、(?P<v>{PHONE})(?=を残)", rf"電話[:：][ ]?(?P<v>{PHONE})"],
     },
@@ -233,10 +225,10 @@ CJK = {
             rf"档案记载(?P<n>{_ZH})(?=自{DAY})",
             rf"报告[ ]?[\w./-]+把(?P<n>{_ZH})(?=与)",
             rf"找(?P<n>{_ZH})(?=女士|先生)",
-            rf"请寄(?P<a>[^。\n,，]{{4,60}}?)[,，][ ]?(?P<n>{_ZH})(?=收)",
+            rf"请寄(?P<a>[^。\n,，]{{4,}}?)[,，][ ]?(?P<n>{_ZH})(?=收)",
             rf"{EDGE}(?P<n>{_ZH})(?=的邮箱|从{MAIL}|的表中|申请了|列在|[(（][ ]?(?:{ZH_LABEL}))",
         ],
-        "address": [rf"[)）]住在(?P<a>[^。\n]{{4,60}})", r"住址[:：][ ]?(?P<a>[^\n]{4,60})"],
+        "address": [rf"[)）]住在(?P<a>[^。\n]{{4,}})", r"住址[:：][ ]?(?P<a>[^\n]{4,})"],
         "number": [rf"(?:{ZH_LABEL})[ ]?[:：]?[ ]?(?P<v>{NUMBER})"],
         "phone": [rf"可拨[ ]?(?P<v>{PHONE})(?=[ ]?找)", rf"留下电话[ ]?(?P<v>{PHONE})", rf"电话[:：][ ]?(?P<v>{PHONE})"],
     },
@@ -247,10 +239,10 @@ CJK = {
             rf"기록에는 (?P<n>{_KO})[이가](?=[ ]{DAY})",
             rf"보고 ?[\w./-]+?[은는] (?P<n>{_KO})[과와](?=[ ])",
             rf"이후 (?P<n>{_KO})(?=[ ]?(?:씨|님)[은는])",
-            rf"[은는] (?P<a>[^.\n은는]{{4,60}}?), (?P<n>{_KO})(?= 앞으로)",
+            rf"[은는] (?P<a>[^.\n은는]{{4,}}?), (?P<n>{_KO})(?= 앞으로)",
             rf"{EDGE}(?P<n>{_KO})(?=[ ]?(?:님의|님이|씨가|씨는|씨의)|의 기록에|[ ]?[(（][ ]?(?:{KO_LABEL})|[은는] [가-힣]{{1,6}}[시군구읍면동]의 )",
         ],
-        "address": [rf"[)）][은는] (?P<a>[^.\n]{{4,60}}?)에 산다", r"주소[:：][ ]?(?P<a>[^\n]{4,60})"],
+        "address": [rf"[)）][은는] (?P<a>[^.\n]{{4,}}?)에 산다", r"주소[:：][ ]?(?P<a>[^\n]{4,})"],
         "number": [rf"(?:{KO_LABEL})[ ]?[:：]?[ ]?(?P<v>{NUMBER})"],
         "phone": [rf"(?:씨|님)[은는] (?P<v>{PHONE})(?=[ ]?으?로)", rf"요청하고 (?P<v>{PHONE})(?=[을를] )", rf"전화[:：][ ]?(?P<v>{PHONE})"],
     },
@@ -262,26 +254,29 @@ def _blank(cue: str) -> str:
 
 
 @cache
-def grammar(lang: str) -> dict[str, list[re.Pattern]]:
+def grammar(lang: str) -> list[tuple[str, str, re.Pattern]]:
+    """(what, text that must be there, pattern) of every cue of a language. What: ``name`` before which the cue stands, ``after`` a name,
+    ``titled`` name, ``address``, ``number``, ``phone``; a pattern of ``after`` and ``phone`` goes over the text in small letters."""
     if lang in CJK:
-        return {k: [re.compile(p, re.MULTILINE) for p in v] for k, v in CJK[lang].items()}
-    c = {k: _blank(v) for k, v in CUES[lang].items() if k != "titles"}
-    spoken = "|".join(re.escape(t.translate(FOLD).capitalize()) for t in sorted(CUES[lang]["titles"].split(), key=len, reverse=True) if len(t) > 1)
-    title = r"(?:(?:" + "|".join(re.escape(t) for t in sorted(CUES[lang]["titles"].split(), key=len, reverse=True)) + r")\b\.?[ ]{0,3}){0,2}"
-    street = rf"(?P<a>(?=[^\n;]{{0,60}}\d)[^\s,;.](?:[^\n;.]|\.(?![ ]{{1,3}}(?-i:[{UP}¿¡«\"„“'])|\s*\n|$)|(?<=\bavda)\.|(?<=str)\.|(?<=\bst)\.|(?<=\bp)\.|(?<=\bv)\.|(?<=\bc)\.|(?<=\bn)\.|(?<=\bint)\.|(?<=\bappt)\.)*)"
-    flags = re.IGNORECASE
-    return {
-        "name end": [re.compile(rf"(?<![\w@.+-])(?P<n>{LATIN_NAME})\Z", flags)],
-        "name": [
-            re.compile(rf"(?<!\w)(?:{c['before']}|report [\w./-]+ links )(?:{title})(?P<n>{LATIN_NAME})", flags),
-            re.compile(c["after"], flags),
-            re.compile(rf"(?<![\w@.+-])(?-i:(?:{spoken})\b\.?[ ]{{1,3}}){{1,2}}(?P<n>{LATIN_ONLY})", flags),
-            re.compile(rf"\b(?:{SEND[lang].translate(FOLD)})\b[^.\n]{{3,80}}?{c['to']}(?:{title})(?P<n>{LATIN_NAME}),\s{{1,3}}{street}", flags),
-        ],
-        "address": [re.compile(rf"(?<!\w)(?:{c['address']}){street}", flags)],
-        "number": [re.compile(rf"(?<![\w-])(?:{c['label']})[ ]?:?[ ]{{0,3}}(?P<v>{NUMBER})", flags)],
-        "phone": [re.compile(rf"(?<!\w)(?:{c['phone']})(?P<v>{PHONE})", flags)],
-    }
+        return [({"name": "name"}.get(k, k), "", re.compile(p, re.MULTILINE)) for k, v in CJK[lang].items() for p in v]
+    c = {k: [(plain, _blank(one)) for plain, one in alternatives(v.translate(FOLD))] for k, v in CUES[lang].items() if k != "titles"}
+    titles = sorted(CUES[lang]["titles"].translate(FOLD).split(), key=len, reverse=True)
+    spoken = "|".join(re.escape(t.capitalize()) for t in titles if len(t) > 1)
+    title = r"(?:(?:" + "|".join(map(re.escape, titles)) + r")\b\.?[ ]{0,3}){0,2}"
+    street = rf"(?P<a>(?=[^\n;]*\d)[^\s,;.](?:[^\n;.]|\.(?![ ]{{1,3}}(?-i:[{UP}¿¡«\"„“'])|\s*\n|$)|(?<=\bavda)\.|(?<=str)\.|(?<=\bst)\.|(?<=\bp)\.|(?<=\bv)\.|(?<=\bc)\.|(?<=\bn)\.|(?<=\bint)\.|(?<=\bappt)\.)*)"
+    of = lambda pattern: re.compile(pattern, re.IGNORECASE)
+    return [
+        *(("name", plain, of(rf"(?<!\w){cue}(?:{title})(?P<n>{LATIN_NAME})")) for plain, cue in [*c["before"], ("report ", r"report [\w./-]+ links ")]),
+        *(("after", plain, re.compile(cue)) for plain, cue in c["after"]),
+        *(("titled", t, of(rf"(?<![\w@.+-])(?-i:{re.escape(t.capitalize())}\b\.?[ ]{{1,3}})(?:(?-i:{spoken})\b\.?[ ]{{1,3}})?(?P<n>{LATIN_ONLY})")) for t in titles if len(t) > 1),
+        *(("name", word, of(rf"\b{word}\b[^.\n]{{3,}}?{cue}(?:{title})(?P<n>{LATIN_NAME}),\s{{1,3}}{street}")) for word in SEND[lang].translate(FOLD).lower().split("|") for _, cue in c["to"]),
+        *(("address", plain, of(rf"(?<!\w){cue}{street}")) for plain, cue in c["address"]),
+        *(("number", plain, of(rf"(?<![\w-]){cue}[ ]?:?[ ]{{0,3}}(?P<v>{NUMBER})")) for plain, cue in c["label"]),
+        *(("phone", plain, re.compile(rf"(?<!\w){cue}(?P<v>{PHONE})")) for plain, cue in c["phone"]),
+    ]
+
+
+_NAME_END = re.compile(rf"(?<![\w@.+-])(?P<n>{LATIN_NAME})\Z", re.IGNORECASE)
 
 
 _WORDS = re.compile(r"[^\s,]+")
@@ -300,6 +295,11 @@ def _untitled(form: str, start: int, end: int, titles: frozenset[str]) -> int:
     return start
 
 
+@cache
+def _index(lang: str) -> Index:
+    return Index([word_of(plain) for _, plain, _ in grammar(lang)])
+
+
 @cache
 def _titles(lang: str) -> frozenset[str]:
     return frozenset(CUES[lang]["titles"].translate(FOLD).split()) if lang in CUES else frozenset()
@@ -309,54 +309,59 @@ def detect(form: str, lang: str | None = None) -> list[tuple[str, int, int]]:
     """(finding type, start, end) in a legible text, in order, none inside another of its type."""
     lang = lang or language(form)
     rules, titles = grammar(lang), _titles(lang)
+    accented = form
     if titles:
         form = unaccented(form)
+    lower = form.lower()
+    small = lower if len(lower) == len(form) else "".join(c.lower() if len(c.lower()) == 1 else c for c in form)
     out: dict[tuple[str, int], int] = {}
     names: dict[int, int] = {}
     starts: dict[int, int] = {}
 
-    def name(start: int, end: int) -> None:
+    def name(start: int, end: int) -> int:
         if titles:
-            for m in _FIRM.finditer(form, start, end):  # a company's legal form ends the sentence before
-                start = m.end()
+            if "." in form[start:end]:
+                for m in _FIRM.finditer(form, start, end):  # a company's legal form ends the sentence before
+                    start = m.end()
             start = _untitled(form, start, end, titles)
-            while m := _LAST.search(form, start, end):  # words of the sentence, where it is all in capitals
-                if m[1].lower() not in _STOP_OF and m[1].lower() not in _AROUND[lang] or m.start() <= start:
+            while (last := form[start:end].replace(",", " ").rsplit(None, 1))[1:]:  # words of the sentence, where it is all in capitals
+                if last[1].lower() not in _STOP_OF and last[1].lower() not in _AROUND[lang]:
                     break
-                end = m.start()
+                end = start + len(last[0])
             if form[start:end].lower() in _STOP_OF:
-                return
+                return start
         if end > names.get(start, -1):
             names[start] = end
+        return start
 
-    for rule in rules["name"]:
-        sure = rule is not rules["name"][1]
-        for m in rule.finditer(form):
-            if titles and not sure:  # a cue after a name: the name is what ends there
-                if m := rules["name end"][0].search(form, max(0, m.start() - 80), m.start()):
+    for k in _index(lang).able(small):
+        what, _, rule = rules[k]
+        if what == "after":  # a cue after a name: the name is what ends there
+            for m in rule.finditer(small):
+                if m := _ending(_NAME_END, form, m.start()):
                     name(*m.span("n"))
-                continue
-            name(*m.span("n"))
-            if sure and titles:
-                starts[m.end("n")] = max(starts.get(m.end("n"), 0), _untitled(form, *m.span("n"), titles))
-            if "a" in rule.groupindex and m["a"] and any(ch.isdigit() for ch in m["a"]):
-                out["postal_address", m.start("a")] = m.end("a")
-    for rule in rules["address"]:
-        for m in rule.finditer(form):
-            out["postal_address", m.start("a")] = m.end("a")
-    for rule in rules["number"]:
-        for m in rule.finditer(form):
-            out["number", m.start("v")] = m.end("v")
-    for rule in rules["phone"]:
-        for m in rule.finditer(form):
-            out["phone", m.start("v")] = m.end("v")
+        elif what in ("name", "titled"):
+            for m in rule.finditer(form):
+                start = name(*m.span("n"))
+                if titles:
+                    starts[m.end("n")] = max(starts.get(m.end("n"), 0), start)
+                if "a" in rule.groupindex and m["a"] and any(ch.isdigit() for ch in m["a"]):
+                    start, end = _address(small, *m.span("a")) if titles else m.span("a")
+                    out["postal_address", start] = end
+        else:
+            kind, group = ("postal_address", "a") if what == "address" else (what, "v")
+            for m in rule.finditer(small if titles and what == "phone" else form):
+                start, end = m.span(group)
+                if kind == "postal_address" and titles:
+                    start, end = _address(small, start, end)
+                if end > out.get((kind, start), -1):
+                    out[kind, start] = end
     mails = []
     if "@" in form or "(" in form or "[" in form:
         for hit in _AT.finditer(form):
             if mails and hit.start() < mails[-1][1]:
                 continue
-            m = next((m for m in EMAIL.finditer(form, max(0, hit.start() - 70), min(len(form), hit.end() + 120)) if m.end() > hit.end()), None)
-            if m:
+            if m := _mail(form, hit, mails[-1][1] if mails else 0):
                 mails.append(m.span())
                 if m[1].lower() not in ROLES:
                     out["email", m.start()] = m.end()
@@ -382,134 +387,109 @@ def detect(form: str, lang: str | None = None) -> list[tuple[str, int, int]]:
         if kept and a < kept[-1][1]:
             continue
         kept.append((a, b))
-    # further mentions of the same names
-    low = form.lower()
-    if len(low) == len(form):
-        taken = sorted([*kept, *mails, *((a, b) for (_, a), b in out.items())])
-        for one in {low[a:b] for a, b in kept if b - a > (2 if lang in CJK else 4)}:
-            at = low.find(one)
+    taken = bytearray(len(form))
+    for a, b in [*kept, *mails, *((a, b) for (_, a), b in out.items())]:
+        taken[a:b] = b"\1" * (b - a)
+    for kind, a, b in general(accented, small, lang):
+        if 1 not in taken[a:b]:
+            taken[a:b] = b"\1" * (b - a)
+            if kind == "person_name":
+                kept.append((a, b))
+            else:
+                out[kind, a] = b
+    # further mentions of the same names: whole words, and short ones in the same case
+    if len(lower) == len(form):
+        for one in {form[a:b] if b - a <= 4 and lang not in CJK else lower[a:b] for a, b in kept if b - a > (2 if lang in CJK else 1)}:
+            text = form if len(one) <= 4 and lang not in CJK else lower
+            at = text.find(one)
             while at >= 0:
                 end = at + len(one)
-                inside = any(a < end and at < b for a, b in taken)
-                whole = lang in CJK or not ((at and (low[at - 1].isalnum() or low[at - 1] in "@-_.+")) or (end < len(low) and (low[end].isalnum() or low[end] in "@-_+")))
-                if not inside and whole:
+                whole = lang in CJK or not ((at and (text[at - 1].isalnum() or text[at - 1] in "@-_.+")) or (end < len(text) and (text[end].isalnum() or text[end] in "@-_+")))
+                if whole and 1 not in taken[at:end]:
                     kept.append((at, end))
-                    taken.append((at, end))
-                at = low.find(one, end)
+                    taken[at:end] = b"\1" * (end - at)
+                at = text.find(one, end)
     return sorted([*(("person_name", a, b) for a, b in kept), *((k, a, b) for (k, a), b in out.items())], key=lambda x: (x[1], x[0]))
 
 
+_ARTICLE = re.compile(r"(?:the|der|dem|den|le|la|les|el|los|las|il|lo|the) ")
+_AND = re.compile(r" (?:and|und|et|y|e|with|mit|avec|con) [a-z]")
+
+
+def _address(small: str, start: int, end: int) -> tuple[int, int]:
+    """A stretch with an address, without the article before it and without what the sentence goes on to say."""
+    if m := _ARTICLE.match(small, start, end):
+        start = m.end()
+    for m in _AND.finditer(small, start, end):
+        if any(ch.isdigit() for ch in small[start : m.start()]):
+            return start, m.start()
+    return start, end
+
+
+def _ending(rule: re.Pattern, form: str, at: int) -> re.Match | None:
+    """What ends at a place. The stretch looked at grows until the match lies inside it."""
+    wide = 80
+    while True:
+        start = max(0, at - wide)
+        m = rule.search(form, start, at)
+        if not start or not m or m.start() > start + 40:
+            return m
+        wide *= 4
+
+
+def _mail(form: str, hit: re.Match, least: int) -> re.Match | None:
+    """The address around an at sign. The stretch looked at grows until the address lies inside it."""
+    wide = 80
+    while True:
+        a, b = max(least, hit.start() - wide), min(len(form), hit.end() + wide)
+        m = next((m for m in EMAIL.finditer(form, a, b) if m.end() > hit.end()), None)
+        if a == least and b == len(form) or m and (a < m.start() or a == least) and (m.end() < b or b == len(form)) or not m and wide > 80 and not form[hit.start() - wide : hit.start()].strip():
+            return m
+        if not m and re.search(r"\s\S*\s", form[a : hit.start()]) and re.search(r"\s\S*\s", form[hit.end() : b]):
+            return None
+        wide *= 4
+
+
+def _detected(text: str) -> tuple[list[tuple[str, int, int]], str]:
+    form, at = legible(text)
+    lang = language(form)
+    found = detect(form, lang)
+    return (found if at is None else [(k, at[a], at[b - 1] + 1) for k, a, b in found]), lang
+
+
 def findings(text: str | None) -> list[tuple[str, int, int]]:
     """(finding type, start, end) in the stored text; none for a null or empty text."""
-    if not text:
-        return []
-    form, at = legible(text)
-    found = detect(form)
-    return found if at is None else [(k, at[a], at[b - 1] + 1) for k, a, b in found]
+    return _detected(text)[0] if text else []
 
 
 # ---- replacement ---------------------------------------------------------------------------------------------------
 
 PLACE = {"person_name": "PERSON", "email": "EMAIL", "phone": "PHONE", "number": "NUMBER", "postal_address": "ADDRESS"}
-FEMALE = frozenset("mrs ms miss frau fr mme mlle sra srta dña sig.ra sigra dott.ssa dra 女士".split())
+@lru_cache(1 << 14)
+def _once(value: str) -> tuple[str, list[int] | None]:
+    return legible(value)
 
 
-def _draw(key: str, *what: str) -> int:
-    return int.from_bytes(hashlib.blake2b("\x1f".join(what).encode("utf-8", "surrogatepass"), key=key.encode()[:64], digest_size=8).digest(), "big")
+_TITLE = re.compile(r"([\w.]+)[ ]+$")
 
 
-def _shaped(value: str, key: str, salt: int) -> str:
-    """Digits for digits, letters for letters of the same case and script, all else as it is."""
-    out = []
-    for i, ch in enumerate(value):
-        n = _draw(key, value, str(salt), str(i))
-        if ch.isdecimal():
-            out.append(chr(ord(ch) - unicodedata.decimal(ch) + n % 10))
-        elif "a" <= ch <= "z":
-            out.append(chr(97 + n % 26))
-        elif "A" <= ch <= "Z":
-            out.append(chr(65 + n % 26))
-        else:
-            out.append(ch)
-    return "".join(out)
-
-
-class Surrogates:
-    """Replacements of one text. Keyed, of the value's type and format, distinct for distinct entities, the same for all mentions."""
-
-    def __init__(self, key: str, lang: str):
-        self.key, self.pool = key, POOLS.get(lang, POOLS["latin"])
-        self.lang = lang if lang in POOLS else "latin"
-        self.of: dict[tuple[str, str], str] = {}
-        self.used: set[str] = set()
-        self.number: dict[tuple[str, str], int] = {}
-
-    def entity(self, kind: str, value: str) -> int:
-        """1, 2, ... in the order of first mention within a type."""
-        one = (kind, self.canonical(kind, value))
-        return self.number.setdefault(one, 1 + sum(k == kind for k, _ in self.number))
-
-    def canonical(self, kind: str, value: str) -> str:
-        form = " ".join(legible(value)[0].casefold().split())
-        if kind in ("phone", "number"):
-            return re.sub(r"[\W_]", "", form)
-        if kind == "email":
-            return re.sub(r"[ ]?[\[(][ ]?(?:dot|punto|punkt|point)[ ]?[\])][ ]?", ".", re.sub(AT, "@", form)).replace(" ", "")
-        if kind == "person_name":
-            return self.person(form)
-        return form
+def entities(text: str | None, key: str) -> list[tuple[str, int, int, str, str]]:
+    """(finding type, start, end, placeholder, surrogate) of each value in the stored text, in order.
 
-    def person(self, form: str) -> str:
-        """The fullest known name that a mention can stand for: same words in any order, surname alone, or initial and surname."""
-        words = re.split(r"[\s,]+", unaccented(form)) if self.lang == "latin" else [form.replace(" ", "")]
-        words = [w for w in words if w]
-        for k, full in self.number:
-            known = re.split(r"[\s,]+", unaccented(full)) if self.lang == "latin" else [full]
-            if k == "person_name" and all(any(w == x or (len(w.rstrip(".")) == 1 and x.startswith(w[0])) or x.split("-")[0] == w.split("-")[0] for x in known) for w in words):
-                return full
-            if k == "person_name" and self.lang != "latin" and len(words[0]) == 1 and full.startswith(words[0]):
-                return full
-        return form if self.lang == "latin" else words[0] if words else form
-
-    def replace(self, kind: str, value: str, title: str = "") -> str:
-        one = (kind, self.canonical(kind, value))
-        self.entity(kind, value)
-        if one not in self.of:
-            for salt in range(1000):
-                new = self._person(one[1], salt, title) if kind == "person_name" else self._email(one[1], salt) if kind == "email" else _shaped(legible(value)[0], self.key, salt)
-                if new.casefold() not in self.used and new.casefold() != one[1]:
-                    break
-            self.used.add(new.casefold())
-            self.of[one] = new
-        new = self.of[one]
-        return self._like(value, one[1], new) if kind == "person_name" else new
-
-    def _person(self, full: str, salt: int, title: str) -> str:
-        female = title.rstrip(".").casefold() in FEMALE if title else full.replace(",", "").split()[0].endswith(("a", "e")) if self.lang == "latin" else _draw(self.key, full, "g") % 2 == 0
-        given, surnames = self.pool["f" if female else "m"], self.pool["s"]
-        n = _draw(self.key, "name", full, str(salt))
-        a, b = given[n % len(given)], surnames[n // 97 % len(surnames)]
-        return f"{a} {b}" if self.lang == "latin" else b + a
-
-    def _email(self, mail: str, salt: int) -> str:
-        local, _, _ = mail.partition("@")
-        return f"{_shaped(local, self.key, salt)}@mail{_draw(self.key, mail, str(salt)) % 900 + 100}.example"
-
-    def _like(self, value: str, full: str, new: str) -> str:
-        """The surrogate in the mention's own shape: order, initial, surname alone, capitals."""
-        if self.lang != "latin":
-            return new[:1] if len(legible(value)[0].replace(" ", "")) == 1 else new
-        given, surname = new.split(" ")
-        words = [w for w in re.split(r"[\s,]+", legible(value)[0]) if w]
-        if "," in value:
-            out = f"{surname}, {given}"
-        elif len(words) > 1 and len(words[0].rstrip(".")) == 1:
-            out = f"{given[0]}. {surname}"
-        elif len(words) == 1 and len(re.split(r"[\s,]+", full)) > 1:
-            out = given if unaccented(words[0].casefold()) == unaccented(full.split()[0]) else surname
-        else:
-            out = new if len(words) > 1 else surname
-        return out.upper() if value.isupper() and len(value) > 3 else out
+    The numbers of the placeholders and the surrogates are those of entities: all mentions of one have the same.
+    """
+    found, lang = _detected(text) if text else ([], "")
+    if not found:
+        return []
+    names = Surrogates(key, lang, _once)
+    for k, a, b in sorted(found, key=lambda f: f[1] - f[2]):  # the fullest mention of a person first
+        if k == "person_name":
+            names.entity(k, text[a:b])
+    out = []
+    for k, a, b in found:
+        title = _TITLE.search(text[max(0, a - 12) : a]) if k == "person_name" else None
+        out.append((k, a, b, f"[{PLACE[k]}_{names.entity(k, text[a:b])}]", names.replace(k, text[a:b], title[1] if title else "")))
+    return out
 
 
 def rewritten(text: str | None, key: str) -> tuple[str | None, str | None, int]:
@@ -519,18 +499,12 @@ def rewritten(text: str | None, key: str) -> tuple[str | None, str | None, int]:
     """
     if not text:
         return text, text, 0
-    found = sorted(findings(text), key=lambda f: (f[1], -f[2]))
-    names = Surrogates(key, language(legible(text)[0]))
-    for k, a, b in sorted(found, key=lambda f: -(f[2] - f[1])):
-        if k == "person_name":
-            names.entity(k, text[a:b])
     typed, faked, at, n = [], [], 0, 0
-    for k, a, b in found:
+    for _, a, b, place, new in sorted(entities(text, key), key=lambda f: (f[1], -f[2])):
         if a < at:
             continue
-        title = re.search(r"([\w.]+)[ ]+$", text[max(0, a - 12) : a])
-        typed += [text[at:a], f"[{PLACE[k]}_{names.entity(k, text[a:b])}]"]
-        faked += [text[at:a], names.replace(k, text[a:b], title[1] if title else "")]
+        typed += [text[at:a], place]
+        faked += [text[at:a], new]
         at, n = b, n + 1
     return "".join([*typed, text[at:]]), "".join([*faked, text[at:]]), n
 
@@ -543,8 +517,8 @@ def _stacked(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def found(tables: dict[str, DataFrame]) -> DataFrame:
-    """``table_name, id, finding_type, start_pos``: each place where a value about a person begins, in the stored text.
+def found(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """``table_name, id, finding_type, start_pos``: each place where a value about a person begins and is replaced, in the stored text.
 
     Null and empty texts have none; a null id gives no row; redelivered rows count once.
     """
@@ -553,7 +527,7 @@ def found(tables: dict[str, DataFrame]) -> DataFrame:
         for b in batches:
             rows: set[tuple[str, str, str, int]] = set()
             for t, i, text in zip(b.column("table_name").to_pylist(), b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                rows.update((t, i, k, a) for k, a, _ in findings(text))
+                rows.update((t, i, k, a) for k, a, b, _, new in entities(text, key) if new != text[a:b])
             kept = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == 3 else pa.string()) for n, c in enumerate(kept)], ["table_name", "id", "finding_type", "start_pos"])
 
@@ -561,8 +535,11 @@ def found(tables: dict[str, DataFrame]) -> DataFrame:
     return whole.mapInArrow(run, "table_name string, id string, finding_type string, start_pos int").distinct()
 
 
-def replaced(tables: dict[str, DataFrame], key: str = "veilspark") -> DataFrame:
-    """``table_name, id, text, surrogate, n``: every row with placeholders, with surrogates, and the number of values."""
+def replaced(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """``table_name, id, text, surrogate, n``: every row with placeholders, with surrogates, and the number of values.
+
+    The key decides the surrogates; who has it can draw them again, so it is the caller's and has no default.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

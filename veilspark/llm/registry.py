@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from veilspark.llm import bpe, lookalike, mixing, neardup, overlap, personal, quota, sentences
 from veilspark.session import read_table, spread
 
+#: Key of the surrogates in the queries below, whose tables are invented. Operators take the key of their caller.
+KEY = "key of the invented tables"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,8 +27,8 @@ def queries() -> dict[str, Query]:
         "p3_gaps": lambda s, d: quota.gaps(read_table(s, d, "es_1"), read_table(s, d, "coverage_targets")),
         "p4_found": lambda s, d: neardup.found(read_table(s, d, "es_1", "id", "text")),
         "p4_groups": lambda s, d: neardup.groups(read_table(s, d, "es_1", "id", "text")),
-        "p5_found": lambda s, d: personal.found({t: read_table(s, d, t, "id", "text") for t in ("es_1", "holdout")}),
-        "p5_texts": lambda s, d: personal.replaced({t: read_table(s, d, t, "id", "text") for t in ("es_1", "holdout")}),
+        "p5_found": lambda s, d: personal.found({t: read_table(s, d, t, "id", "text") for t in ("es_1", "holdout")}, KEY),
+        "p5_texts": lambda s, d: personal.replaced({t: read_table(s, d, t, "id", "text") for t in ("es_1", "holdout")}, KEY),
         "p6_ids": lambda s, d: bpe.token_ids(spread(read_table(s, d, "documents", "doc_id", "text"))),
         "p7_found": lambda s, d: mixing.out_of_reach(read_table(s, d, "documents"), read_table(s, d, "mix_weights")),
         "p7_mixture": lambda s, d: mixing.mixture(read_table(s, d, "documents"), read_table(s, d, "mix_weights")),
