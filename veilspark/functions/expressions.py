@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from veilspark.functions.validators import TEST_CARDS, TOLL_FREE
 
@@ -83,3 +84,18 @@ def offsets(text: Column | str, pattern: str) -> Column:
     # bound as a lambda's variable, so that the text is matched once and not once a match
     both = F.array(F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found"), F.split(t, pattern, -1).alias("pieces")))
     return F.flatten(F.transform(both, sums))
+
+
+def validated(df: DataFrame, name: str, value: str) -> DataFrame:
+    """The rows with ``ok``: whether the validator that ``name`` names takes ``value``. A null value or an unknown name gives null."""
+    import pyarrow as pa
+
+    from veilspark.functions.validators import VALIDATORS
+
+    def run(batches):
+        for b in batches:
+            pairs = zip(b.column(name).to_pylist(), b.column(value).to_pylist(), strict=True)
+            ok = [None if v is None or n not in VALIDATORS else bool(VALIDATORS[n](v)) for n, v in pairs]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_())], [*b.schema.names, "ok"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("ok", BooleanType())]))

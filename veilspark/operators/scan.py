@@ -28,12 +28,14 @@ def may_match(text: Column | str) -> Column:
     return column.rlike(f"(?iu){quoted}|\\p{{Nd}}|@|%40|::|pass|pwd|パスワード|密码|비밀번호|kennwort|contrase|mot de passe")
 
 
-def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, rule, description, category, start, end, value, rule_ord, match_ord``: one row per match.
+def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, rule, description, category, start, end, value, rule_ord, match_ord`` and the columns ``keep``: one row per match.
 
-    Null and empty texts have none. Positions are 0-based code points, end exclusive.
+    Null and empty texts have none. Positions are 0-based code points, end exclusive. Texts that fail :func:`may_match` never
+    leave the JVM.
     """
-    rows = df.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    kept = F.struct(F.col(id_col).alias("id"), *(F.col(c).alias(f"k{n}") for n, c in enumerate(keep)))
+    rows = df.select(kept.alias("kept"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & may_match("text"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
@@ -44,10 +46,11 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             cols += [pa.array([getattr(m, n) for m in flat], pa.string()) for n in ("rule", "description", "category")]
             cols += [pa.array([m.start for m in flat], pa.int32()), pa.array([m.end for m in flat], pa.int32()), pa.array([m.value for m in flat], pa.string())]
             cols += [pa.array([m.rule_ord for m in flat], pa.int32()), pa.array([m.match_ord for m in flat], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, [id_col, "rule", "description", "category", "start", "end", "value", "rule_ord", "match_ord"])
+            yield pa.RecordBatch.from_arrays(cols, ["kept", "rule", "description", "category", "start", "end", "value", "rule_ord", "match_ord"])
 
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, rule string, description string, category string, start int, end int, value string, rule_ord int, match_ord int")
+    kind = rows.schema["kept"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"kept {kind}, rule string, description string, category string, start int, end int, value string, rule_ord int, match_ord int")
+    return found.select(F.col("kept.id").alias(id_col), "rule", "description", "category", "start", "end", "value", "rule_ord", "match_ord", *(F.col(f"kept.k{n}").alias(c) for n, c in enumerate(keep)))
 
 
 REPORT_SCHEMA = f"sensitivity struct<level:string,probabilities:map<string,double>>, categories map<string,double>, findings array<{FINDING}>, secrets array<{SECRET}>, windows int"

@@ -13,6 +13,7 @@ from veilspark.operators import coverage as C
 from veilspark.operators import evaluate as E
 from veilspark.operators import generate as G
 from veilspark.operators import scan, testset, tokens
+from veilspark.plans import cases
 from veilspark.schema import RANK
 from veilspark.session import read_table, spread
 
@@ -77,12 +78,44 @@ def _selected(s: SparkSession, d: str) -> DataFrame:
     return C.select(es, es.count() // 5, cov)[0]
 
 
+def _with_case(s: SparkSession, d: str, behind: bool) -> DataFrame:
+    """Every document with its planted case: behind its own text, or alone."""
+    texts = [t for rule, before, value, after, miss in cases.RULE_CASES for t in (before + value + after, miss)]
+    docs = read_table(s, d, "documents", "doc_id", "text").where("doc_id IS NOT NULL")
+    case = F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % len(texts)).cast("int") + 1)
+    own = F.concat(F.coalesce("text", F.lit("")), F.lit(cases.PAD)) if behind else F.lit("")
+    return docs.select("doc_id", F.concat(own, case).alias("text"), F.length(own).alias("own"), (F.col("doc_id") % len(texts)).cast("int").alias("k"))
+
+
+def _planted(s: SparkSession, d: str) -> DataFrame:
+    rules = [name for name, *_ in cases.RULE_CASES for _ in (0, 1)]
+    docs = _with_case(s, d, True)
+    found = scan.matches(spread(docs), keep=("own", "k")).where(F.col("start") >= F.col("own"))
+    return found.where(F.col("rule") == F.element_at(F.array(*map(F.lit, rules)), F.col("k") + 1)).select("doc_id", "rule", (F.col("start") - F.col("own")).alias("start"), (F.col("end") - F.col("own")).alias("end"))
+
+
+def _verdicts(s: SparkSession, d: str) -> DataFrame:
+    rows = [(2 * k + j, name, value) for k, (name, *both) in enumerate(cases.VALIDATOR_CASES) for j, value in enumerate(both)]
+    table = F.broadcast(s.createDataFrame(rows, "k int, validator string, value string"))  # two rows a validator
+    docs = read_table(s, d, "documents", "doc_id").where("doc_id IS NOT NULL").withColumn("k", (F.col("doc_id") % len(rows)).cast("int"))
+    return X.validated(docs.join(table, "k"), "validator", "value").select("doc_id", "validator", "ok")
+
+
+def _planted_reports(s: SparkSession, d: str) -> DataFrame:
+    report = scan.analyse(spread(_with_case(s, d, False).where("k % 2 = 0")))
+    first = F.get("findings", F.lit(0))
+    return report.select("doc_id", F.col("sensitivity.level").alias("level"), first["type"].alias("type"), first["pii"].alias("pii"), first["number_type"].alias("number_type"), (F.size("secrets") > 0).alias("has_secret"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "rule_planted": _planted,
+        "validator_planted": _verdicts,
+        "report_planted": _planted_reports,
         "rule_matches": lambda s, d: scan.matches(spread(_docs(s, d))).drop("description"),
         "rule_card_matches": lambda s, d: scan.matches(spread(_docs(s, d))).where("rule = 'pii-credit-card'").select("doc_id", "value"),
         "rule_us_phone_matches": lambda s, d: scan.matches(spread(_docs(s, d))).where("rule = 'pii-phone-us'").select("doc_id", "value"),
-        "rule_hits_by_rule_lang": lambda s, d: scan.matches(spread(_docs(s, d))).join(_docs(s, d).select("doc_id", "lang"), "doc_id").groupBy("rule", "category", "lang").agg(F.count("*").alias("n")),
+        "rule_hits_by_rule_lang": lambda s, d: scan.matches(spread(_docs(s, d)), keep=("lang",)).groupBy("rule", "category", "lang").agg(F.count("*").alias("n")),
         "rule_hits_holdout": lambda s, d: scan.matches(spread(_holdout(s, d)), "id").groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs")),
         "report_rules_only": lambda s, d: scan.analyse(spread(_docs(s, d))).select("doc_id", F.col("sensitivity.level").alias("level"), F.size("findings").alias("findings"), F.size("secrets").alias("secrets")),
         "report_masked": lambda s, d: scan.analyse(spread(_holdout(s, d)), "id", show_values=False).select("id", F.explode("findings").alias("f")).select("id", "f.type", "f.value", "f.start", "f.pii"),
@@ -188,6 +221,7 @@ def oracle_sql() -> dict[str, str]:
       c AS (SELECT a.id, b.id IS NULL AS missing, coalesce(s1 = 'low', FALSE) AND b.id IS NOT NULL OR b.id IS NULL AND s1 IS NULL AS same_level, k1, coalesce(k2, []) AS k2 FROM a LEFT JOIN b USING (id)),
       cmp AS (SELECT id, missing, same_level, len(list_intersect(k1, k2))::INT AS n_both, len(list_distinct(list_concat(k1, k2)))::INT AS n_any, list_sort(list_filter(k1, lambda x: NOT list_contains(k2, x))) AS only_first, list_sort(list_filter(k2, lambda x: NOT list_contains(k1, x))) AS only_second FROM c)"""
     return {
+        **cases.sql(),
         "rule_card_matches": f"SELECT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_pattern('pii-credit-card')}', 0)) AS value FROM documents) WHERE {luhn} AND {_DIGITS} NOT IN ({_TEST_CARDS}) AND NOT (length({_DIGITS}) >= 12 AND len(list_filter([{_TEST_CARDS}], lambda t: contains(t, {_DIGITS}))) > 0)",
         "rule_us_phone_matches": f"SELECT doc_id, value FROM (SELECT doc_id, value, right({_DIGITS}, 10) AS d FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_pattern('pii-phone-us')}', 0)) AS value FROM documents)) WHERE length(d) = 10 AND d[1:3] <> '555' AND NOT (d[4:6] = '555' AND (d[7:10] = '1212' OR d[7:8] = '01')) AND d[1:3] NOT IN ('800', '888', '877', '866', '855', '844', '833')",
         "token_windows": f"SELECT doc_id, w::INT AS window_no, (least(64, n - w * 48) + 2)::INT AS n_tokens FROM (SELECT doc_id, n, unnest(range(0, greatest(0, ceil((n - 64) / 48.0))::BIGINT + 1)) AS w FROM (SELECT doc_id, len(regexp_extract_all(text, '{white}')) AS n FROM documents WHERE text IS NOT NULL))",
