@@ -89,6 +89,22 @@ def composed(pool: list[str], n: int, joint: str) -> str:
     return joint.join(reversed(words))
 
 
+def _plain(value: str) -> str:
+    """The ASCII letters and digits of a value."""
+    return value if value.isascii() and value.isalnum() else "".join(c for c in value if c.isascii() and c.isalnum())
+
+
+def _luhn(number: str) -> bool:
+    """Whether the digits of a card add up."""
+    twice = sum((0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[ord(c) - 48] for c in number[-2::-2])
+    return (twice + sum(ord(c) - 48 for c in number[::-2])) % 10 == 0
+
+
+def _rest97(account: str) -> int:
+    """The remainder that an account number's check digits bring to 1."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
 #: Length, letter first and letter last of a number, and the rule that numbers of this shape may keep.
 _CHECKS = {
     (9, False, True): validators.is_nif_es, (9, True, True): validators.is_nif_es, (18, False, False): validators.is_resident_id_cn, (18, False, True): validators.is_resident_id_cn,
@@ -108,6 +124,7 @@ class Surrogates:
         self.whole: dict[tuple[str, str], str] = {}  # (kind, value in one form) to its replacement
         self.numbers: dict[tuple[str, str], int] = {}
         self.count: dict[str, int] = {}
+        self.one: dict[tuple[str, str], str] = {}  # a value as written to its one form
         self.met: dict[tuple[str, str], int] = {}  # a mention to its number
         self.givens: dict[str, str] = {}  # given name to gender
         self.persons: dict[tuple[str, str], str] = {}  # (initial or "", surname) to the fullest mention
@@ -130,6 +147,9 @@ class Surrogates:
         return kept
 
     def _split(self, value: str) -> list[tuple[str, str, str]]:
+        first, _, rest = value.partition(" ")
+        if rest and first < "\u2000" and first.isalpha() and rest.isalpha() and len(first) > 1 and bare(rest) not in PARTICLES and rest[0] < "\u2000":  # the commonest form
+            return [("g", bare(first), first), ("-", "", " "), ("s", bare(rest), rest)]
         """(role, part, as written) of a name: ``g`` given name, ``i`` initial, ``s`` surname, ``-`` what stays."""
         kind = self.script(value)
         if kind != "latin":
@@ -169,10 +189,10 @@ class Surrogates:
     @staticmethod
     def canonical(kind: str, form: str) -> str:
         """What all mentions of a value have in common, from its legible form."""
-        form = " ".join(form.casefold().split())
         if kind in ("phone", "number"):
-            return re.sub(r"[\W_]", "", form)
-        if kind == "email":
+            return _plain(form.casefold()) if form.isascii() else re.sub(r"[\W_]", "", form.casefold())
+        form = " ".join(form.casefold().split())
+        if kind == "email" and not ("@" in form and " " not in form and "(" not in form and "[" not in form):
             form = re.sub(r"[ ]?[\[(][ ]?(?:at|arroba|chiocciola)[ ]?[\])][ ]?|[ ]?@[ ]?", "@", form)
             return re.sub(r"[ ]?[\[(][ ]?(?:dot|punto|punkt|point)[ ]?[\])][ ]?", ".", form).replace(" ", "")
         return form
@@ -183,7 +203,7 @@ class Surrogates:
         if known is not None:
             return known
         if kind != "person_name":
-            name = self.canonical(kind, self.legible(value)[0])
+            name = self.one[kind, value] = self.canonical(kind, self.legible(value)[0])
         else:
             roles = self.split(self.legible(value)[0])
             given = "".join(p for r, p, _ in roles if r == "g")
@@ -215,7 +235,7 @@ class Surrogates:
         form = self.legible(value)[0]
         if kind == "person_name":
             return self._name(form, title)
-        one = (kind, self.canonical(kind, form))
+        one = (kind, self.one.get((kind, value)) or self.canonical(kind, form))
         if one not in self.whole:
             make = {"email": self._email, "postal_address": self._address, "number": self._number}.get(kind, self._shaped)
             for n in itertools.count():
@@ -276,17 +296,22 @@ class Surrogates:
         kept = _COUNTRY.match(value) if value[:1] in "+(0 " else None
         start = kept.end() if kept else 0
         seed = draw(self.key, "shape", value, n)
-        digits, letters = iter(f"{seed:077d}"[3:]), seed
+        digits, letters, at = f"{seed:077d}", seed, 3
         out = []
         for ch in value[start:]:
-            if ch.isdecimal():
-                d = next(digits, None)
-                if d is None:
-                    digits = iter(f"{draw(self.key, value, n, len(out)):077d}"[3:])
-                    d = next(digits)
-                out.append(d if ch.isascii() else chr(ord(ch) - unicodedata.decimal(ch) + int(d)))
-            elif ch.isalpha() and "a" <= (b := bare(ch)[:1]) <= "z":
-                letters, d = divmod(letters, 26) if letters else divmod(draw(self.key, value, len(out), n), 26)
+            if "0" <= ch <= "9":
+                if at == 77:
+                    digits, at = f"{draw(self.key, value, n, len(out)):077d}", 3
+                out.append(digits[at])
+                at += 1
+            elif "a" <= ch <= "z" or "A" <= ch <= "Z":
+                letters, d = divmod(letters or draw(self.key, value, len(out), n), 26)
+                out.append(chr((97 if ch >= "a" else 65) + d))
+            elif ch.isdecimal():
+                letters, d = divmod(letters or draw(self.key, value, len(out), n), 10)
+                out.append(chr(ord(ch) - unicodedata.decimal(ch) + d))
+            elif ch.isalpha() and "a" <= bare(ch)[:1] <= "z":
+                letters, d = divmod(letters or draw(self.key, value, len(out), n), 26)
                 out.append(chr((97 if ch.islower() else 65) + d))
             else:
                 out.append(ch)
@@ -294,20 +319,20 @@ class Surrogates:
 
     def _number(self, value: str, n: int) -> str:
         """As shaped, with the check digit or letter that makes the new number as valid as the old."""
-        plain = re.sub(r"[^0-9A-Za-z]", "", value)
+        plain = _plain(value)
         new = self._shaped(value, n)
-        if plain[:2].isalpha() and plain[2:4].isdigit() and len(plain) > 14 and validators.is_iban(plain):
+        if len(plain) > 14 and plain[:2].isalpha() and plain[2:4].isdigit() and _rest97(plain) == 1:
             new = value[:4] + new[4:]
-            digits = re.sub(r"[^0-9A-Za-z]", "", new)
+            digits = _plain(new)
             digits = "".join(c if old.isalpha() == c.isalpha() else c for c, old in zip(digits, plain, strict=True))
-            rest = int("".join(str(int(c, 36)) for c in digits[4:] + digits[:2] + "00")) % 97
+            rest = _rest97(digits[:2] + "00" + digits[4:])
             check = f"{98 - rest:02d}"
             at = [i for i, c in enumerate(new) if c.isalnum()][2:4]
             return "".join(check[at.index(i)] if i in at else c for i, c in enumerate(new))
         shape = (len(plain), plain[:1].isalpha(), plain[-1:].isalpha())
-        rule = _CHECKS.get(shape) or (validators.luhn if 13 <= len(plain) <= 19 and plain.isdigit() else None)
+        rule = _CHECKS.get(shape) or (_luhn if 13 <= len(plain) <= 19 and plain.isdigit() else None)
         if rule is not None and not rule(value if rule is validators.is_rrn_kr else plain.upper()):
-            rule = validators.luhn if rule is not validators.luhn and 13 <= len(plain) <= 19 and plain.isdigit() and validators.luhn(plain) else None
+            rule = _luhn if rule is not _luhn and 13 <= len(plain) <= 19 and plain.isdigit() and _luhn(plain) else None
         if rule is None:
             return new
         keep = value[:1] if rule is validators.is_nif_es and value[:1].isalpha() else ""
@@ -316,7 +341,7 @@ class Surrogates:
             new = "".join(b if i in self._dated(plain, value, rule) else a for i, (a, b) in enumerate(zip(new, value, strict=True)))
         last = max(i for i, c in enumerate(new) if c.isalnum())
         for c in "0123456789X" if rule is not validators.is_nif_es and rule is not validators.is_codice_fiscale else "ABCDEFGHIJKLMNOPQRSTUVWXYZ":
-            if rule(new[:last] + c if rule is validators.is_rrn_kr else re.sub(r"[^0-9A-Za-z]", "", new[:last] + c).upper()):
+            if rule(new[:last] + c if rule is validators.is_rrn_kr else _plain(new[:last] + c).upper()):
                 return new[:last] + c + new[last + 1 :]
         return new
 
