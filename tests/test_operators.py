@@ -206,19 +206,39 @@ def test_apportion(spark):
     assert {r.key: r.n for r in C.apportion(df, 10).collect()} == {"a": 4, "b": 3, "c": 3}
 
 
-def test_orders():
+def test_orders(spark):
     cov = {"primary": {"none": {"code_log_or_config": 2}, "high": {"health": 4}}, "per_language": 6, "length": {"short": [0, 200, 3], "long": [600, 1100, 3]}, "long_formats": ["report"], "formats": ["chat", "email", "log"], "position_of_key_fact": ["start", "end"], "overlays": {"any": {"typos": 2}, "cjk_only": {"kana": 1}}, "implicit_excluded": []}
-    out = testset.orders(cov, "en")
-    assert len(out) == 6 and sum("typos" in s["overlays"] for s in out) == 2 and not any("kana" in s["overlays"] for s in out) and {s["split"] for s in out} == {"dev", "test"}
+    out = testset.orders(spark, cov, "en").collect()
+    assert [r.id for r in sorted(out)] == [f"ts_en_{k:03d}" for k in range(1, 7)] and sum("typos" in r.overlays for r in out) == 2 and not any("kana" in r.overlays for r in out)
+    assert sorted(r.split for r in out) == ["dev"] * 3 + ["test"] * 3 and sorted(r.length for r in out) == ["long"] * 3 + ["short"] * 3
+    assert all((r.format == "report") == (r.length == "long") and (r.position is not None) == (r.length == "long" and r.sensitivity != "none") for r in out)
+    assert out == testset.orders(spark, cov, "en").collect() and sum(map(len, (r.overlays for r in testset.orders(spark, cov, "ja").collect()))) == 3
     with pytest.raises(ValueError):
-        testset.orders({**cov, "per_language": 5}, "en")
+        testset.orders(spark, {**cov, "per_language": 5}, "en")
+    texts = spark.createDataFrame([(r.id, "x" * (100 if r.length == "short" else 50)) for r in out] + [("other", "x")], "id string, text string")
+    assert testset.wrong_lengths(texts, testset.orders(spark, cov, "en")).count() == 3
 
 
-def test_templates():
+def test_templates(spark):
     good = {"id": "x", "lang": "en", "sensitivity": "low", "cell": "contact_details", "text": "{P1} wrote to {P1.email} about the order."}
-    assert C.template_problems(good) == [] and C.implied_categories("health", good["text"]) == ["email_or_phone", "health_info"]
-    assert len(C.template_problems({**good, "text": "{P9} a@b.org 12 34 56 78 \\n {PW}"})) >= 5
-    assert C.template_problems(good, {"length": "long", "sensitivity": "low", "cell": "x"}) != []
+
+    def problems(*rows, brief=None):
+        of = "id string, lang string, sensitivity string, cell string, text string"
+        briefs = None if brief is None else spark.createDataFrame([brief], "id string, length string, sensitivity string, cell string")
+        return [(r.id, r.problem) for r in C.template_problems(spark.createDataFrame([tuple(r[c] for c in ("id", "lang", "sensitivity", "cell", "text")) for r in rows], of), briefs).collect()]
+
+    assert problems(good) == [] and C.implied_categories("health", good["text"]) == ["email_or_phone", "health_info"]
+    many = {p for _, p in problems({**good, "text": "{P9} a@b.org 12 34 56 78 \\n {PW}"})}
+    assert many == {"unknown placeholder {P9}", "an e-mail address written out", "a long number written out", "literal backslash-n", "no person placeholder", "an identity, account number or login makes it high"}
+    assert {p for _, p in problems(good, brief=("x", "long", "low", "x"))} == {"length outside the brief", "level or cell differs from the brief"} and problems(good, brief=("y", "long", "low", "x")) == []
+    cells = {
+        "government_id_number": ("high", "{P1} {P1.card}", "no identity number"), "financial_account_or_credentials": ("high", "{P1} {P1.govid}", "no account or credential"),
+        "identifier_only_sensitive": ("high", "{P1} {P1.id}", "only an identifier and no name is wanted"), "table_of_numbers": ("high", "{P1.card} {P1.card} {P2.bank}", "fewer than three numbers"),
+        "numbers_of_no_person": ("none", "{CODE}", "no number of no person"), "health": ("none", "{P1}", "a none template with a personal placeholder"),
+        "trade_union": ("high", "{P1} said a long sentence. {P1} said a long sentence.", "repeated sentence"),
+    }
+    rows = [{"id": cell, "lang": "en", "sensitivity": level, "cell": cell, "text": text} for cell, (level, text, _) in cells.items()]
+    assert sorted(problems(*rows)) == sorted((cell, problem) for cell, (_, _, problem) in cells.items()) and problems({**good, "text": None}) == [("x", "no person placeholder")]
     d = G.Document(random.Random(1), "en")
     G.slot_doc(d, good)
     assert d.text[slice(*d.spans[0][:2])].strip() and [k for *_, k in d.spans] == ["PERSON", "EMAIL"]

@@ -129,10 +129,9 @@ def _kept(one: Compiled, text: str, m: regex.Match) -> bool:
     if not value:
         return False
     if rule.category == "secret":
+        seen = {"value": value, "whole": whole}
         following = text[m.end() : m.end() + 64]
-        if shapes.placeholder(value, following):
-            return False
-        if rule.group is not None and (shapes.not_secret_shaped(value) or shapes.placeholder(whole, following) or shapes.not_secret_shaped(whole) or shapes.describes_a_secret(whole)):
+        if any(shapes.has_shape(seen[of], name, following) for of, name, grouped in shapes.SECRET_GATES if rule.group is not None or not grouped):
             return False
     if rule.least_entropy is not None and shapes.entropy(value) < rule.least_entropy:
         return False
