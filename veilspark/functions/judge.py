@@ -24,9 +24,13 @@ ROLE_MAILBOX = re.compile(
     r"|customer\w*|kundenservice|booking|reservations?|events?|orders?|secretar\w*|sekretariat|segreteria"
     r"|direccion|direzione|redaktion|redazione|rh|ops|devops|it|leitung|abuse|sysadmin|corporate\w*)\d*@"
 )
-LATIN_MARKS = ["Inc", "Inc.", "LLC", "Ltd", "Ltd.", "GmbH", "AG", "S.A.", "S.L.", "SARL", "SAS", "S.p.A.", "S.r.l.", "Co.", "Corp", "Corp.", "Headquarters", "Head office", "Sitz", "Sede", "Venue", "Lieu", "Ort"]
-OTHER_MARKS = ["株式会社", "有限会社", "合同会社", "有限公司", "股份有限公司", "주식회사", "(주)", "本社", "所在地", "会場", "公司地址", "Siège"]
-COMPANY = re.compile(rf"(?<![A-Za-z])(?:{'|'.join(map(re.escape, LATIN_MARKS))})(?![A-Za-z])|{'|'.join(map(re.escape, OTHER_MARKS))}")
+MARKS = [
+    "Inc", "Inc.", "LLC", "Ltd", "Ltd.", "GmbH", "AG", "S.A.", "S.L.", "SARL", "SAS", "S.p.A.", "S.r.l.", "Co.", "Corp", "Corp.", "株式会社", "有限会社", "合同会社", "有限公司", "股份有限公司", "주식회사", "(주)",
+    "本社", "所在地", "会場", "公司地址", "Headquarters", "Head office", "Siège", "Sitz", "Sede", "Venue", "Lieu", "Ort",
+]
+#: A mark in ASCII is a word of its own, another may be a part of one.
+_WHOLE, _PART = (("|".join(re.escape(m) for m in MARKS if m.isascii() is ascii_)) for ascii_ in (True, False))
+COMPANY = re.compile(rf"(?<![A-Za-z])(?:{_WHOLE})(?![A-Za-z])|{_PART}")
 COURTESY = frozenset("mr ms mrs miss mx dr prof sir dame m mme mlle pr sig sig.ra dott dott.ssa herr frau fräulein sr sra srta dra phd ph.d md m.d 氏 様 さん 君 殿 博士 女士 小姐 씨 님 박사".split())
 
 

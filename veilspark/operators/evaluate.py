@@ -21,16 +21,13 @@ def _quoted(word: str) -> str:
 #: Honorifics at the end of a name that has more, or at its start before a space, as often as they come.
 _LONGEST = sorted(HONORIFICS, key=len, reverse=True)
 #: Tried on the reversed name, where the end is the start: one place to look at instead of all.
-TAIL = "^(?:" + "|".join(_quoted(h[::-1]) for h in _LONGEST) + r")\s*(?=\S)"
-HEAD = "^(?:" + "|".join(map(_quoted, _LONGEST)) + r") \s*(?=\S)"
-ROUNDS = 4
+TAIL = "^(?:(?:" + "|".join(_quoted(h[::-1]) for h in _LONGEST) + r")\s*)+(?=\S)"
+HEAD = "^(?:(?:" + "|".join(map(_quoted, _LONGEST)) + r") \s*)+(?=\S)"
 
 
 def normal(value: Column, ftype: Column) -> Column:
-    """Value for comparison. Honorifics are stripped in ROUNDS passes, as many as a name carries on either side."""
-    name = F.trim(value)
-    for _ in range(ROUNDS):
-        name = F.trim(F.regexp_replace(F.reverse(F.regexp_replace(F.reverse(name), TAIL, "")), HEAD, ""))
+    """Value for comparison. All honorifics at either end of a name are stripped, as long as something is left."""
+    name = F.trim(F.regexp_replace(F.trim(F.reverse(F.regexp_replace(F.reverse(F.trim(value)), TAIL, ""))), HEAD, ""))
     return (
         F.when(ftype.isin("phone", "number"), F.regexp_replace(value, r"[\s\-().]", "")).when(ftype == "email", F.lower(value)).otherwise(F.regexp_replace(name, r"\s+", " "))
     )

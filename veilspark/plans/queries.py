@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,18 +57,18 @@ def _levels(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tagged(s: SparkSession, d: str) -> DataFrame:
-    """Reported findings as tokens of overlapping windows: the place in the window and the tag follow from the finding's number."""
-    r = read_table(s, d, "report_findings", "finding_id", "id", "start_pos", "end_pos", "finding_type").distinct()
-    k = F.col("finding_id")
-    tag = F.when(k % 11 == 0, F.lit("O")).otherwise(F.concat(F.when(k % 2 == 0, F.lit("B-")).otherwise(F.lit("I-")), "finding_type"))
-    pos = (k % 17).cast("int")
-    return r.select(F.col("id").alias("doc_id"), k.alias("window_no"), pos.alias("pos"), F.lit(17).alias("n"), F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), tag.alias("tag"))
+    """Tokens of overlapping windows of all documents. What a tagger says of a token follows from its place and its window, so two
+    windows that share a token mostly say different things of it."""
+    w = tokens.windows(tokens.tokens(_docs(s, d)), 66, 16).select("doc_id", "window_no", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "t"))
+    k = (F.col("t.start") + 31 * F.col("window_no")) % 7
+    tag = F.element_at(F.array(*map(F.lit, ("O", "B-PERSON", "B-PERSON", "I-PERSON", "I-PERSON", "B-EMAIL", "I-EMAIL"))), k + 1)
+    return w.select("doc_id", "window_no", "pos", "n", F.col("t.start").alias("start"), F.col("t.end").alias("end"), tag.alias("tag"))
 
 
 def _compare(s: SparkSession, d: str) -> DataFrame:
     h = _holdout(s, d)
     first = h.select("id", F.col("expected.sensitivity").alias("sensitivity"), F.col("expected.findings").alias("findings"))
-    second = predicted(s, d).groupBy("id").agg(F.collect_list(F.struct("type", "value", "pii", "number_type")).alias("findings")).select("id", F.lit("low").alias("sensitivity"), "findings")
+    second = predicted(s, d).groupBy("id").agg(F.collect_list(F.struct("type", "value", "pii", "number_type")).alias("findings")).join(_levels(s, d).select("id", F.col("predicted_level").alias("sensitivity")), "id", "left").select("id", "sensitivity", "findings")
     return testset.compare(first, second)
 
 
@@ -78,6 +79,18 @@ def _selected(s: SparkSession, d: str) -> DataFrame:
     return C.select(es, es.count() // 5, cov)[0]
 
 
+def _off_target(s: SparkSession, d: str) -> DataFrame:
+    es = read_table(s, d, "es_1", "id", "lang", "sensitivity", "cell").where("id IS NOT NULL")
+    targets = read_table(s, d, "coverage_targets")
+    parts = []
+    for field in ("lang", "sensitivity", "cell"):
+        read = F.lower(F.trim(field))
+        per = es.groupBy("id").agg(F.min(F.regexp_replace(read, "[ -]", "_") if field == "cell" else read).alias(field))
+        wanted = targets.where(F.col("field_name") == field).select(F.col("category").alias("value"), F.col("target_share").alias("target"))
+        parts.append(C.off_target(C.measured(per, field).where("value IS NOT NULL"), wanted).withColumn("field", F.lit(field)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _with_case(s: SparkSession, d: str, behind: bool) -> DataFrame:
     """Every document with its planted case: behind its own text, or alone."""
     texts = [t for rule, before, value, after, miss in cases.RULE_CASES for t in (before + value + after, miss)]
@@ -133,10 +146,7 @@ def queries() -> dict[str, Query]:
         "length_bucket_hist": lambda s, d: _docs(s, d).where("text IS NOT NULL").groupBy("lang", C.bucket(F.coalesce("lang", F.lit("")), F.length("text"), {"length": {n: [a, b] for n, a, b in EDGES}}).alias("bucket")).agg(F.count("*").alias("n")),
         "coverage_formats": lambda s, d: C.measured(_docs(s, d), "format"),
         "coverage_finding_rates": lambda s, d: C.rates(_holdout(s, d), F.array_distinct(F.transform("expected.findings", lambda f: f["type"]))),
-        "coverage_off_target": lambda s, d: C.off_target(
-            C.measured(read_table(s, d, "es_1", "id", "lang").where("id IS NOT NULL").groupBy("id").agg(F.min(F.lower(F.trim("lang"))).alias("lang")), "lang").where("value IS NOT NULL"),
-            read_table(s, d, "coverage_targets").where("field_name = 'lang'").select(F.col("category").alias("value"), F.col("target_share").alias("target")),
-        ),
+        "coverage_off_target": _off_target,
         "apportion_counts": lambda s, d: C.apportion(read_table(s, d, "mix_weights").select(F.col("source").alias("key"), F.col("weight").alias("share"), F.col("source").alias("ord")), 1003).select("key", "n"),
         "stratified_select": _selected,
         "token_windows": lambda s, d: tokens.windows(tokens.tokens(_docs(s, d).where("text IS NOT NULL")), 66, 16).select("doc_id", "window_no", F.size("tokens").alias("n_tokens")),
@@ -152,6 +162,7 @@ def queries() -> dict[str, Query]:
         "near_duplicates": lambda s, d: testset.near_duplicates(_docs(s, d).select(F.col("doc_id").alias("id"), "lang", "text")),
         "repeated_sentences": lambda s, d: testset.repeated_sentences(_holdout(s, d).where("text IS NOT NULL")),
         "script_problems": lambda s, d: testset.script_problems(_holdout(s, d).where("text IS NOT NULL").withColumn("lang", F.lower(F.trim("lang")))),
+        "script_problems_mislabelled": lambda s, d: testset.script_problems(_docs(s, d).where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.element_at(F.array(F.lit("ko"), F.lit("ja"), F.lit("zh")), (F.col("doc_id") % 3).cast("int") + 1).alias("lang"), F.concat("text", F.when(F.col("doc_id") % 5 == 0, F.lit("\\n")).otherwise("")).alias("text"))),
         "values_not_in_text": lambda s, d: testset.values_not_in_text(_holdout(s, d).where("text IS NOT NULL")),
         "labels_compare": _compare,
         "labels_agreement": lambda s, d: testset.agreement(_compare(s, d)),
@@ -166,10 +177,8 @@ _DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
 
 
 def _norm(v: str, t: str) -> str:
-    name = f"trim({v})"
     tail = "|".join(sorted((w.replace(".", "\\.") for w in E.HONORIFICS), key=len, reverse=True))
-    for _ in range(E.ROUNDS):
-        name = f"trim(regexp_replace(regexp_replace({name}, '(\\S)\\s*(?:{tail})$', '\\1'), '^(?:{tail}) \\s*(\\S)', '\\1'))"
+    name = f"trim(regexp_replace(trim(regexp_replace(trim({v}), '(\\S)\\s*(?:(?:{tail})\\s*)+$', '\\1')), '^(?:(?:{tail}) \\s*)+(\\S)', '\\1'))"
     return f"CASE WHEN {t} IN ('phone', 'number') THEN regexp_replace({v}, '[\\s\\-().]', '', 'g') WHEN {t} = 'email' THEN lower({v}) ELSE regexp_replace({name}, '\\s+', ' ', 'g') END"
 
 
@@ -214,11 +223,16 @@ def _pattern(rule: str) -> str:
 def oracle_sql() -> dict[str, str]:
     luhn = f"list_sum(list_transform(range(length({_DIGITS})), lambda i: CASE WHEN i % 2 = 1 THEN (ascii({_DIGITS}[length({_DIGITS}) - i]) - 48) * 2 - 9 * CASE WHEN ascii({_DIGITS}[length({_DIGITS}) - i]) - 48 > 4 THEN 1 ELSE 0 END ELSE ascii({_DIGITS}[length({_DIGITS}) - i]) - 48 END)) % 10 = 0"
     white = "[^\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0B}\\x{1C}-\\x{1F}]+"
-    tagged = f"{_FINDS}, tg AS (SELECT id AS doc_id, finding_id AS window_no, finding_id % 17 AS pos, 17 AS n, start_pos AS start, end_pos AS \"end\", CASE WHEN finding_id % 11 = 0 THEN 'O' ELSE CASE WHEN finding_id % 2 = 0 THEN 'B-' ELSE 'I-' END || finding_type END AS tag FROM (SELECT DISTINCT finding_id, id, start_pos, end_pos, finding_type FROM finds)), rs AS (SELECT doc_id, start, \"end\", tag FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start, \"end\" ORDER BY least(pos, n - 1 - pos) DESC, window_no) AS k FROM tg WHERE start < \"end\") WHERE k = 1)"
+    tagged = f"""tk AS (SELECT doc_id, unnest(regexp_extract_all(text, '{white}')) AS tok, unnest(string_split_regex(text, '{white}')[1:len(regexp_extract_all(text, '{white}'))]) AS gap, unnest(range(len(regexp_extract_all(text, '{white}')))) AS i, len(regexp_extract_all(text, '{white}')) AS many FROM documents WHERE text IS NOT NULL),
+      ps AS (SELECT doc_id, i, many, (sum(length(gap)) OVER u + sum(length(tok)) OVER u - length(tok))::INT AS start, (sum(length(gap)) OVER u + sum(length(tok)) OVER u)::INT AS "end" FROM tk WINDOW u AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+      wn AS (SELECT *, unnest(range(0, greatest(0, ceil((many - 64) / 48.0))::BIGINT + 1)) AS w FROM ps),
+      tg AS (SELECT doc_id, w AS window_no, i - w * 48 + 1 AS pos, least(64, many - w * 48) + 2 AS n, start, "end", ['O', 'B-PERSON', 'B-PERSON', 'I-PERSON', 'I-PERSON', 'B-EMAIL', 'I-EMAIL'][(start + 31 * w) % 7 + 1] AS tag FROM wn WHERE i >= w * 48 AND i < w * 48 + 64),
+      rs AS (SELECT doc_id, start, "end", tag FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start, "end" ORDER BY least(pos, n - 1 - pos) DESC, window_no) AS k FROM tg) WHERE k = 1)"""
     key = "f.type || chr(31) || lower(CASE WHEN f.type IN ('phone', 'number') THEN regexp_replace(trim(f.value), '[\\s\\-().]', '', 'g') ELSE trim(f.value) END) || chr(31) || CASE WHEN f.pii THEN 'true' ELSE 'false' END || chr(31) || coalesce(f.number_type, '')"
-    compared = f"""{_MATCH}, a AS (SELECT id, expected.sensitivity AS s1, list_distinct(list_transform(list_filter(coalesce(expected.findings, []), lambda f: f.value IS NOT NULL), lambda f: {key})) AS k1 FROM hold),
+    levels = _LEVELS.split("finding_id, id, finding_type, finding_value, start_pos, end_pos, pii, number_type FROM report_findings), ")[1]
+    compared = f"""{_MATCH}, {levels}, a AS (SELECT id, expected.sensitivity AS s1, list_distinct(list_transform(list_filter(coalesce(expected.findings, []), lambda f: f.value IS NOT NULL), lambda f: {key})) AS k1 FROM hold),
       b AS (SELECT id, list_distinct(list({key})) AS k2 FROM pred f GROUP BY id),
-      c AS (SELECT a.id, b.id IS NULL AS missing, coalesce(s1 = 'low', FALSE) AND b.id IS NOT NULL OR b.id IS NULL AND s1 IS NULL AS same_level, k1, coalesce(k2, []) AS k2 FROM a LEFT JOIN b USING (id)),
+      c AS (SELECT a.id, b.id IS NULL AS missing, s1 IS NOT DISTINCT FROM (CASE WHEN b.id IS NULL THEN NULL ELSE lv.p END) AS same_level, k1, coalesce(k2, []) AS k2 FROM a LEFT JOIN b USING (id) LEFT JOIN lv USING (id)),
       cmp AS (SELECT id, missing, same_level, len(list_intersect(k1, k2))::INT AS n_both, len(list_distinct(list_concat(k1, k2)))::INT AS n_any, list_sort(list_filter(k1, lambda x: NOT list_contains(k2, x))) AS only_first, list_sort(list_filter(k2, lambda x: NOT list_contains(k1, x))) AS only_second FROM c)"""
     return {
         **cases.sql(),
@@ -238,7 +252,8 @@ def oracle_sql() -> dict[str, str]:
         "length_bucket_hist": f"SELECT lang, CASE WHEN lang IN ('ja', 'zh', 'ko') THEN {_BUCKET.format(100, 500, 1000)} ELSE {_BUCKET.format(200, 1000, 2000)} END AS bucket, count(*) AS n FROM (SELECT lang, length(text) AS n FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2",
         "coverage_formats": "SELECT format AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 4) AS share FROM documents GROUP BY format",
         "coverage_finding_rates": f"WITH {_HOLD} SELECT value, count(*) AS n, round(count(*) * 1000 / (SELECT count(*) FROM hold), 1) AS per_1000 FROM (SELECT unnest(list_distinct(list_transform(expected.findings, lambda f: f.type))) AS value FROM hold) GROUP BY value",
-        "coverage_off_target": "WITH ids AS (SELECT id, min(lower(trim(lang))) AS lang FROM es_1 WHERE id IS NOT NULL GROUP BY id), s AS (SELECT lang AS value, round(count(*) / (SELECT count(*) FROM ids), 4) AS share FROM ids WHERE lang IS NOT NULL GROUP BY lang) SELECT coalesce(s.value, t.category) AS value, coalesce(t.target_share, 0.0) AS target, coalesce(s.share, 0.0) AS share FROM s FULL OUTER JOIN (SELECT category, target_share FROM coverage_targets WHERE field_name = 'lang') t ON s.value = t.category WHERE coalesce(t.target_share, 0) = 0 AND coalesce(s.share, 0) > 0 OR coalesce(t.target_share, 0) > 0 AND abs(coalesce(s.share, 0) - t.target_share) > 0.2 * t.target_share",
+        "coverage_off_target": "WITH ids AS (SELECT id, min(lower(trim(lang))) AS lang, min(lower(trim(sensitivity))) AS sensitivity, min(regexp_replace(lower(trim(cell)), '[ -]', '_', 'g')) AS cell FROM es_1 WHERE id IS NOT NULL GROUP BY id), s AS (SELECT field, value, round(count(*) / (SELECT count(*) FROM ids), 4) AS share FROM (SELECT unnest(['lang', 'sensitivity', 'cell']) AS field, unnest([lang, sensitivity, cell]) AS value FROM ids) WHERE value IS NOT NULL GROUP BY field, value) SELECT coalesce(s.field, t.field_name) AS field, coalesce(s.value, t.category) AS value, coalesce(t.target_share, 0.0) AS target, coalesce(s.share, 0.0) AS share FROM s FULL OUTER JOIN (SELECT field_name, category, target_share FROM coverage_targets) t ON s.value = t.category AND s.field = t.field_name WHERE coalesce(t.target_share, 0) = 0 AND coalesce(s.share, 0) > 0 OR coalesce(t.target_share, 0) > 0 AND abs(coalesce(s.share, 0) - t.target_share) > 0.2 * t.target_share",
+        "card_offsets": f"SELECT doc_id, start, (start + length(value))::INT AS \"end\", value FROM (SELECT doc_id, ms[i] AS value, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::INT AS start FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{CARD}') AS ms, string_split_regex(text, '{CARD}') AS ps FROM documents WHERE text IS NOT NULL)))",
         "apportion_counts": "WITH r AS (SELECT source AS key, floor(weight * 1003)::BIGINT AS whole, weight * 1003 - floor(weight * 1003) AS rest FROM mix_weights) SELECT key, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, key) <= 1003 - (SELECT sum(whole) FROM r) THEN 1 ELSE 0 END AS n FROM r",
         "match_prf": f"WITH {_MATCH} " + _prf("(SELECT * FROM odd WHERE NOT odd_number AND NOT odd_type)", "type"),
         "match_personal_prf": f"WITH {_MATCH} " + _prf("(SELECT * FROM odd WHERE NOT odd_number AND NOT odd_type AND pii)", "type"),
@@ -248,6 +263,7 @@ def oracle_sql() -> dict[str, str]:
         "judged_too_low": f"WITH {_LEVELS} SELECT * FROM (SELECT id, e AS expected_level, p AS predicted_level, e = 'high' AND p <> 'high' AS high_missed, e <> 'none' AND p = 'none' AS personal_missed, pr < CASE e WHEN 'none' THEN 0 WHEN 'low' THEN 1 ELSE 2 END AS under_estimated FROM lv) WHERE high_missed OR personal_missed OR under_estimated",
         "acceptance": f"WITH {_MATCH}, {_LEVELS.split('finding_id, id, finding_type, finding_value, start_pos, end_pos, pii, number_type FROM report_findings), ')[1]}, n AS (SELECT count(*) FILTER (predicted AND expected) AS tp, count(*) FILTER (expected AND NOT predicted) AS fn FROM m WHERE type = 'person_name'), l AS (SELECT count(*) AS documents, count(*) FILTER (e = p) AS ok, count(*) FILTER (e = 'high' AND p <> 'high') AS h, count(*) FILTER (e <> 'none' AND p = 'none') AS q FROM lv) SELECT documents, round(ok / greatest(1, documents), 4) AS sensitivity_accuracy, tp / greatest(1, tp + fn) >= 0.98 AS person_recall_ok, h = 0 AS high_missed_ok, q = 0 AS personal_missed_ok, tp / greatest(1, tp + fn) >= 0.98 AND h = 0 AND q = 0 AS pass FROM n, l",
         "script_problems": f"WITH {_HOLD} SELECT id, problem FROM (SELECT id, unnest([CASE WHEN lower(trim(lang)) = 'ko' AND NOT regexp_matches(text, '[가-힣]') THEN 'no Hangul' END, CASE WHEN lower(trim(lang)) = 'ja' AND NOT regexp_matches(text, '[\\x{{3040}}-\\x{{30FF}}]') THEN 'no kana' END, CASE WHEN lower(trim(lang)) = 'zh' AND regexp_matches(text, '[\\x{{3040}}-\\x{{30FF}}가-힣]') THEN 'kana or Hangul in zh' END, CASE WHEN contains(text, '\\n') THEN 'literal backslash-n' END]) AS problem FROM hold WHERE text IS NOT NULL) WHERE problem IS NOT NULL",
+        "script_problems_mislabelled": f"WITH hold AS (SELECT doc_id AS id, ['ko', 'ja', 'zh'][doc_id % 3 + 1] AS lang, text || CASE WHEN doc_id % 5 = 0 THEN '\\n' ELSE '' END AS text FROM documents) SELECT id, problem FROM (SELECT id, unnest([CASE WHEN lower(trim(lang)) = 'ko' AND NOT regexp_matches(text, '[가-힣]') THEN 'no Hangul' END, CASE WHEN lower(trim(lang)) = 'ja' AND NOT regexp_matches(text, '[\\x{{3040}}-\\x{{30FF}}]') THEN 'no kana' END, CASE WHEN lower(trim(lang)) = 'zh' AND regexp_matches(text, '[\\x{{3040}}-\\x{{30FF}}가-힣]') THEN 'kana or Hangul in zh' END, CASE WHEN contains(text, '\\n') THEN 'literal backslash-n' END]) AS problem FROM hold WHERE text IS NOT NULL) WHERE problem IS NOT NULL",
         "values_not_in_text": f"WITH {_HOLD} SELECT id, f.type AS type, f.value AS value FROM (SELECT id, text, unnest(expected.findings) AS f FROM hold WHERE text IS NOT NULL) WHERE NOT contains(text, f.value)",
         "split_findings": f"WITH {_HOLD} SELECT split, type, count(*) AS n, count(*) FILTER (type = 'person_name' OR pii) AS personal FROM (SELECT split, f.type AS type, f.value AS value, f.pii AS pii, f.number_type AS nt FROM (SELECT split, unnest(expected.findings) AS f FROM hold)) WHERE type IN ('person_name', 'email', 'phone', 'number') AND (type <> 'number' OR coalesce(nt, '') IN ('my_number', 'national_id', 'driver_licence_or_passport', 'credit_card', 'bank_account')) AND NOT (type = 'person_name' AND coalesce(starts_with(value, '@') OR contains(value, '_'), FALSE)) GROUP BY split, type",
         "repeated_sentences": f"WITH {_HOLD} SELECT id, count(*) AS repeated FROM (SELECT id, s FROM (SELECT id, unnest(list_transform(regexp_split_to_array(text, '[。．.!?！？\\n]+'), lambda x: regexp_replace(x, '^[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+|[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+$', '', 'g'))) AS s FROM hold WHERE text IS NOT NULL) WHERE length(s) > 15 GROUP BY id, s HAVING count(*) > 1) GROUP BY id",

@@ -21,15 +21,35 @@ REPORT = {
 #: Span types that touching pieces may be joined in.
 FAMILY = {"EMAIL": "email", "EMAIL_GENERIC": "email", "PHONE": "phone", "PHONE_CORPORATE": "phone", "ADDRESS": "address", "ADDRESS_CORPORATE": "address", "EMPLOYMENT": "employment", "IP_PERSONAL": "ip", "IP_SERVER": "ip", "HANDLE": "handle", "HANDLE_BRAND": "handle"}
 # How a rule is reported (type, personal, number type, least level of the document).
-_ID, _PHONE, _POST = ("number", True, "national_id", "high"), ("phone", True, None, "none"), ("postal_code", True, None, "none")
 RULE_REPORT = {
-    "pii-email": ("email", True, None, "none"), "pii-credit-card": ("number", True, "credit_card", "high"), "pii-mynumber-jp": ("number", True, "my_number", "high"),
-    "pii-iban": ("number", True, "bank_account", "high"), "pii-brn-kr": ("number", False, "business_registration", "none"),
-    "pii-ipv4-public": ("ip_address", True, None, "none"), "pii-ipv6": ("ip_address", True, None, "none"),
-    **dict.fromkeys("pii-ssn pii-nir-fr pii-codice-fiscale-it pii-steuer-id-de pii-dni-nie-es pii-rrn-kr pii-resident-id-cn pii-nino-uk".split(), _ID),
-    **dict.fromkeys("pii-postal-jp pii-postal-code pii-postal-cn".split(), _POST),
-    **dict.fromkeys([f"pii-phone-{c}" for c in "intl us jp fr it de es kr cn".split()], _PHONE),
-}
+    "pii-email": ("email", True, None, "none"),
+    "pii-credit-card": ("number", True, "credit_card", "high"),
+    "pii-ssn": ("number", True, "national_id", "high"),
+    "pii-mynumber-jp": ("number", True, "my_number", "high"),
+    "pii-nir-fr": ("number", True, "national_id", "high"),
+    "pii-codice-fiscale-it": ("number", True, "national_id", "high"),
+    "pii-steuer-id-de": ("number", True, "national_id", "high"),
+    "pii-dni-nie-es": ("number", True, "national_id", "high"),
+    "pii-rrn-kr": ("number", True, "national_id", "high"),
+    "pii-resident-id-cn": ("number", True, "national_id", "high"),
+    "pii-brn-kr": ("number", False, "business_registration", "none"),
+    "pii-postal-jp": ("postal_code", True, None, "none"),
+    "pii-postal-code": ("postal_code", True, None, "none"),
+    "pii-postal-cn": ("postal_code", True, None, "none"),
+    "pii-ipv4-public": ("ip_address", True, None, "none"),
+    "pii-ipv6": ("ip_address", True, None, "none"),
+    "pii-iban": ("number", True, "bank_account", "high"),
+    "pii-phone-intl": ("phone", True, None, "none"),
+    "pii-nino-uk": ("number", True, "national_id", "high"),
+    "pii-phone-us": ("phone", True, None, "none"),
+    "pii-phone-jp": ("phone", True, None, "none"),
+    "pii-phone-fr": ("phone", True, None, "none"),
+    "pii-phone-it": ("phone", True, None, "none"),
+    "pii-phone-de": ("phone", True, None, "none"),
+    "pii-phone-es": ("phone", True, None, "none"),
+    "pii-phone-kr": ("phone", True, None, "none"),
+    "pii-phone-cn": ("phone", True, None, "none"),
+}
 
 SPAN = "struct<start:int,end:int,kind:string>"
 MATCH = "struct<rule:string,description:string,category:string,start:int,end:int,value:string,rule_ord:int,match_ord:int>"
