@@ -32,11 +32,20 @@ def corpus(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(CORPUS).option("multiLine", True).json([*paths]).select(F.explode("tests").alias("t")).select("t.*")
 
 
-def templates(spark: SparkSession, *paths: str, skip_cells: tuple[str, ...] = ()) -> DataFrame:
+def templates(spark: SparkSession, *paths: str, skip_cells: tuple[str, ...] = (), briefs: DataFrame | None = None) -> DataFrame:
     """``id, lang, sensitivity, cell, text, source, pool``: every seventh template of a file, from the fourth, is for validation.
 
-    Unreadable files have no rows; cells to skip are left out after the pools are told apart.
+    A file that can't be read, a folder without templates, and templates with problems (:func:`coverage.template_problems`, against
+    ``briefs`` if given) are errors that name the first of them. Cells to skip are left out after the pools are told apart.
     """
-    raw = spark.read.schema(TEMPLATES).option("multiLine", True).option("mode", "PERMISSIVE").json([*paths]).select(F.input_file_name().alias("source"), F.posexplode("templates").alias("i", "t"))
-    rows = raw.select("t.*", "source", F.when(F.col("i") % 7 == 3, "valid").otherwise("train").alias("pool"))
+    from veilspark.operators.coverage import template_problems
+
+    raw = spark.read.schema(f"{TEMPLATES}, broken string").option("columnNameOfCorruptRecord", "broken").option("multiLine", True).json([*paths]).withColumn("source", F.input_file_name())
+    rows = raw.where("broken IS NULL").select("source", F.posexplode("templates").alias("i", "t")).select("t.*", "source", F.when(F.col("i") % 7 == 3, "valid").otherwise("train").alias("pool"))
+    bad = [f"{r['source']}: not a file of templates" for r in raw.where("broken IS NOT NULL OR templates IS NULL").select("source").limit(20).collect()]
+    bad = bad or [f"{r['id']}: {r['problem']}" for r in template_problems(rows, briefs).limit(20).collect()]
+    if bad:
+        raise ValueError("; ".join(bad))
+    if rows.isEmpty():
+        raise ValueError(f"no templates in {', '.join(paths)}")
     return rows.where(~F.col("cell").isin(*skip_cells)) if skip_cells else rows

@@ -14,7 +14,7 @@ def report_lines(report: DataFrame, source: str = "source") -> DataFrame:
         return F.concat(F.lit("  "), f["type"], F.when(f["number_type"].isNotNull(), F.concat(F.lit(" ("), f["number_type"], F.lit(")"))).otherwise(""), F.lit(": "), f["value"], F.when(f["pii"], "").otherwise(" [not PII]"))
 
     def secret(s: Column) -> Column:
-        return F.concat(F.lit("  secret: "), s["rule"], F.lit(" on line "), s["line"].cast("string"))
+        return F.concat(F.lit("  secret ("), s["rule"], F.lit(")"), F.coalesce(F.concat(F.lit(" on line "), s["line"].cast("string")), F.lit("")), F.lit(": "), s["value"])
 
     return report.select(source, F.concat(F.array(head), F.transform("findings", finding), F.transform("secrets", secret)).alias("lines"))
 
