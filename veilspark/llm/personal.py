@@ -14,7 +14,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -253,30 +254,46 @@ def _blank(cue: str) -> str:
     return cue.translate(FOLD).replace(" ?", "\x00").replace(" ", r"\s{1,3}").replace("\x00", r"\s{0,2}")
 
 
+class Cue(NamedTuple):
+    """What a cue says of what follows it (``tail``) or, of kind ``after``, of what stands before it. A cue is sought in the text in small
+    letters, unless it is ``cased``; its tail is read from where it ends. ``edge`` are characters that may not stand before it."""
+
+    what: str
+    word: str
+    cue: re.Pattern
+    tail: re.Pattern | None = None
+    edge: str = "\0"
+    cased: bool = False
+
+
 @cache
-def grammar(lang: str) -> list[tuple[str, str, re.Pattern]]:
-    """(what, text that must be there, pattern) of every cue of a language. What: ``name`` before which the cue stands, ``after`` a name,
-    ``titled`` name, ``address``, ``number``, ``phone``; a pattern of ``after`` and ``phone`` goes over the text in small letters."""
+def grammar(lang: str) -> list[Cue]:
+    """The cues of a language; ``word`` must be in a text for one to match."""
     if lang in CJK:
-        return [({"name": "name"}.get(k, k), "", re.compile(p, re.MULTILINE)) for k, v in CJK[lang].items() for p in v]
-    c = {k: [(plain, _blank(one)) for plain, one in alternatives(v.translate(FOLD))] for k, v in CUES[lang].items() if k != "titles"}
+        return [Cue({"address": "postal_address"}.get(k, k), "", re.compile(p, re.MULTILINE), cased=True) for k, v in CJK[lang].items() for p in v]
+    c = {k: [(word_of(plain), re.compile(_blank(one))) for plain, one in alternatives(v.translate(FOLD))] for k, v in CUES[lang].items() if k != "titles"}
     titles = sorted(CUES[lang]["titles"].translate(FOLD).split(), key=len, reverse=True)
     spoken = "|".join(re.escape(t.capitalize()) for t in titles if len(t) > 1)
     title = r"(?:(?:" + "|".join(map(re.escape, titles)) + r")\b\.?[ ]{0,3}){0,2}"
     street = rf"(?P<a>(?=[^\n;]*\d)[^\s,;.](?:[^\n;.]|\.(?![ ]{{1,3}}(?-i:[{UP}¿¡«\"„“'])|\s*\n|$)|(?<=\bavda)\.|(?<=str)\.|(?<=\bst)\.|(?<=\bp)\.|(?<=\bv)\.|(?<=\bc)\.|(?<=\bn)\.|(?<=\bint)\.|(?<=\bappt)\.)*)"
     of = lambda pattern: re.compile(pattern, re.IGNORECASE)
+    named, called, where, number, phone = of(rf"(?:{title})(?P<n>{LATIN_NAME})"), of(rf"(?:(?-i:{spoken})\b\.?[ ]{{1,3}})?(?P<n>{LATIN_ONLY})"), of(street), of(rf"[ ]?:?[ ]{{0,3}}(?P<v>{NUMBER})"), of(rf"(?P<v>{PHONE})")
+    to = "|".join(_blank(one) for _, one in alternatives(CUES[lang]["to"].translate(FOLD)))
+    sent = of(rf"\b[^.\n]{{3,}}?(?:{to})(?:{title})(?P<n>{LATIN_NAME}),\s{{1,3}}{street}")
     return [
-        *(("name", plain, of(rf"(?<!\w){cue}(?:{title})(?P<n>{LATIN_NAME})")) for plain, cue in [*c["before"], ("report ", r"report [\w./-]+ links ")]),
-        *(("after", plain, re.compile(cue)) for plain, cue in c["after"]),
-        *(("titled", t, of(rf"(?<![\w@.+-])(?-i:{re.escape(t.capitalize())}\b\.?[ ]{{1,3}})(?:(?-i:{spoken})\b\.?[ ]{{1,3}})?(?P<n>{LATIN_ONLY})")) for t in titles if len(t) > 1),
-        *(("name", word, of(rf"\b{word}\b[^.\n]{{3,}}?{cue}(?:{title})(?P<n>{LATIN_NAME}),\s{{1,3}}{street}")) for word in SEND[lang].translate(FOLD).lower().split("|") for _, cue in c["to"]),
-        *(("address", plain, of(rf"(?<!\w){cue}{street}")) for plain, cue in c["address"]),
-        *(("number", plain, of(rf"(?<![\w-]){cue}[ ]?:?[ ]{{0,3}}(?P<v>{NUMBER})")) for plain, cue in c["label"]),
-        *(("phone", plain, re.compile(rf"(?<!\w){cue}(?P<v>{PHONE})")) for plain, cue in c["phone"]),
+        *(Cue("name", word, cue, named) for word, cue in [*c["before"], ("report", re.compile(r"report [\w./-]+ links "))]),
+        *(Cue("after", word, cue) for word, cue in c["after"]),
+        *(Cue("titled", word_of(t), re.compile(rf"{re.escape(t.capitalize())}\b\.?[ ]{{1,3}}"), called, "@.+-", True) for t in titles if len(t) > 1),
+        *(Cue("name", word_of(one), re.compile(one), sent) for one in SEND[lang].translate(FOLD).lower().split("|")),
+        *(Cue("address", word, cue, where) for word, cue in c["address"]),
+        *(Cue("number", word, cue, number, "-") for word, cue in c["label"]),
+        *(Cue("phone", word, cue, phone) for word, cue in c["phone"]),
     ]
 
 
-_NAME_END = re.compile(rf"(?<![\w@.+-])(?P<n>{LATIN_NAME})\Z", re.IGNORECASE)
+_NAME = re.compile(rf"(?P<n>{LATIN_NAME})", re.IGNORECASE)
+#: Where a name may begin: a capital, or the small letter of a prefix, that no word goes on with.
+_NAME_STARTS = re.compile(rf"(?<![\w@.+-])(?:[{UP}]|d['’])")
 
 
 _WORDS = re.compile(r"[^\s,]+")
@@ -297,7 +314,7 @@ def _untitled(form: str, start: int, end: int, titles: frozenset[str]) -> int:
 
 @cache
 def _index(lang: str) -> Index:
-    return Index([word_of(plain) for _, plain, _ in grammar(lang)])
+    return Index([one.word for one in grammar(lang)])
 
 
 @cache
@@ -335,27 +352,30 @@ def detect(form: str, lang: str | None = None) -> list[tuple[str, int, int]]:
         return start
 
     for k in _index(lang).able(small):
-        what, _, rule = rules[k]
-        if what == "after":  # a cue after a name: the name is what ends there
-            for m in rule.finditer(small):
-                if m := _ending(_NAME_END, form, m.start()):
+        one = rules[k]
+        for m in one.cue.finditer(form if one.cased else small):
+            if one.what == "after":  # the name is what ends there
+                if m := _ending(form, m.start()):
                     name(*m.span("n"))
-        elif what in ("name", "titled"):
-            for m in rule.finditer(form):
+                continue
+            if one.tail is not None:
+                before = form[m.start() - 1] if m.start() else " "
+                if before.isalnum() or before == "_" or before in one.edge or not (m := one.tail.match(form, m.end())):
+                    continue
+            if one.what in ("name", "titled"):
                 start = name(*m.span("n"))
                 if titles:
                     starts[m.end("n")] = max(starts.get(m.end("n"), 0), start)
-                if "a" in rule.groupindex and m["a"] and any(ch.isdigit() for ch in m["a"]):
+                if "a" in m.re.groupindex and m["a"] and any(ch.isdigit() for ch in m["a"]):
                     start, end = _address(small, *m.span("a")) if titles else m.span("a")
                     out["postal_address", start] = end
-        else:
-            kind, group = ("postal_address", "a") if what == "address" else (what, "v")
-            for m in rule.finditer(small if titles and what == "phone" else form):
-                start, end = m.span(group)
-                if kind == "postal_address" and titles:
-                    start, end = _address(small, start, end)
-                if end > out.get((kind, start), -1):
-                    out[kind, start] = end
+                continue
+            kind, group = ("postal_address", "a") if one.what in ("address", "postal_address") else (one.what, "v")
+            start, end = m.span(group)
+            if kind == "postal_address" and titles:
+                start, end = _address(small, start, end)
+            if end > out.get((kind, start), -1):
+                out[kind, start] = end
     mails = []
     if "@" in form or "(" in form or "[" in form:
         for hit in _AT.finditer(form):
@@ -426,12 +446,12 @@ def _address(small: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def _ending(rule: re.Pattern, form: str, at: int) -> re.Match | None:
-    """What ends at a place. The stretch looked at grows until the match lies inside it."""
+def _ending(form: str, at: int) -> re.Match | None:
+    """The longest name that ends at a place. The stretch looked at grows until the name lies inside it."""
     wide = 80
     while True:
         start = max(0, at - wide)
-        m = rule.search(form, start, at)
+        m = next((m for first in _NAME_STARTS.finditer(form, start, at) if (m := _NAME.fullmatch(form, first.start(), at))), None)
         if not start or not m or m.start() > start + 40:
             return m
         wide *= 4
@@ -450,26 +470,22 @@ def _mail(form: str, hit: re.Match, least: int) -> re.Match | None:
         wide *= 4
 
 
-def _detected(text: str) -> tuple[list[tuple[str, int, int]], str]:
+def _detected(text: str) -> tuple[list[tuple[str, int, int, str]], str]:
+    """(finding type, start, end, value in its legible form) in the stored text, and the language."""
     form, at = legible(text)
     lang = language(form)
     found = detect(form, lang)
-    return (found if at is None else [(k, at[a], at[b - 1] + 1) for k, a, b in found]), lang
+    return [(k, a, b, form[a:b]) if at is None else (k, at[a], at[b - 1] + 1, form[a:b]) for k, a, b in found], lang
 
 
 def findings(text: str | None) -> list[tuple[str, int, int]]:
     """(finding type, start, end) in the stored text; none for a null or empty text."""
-    return _detected(text)[0] if text else []
+    return [(k, a, b) for k, a, b, _ in _detected(text)[0]] if text else []
 
 
 # ---- replacement ---------------------------------------------------------------------------------------------------
 
 PLACE = {"person_name": "PERSON", "email": "EMAIL", "phone": "PHONE", "number": "NUMBER", "postal_address": "ADDRESS"}
-@lru_cache(1 << 14)
-def _once(value: str) -> tuple[str, list[int] | None]:
-    return legible(value)
-
-
 _TITLE = re.compile(r"([\w.]+)[ ]+$")
 
 
@@ -481,14 +497,14 @@ def entities(text: str | None, key: str) -> list[tuple[str, int, int, str, str]]
     found, lang = _detected(text) if text else ([], "")
     if not found:
         return []
-    names = Surrogates(key, lang, _once)
-    for k, a, b in sorted(found, key=lambda f: f[1] - f[2]):  # the fullest mention of a person first
+    names = Surrogates(key, lang)
+    for k, _, _, value in sorted(found, key=lambda f: f[1] - f[2]):  # the fullest mention of a person first
         if k == "person_name":
-            names.entity(k, text[a:b])
+            names.entity(k, value)
     out = []
-    for k, a, b in found:
+    for k, a, b, value in found:
         title = _TITLE.search(text[max(0, a - 12) : a]) if k == "person_name" else None
-        out.append((k, a, b, f"[{PLACE[k]}_{names.entity(k, text[a:b])}]", names.replace(k, text[a:b], title[1] if title else "")))
+        out.append((k, a, b, f"[{PLACE[k]}_{names.entity(k, value)}]", names.replace(k, value, title[1] if title else "")))
     return out
 
 

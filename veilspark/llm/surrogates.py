@@ -49,6 +49,7 @@ FEMALE_ENDS = {"ja": "子美香奈花恵代", "zh": "丽美玲英梅兰芳娟霞
 PARTICLES = frozenset("de del la las los da do dos di della van von der den zu y e".split())
 
 _KANA, _HAN, _HANGUL = re.compile("[ァ-ヴー]"), re.compile("[一-鿿々]"), re.compile("[가-힣]")
+_OTHER = re.compile("[^0-9A-Za-z]+")
 _COUNTRY = re.compile(r"[\s(]*\+\s?\d{2}|[\s(]*00\s?\d{2}")
 _PARTS = re.compile(r"[^\s,・\-‐‑]+")
 
@@ -91,7 +92,7 @@ def composed(pool: list[str], n: int, joint: str) -> str:
 
 def _plain(value: str) -> str:
     """The ASCII letters and digits of a value."""
-    return value if value.isascii() and value.isalnum() else "".join(c for c in value if c.isascii() and c.isalnum())
+    return value if value.isascii() and value.isalnum() else _OTHER.sub("", value)
 
 
 def _luhn(number: str) -> bool:
@@ -113,18 +114,19 @@ _CHECKS = {
 
 
 class Surrogates:
-    """Replacements of one text. ``legible`` brings a value to one form; ``lang`` is the language of the text."""
+    """Replacements of one text of the language ``lang``. Values come in the legible form of :func:`personal.legible`."""
 
-    def __init__(self, key: str, lang: str, legible):
+    def __init__(self, key: str, lang: str):
         if not key:
             raise ValueError("surrogates need a key")
-        self.key, self.lang, self.legible = key, lang, legible
+        self.key, self.lang = key, lang
         self.parts: dict[tuple[str, str], str] = {}  # (role, part) to its replacement
         self.taken: set[tuple[str, str]] = set()  # (role, replacement)
         self.whole: dict[tuple[str, str], str] = {}  # (kind, value in one form) to its replacement
         self.numbers: dict[tuple[str, str], int] = {}
         self.count: dict[str, int] = {}
         self.one: dict[tuple[str, str], str] = {}  # a value as written to its one form
+        self.done: dict[tuple[str, str], str] = {}  # a value as written to its replacement
         self.met: dict[tuple[str, str], int] = {}  # a mention to its number
         self.givens: dict[str, str] = {}  # given name to gender
         self.persons: dict[tuple[str, str], str] = {}  # (initial or "", surname) to the fullest mention
@@ -203,9 +205,9 @@ class Surrogates:
         if known is not None:
             return known
         if kind != "person_name":
-            name = self.one[kind, value] = self.canonical(kind, self.legible(value)[0])
+            name = self.one[kind, value] = self.canonical(kind, value)
         else:
-            roles = self.split(self.legible(value)[0])
+            roles = self.split(value)
             given = "".join(p for r, p, _ in roles if r == "g")
             surnames = [p for r, p, _ in roles if r == "s"]
             surname = surnames[0 if self.lang in ("es", "pt") else -1] if surnames else ""  # the one that is used alone
@@ -232,14 +234,20 @@ class Surrogates:
     # ---- replacements ----
 
     def replace(self, kind: str, value: str, title: str = "") -> str:
-        form = self.legible(value)[0]
+        """The surrogate of a value. ``title`` is the word before a name, which may tell its gender where it is first met."""
+        new = self.done.get((kind, value))
+        if new is None:
+            new = self.done[kind, value] = self._replace(kind, value, title)
+        return new
+
+    def _replace(self, kind: str, value: str, title: str) -> str:
         if kind == "person_name":
-            return self._name(form, title)
-        one = (kind, self.one.get((kind, value)) or self.canonical(kind, form))
+            return self._name(value, title)
+        one = (kind, self.one.get((kind, value)) or self.canonical(kind, value))
         if one not in self.whole:
             make = {"email": self._email, "postal_address": self._address, "number": self._number}.get(kind, self._shaped)
             for n in itertools.count():
-                new = make(form, n)
+                new = make(value, n)
                 low = self.canonical(kind, new)
                 if (kind, low) not in self.taken and low != one[1]:
                     break
