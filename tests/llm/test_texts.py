@@ -273,3 +273,8 @@ def test_p5_long_mailboxes_and_short_names():
     text = f"Please write to {'a' * 75}@mailbox.org today. My name is Jo Li. Jo Li is here."
     got = personal.findings(text)
     assert ("email", 16, 16 + 75 + 12) in got and [a for k, a, _ in got if k == "person_name"] == [text.index("Jo Li"), text.rindex("Jo Li")]
+
+
+def test_p8_languages_without_sentence_ends(spark):
+    for rows in ([("o mundo em que as da do",)], [("3. 4. 5.",), ("!",)], [("The end of it is here",), ("。",)]):
+        assert sentences.learn(spark.createDataFrame(rows, "text string")) is not None

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from veilspark.llm.forms import _format_characters
 from veilspark.session import checkpoint
 
-# Letters of Cyrillic and Greek with the Latin letters they look like.
-CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝкАВСЕНІЈКМОРЅТУХԜԚ", "aeopcyxijshdqwkABCEHIJKMOPSTYXWQ", strict=True))
-GREEK = dict(zip("ονριαυχκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovpiauxkABEZHIKMNOPTYX", strict=True))
+# Letters of Cyrillic and Greek with the Latin letters they look like; the commonest of several alike is the last.
+CYRILLIC = dict(zip("ѵӏӀҮѴаеорсухіјѕһԁԛԝкАВСЕНІЈКМОРЅТУХԜԚ", "vlIYVaeopcyxijshdqwkABCEHIJKMOPSTYXWQ", strict=True))
+GREEK = dict(zip("ϳͿονριαυχκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "jJovpiauxkABEZHIKMNOPTYX", strict=True))
 TO_LATIN = str.maketrans({**CYRILLIC, **GREEK})
 TO_CYRILLIC = str.maketrans({v: k for k, v in CYRILLIC.items()})
 TO_GREEK = str.maketrans({v: k for k, v in GREEK.items()})

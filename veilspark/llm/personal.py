@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -64,10 +65,17 @@ FOLD = str.maketrans({c: unicodedata.normalize("NFD", c)[0] for c in map(chr, ra
 
 
 _ACCENTED = re.compile("[\u00c0-\u017e]")
+#: The same for texts that fit into a code page, byte by byte.
+_PAGE = bytes(ord(base) if (base := chr(FOLD[ord(ch)]) if isinstance(FOLD.get(ord(ch)), int) else FOLD.get(ord(ch), "")) else b for b in range(256) for ch in [bytes([b]).decode("cp1252", "replace")])
 
 
 def unaccented(form: str) -> str:
-    return form if form.isascii() else _ACCENTED.sub(lambda m: FOLD.get(ord(m[0]), m[0]), form)
+    if form.isascii():
+        return form
+    try:
+        return form.encode("cp1252").translate(_PAGE).decode("cp1252")
+    except UnicodeError:
+        return _ACCENTED.sub(lambda m: FOLD.get(ord(m[0]), m[0]), form)
 
 
 # ---- what a value looks like -------------------------------------------------------------------------------------
@@ -186,9 +194,9 @@ def judged_language(form: str) -> tuple[str, int]:
         if (kana + han + hangul) * 6 > len(form):
             return "ko" if hangul > kana + han else "ja" if kana * 8 > han or not kana and _JA_WORDS.search(form) else "zh", kana + han + hangul
     n = dict.fromkeys(STOP, 0)
-    for w in filter(_STOP_OF.__contains__, form.lower().split()):
+    for w, times in Counter(filter(_STOP_OF.__contains__, form.lower().split())).items():
         for one, words in _STOP_OF[w]:
-            n[one] += words
+            n[one] += words * times
     best = max(n, key=n.get)
     return best, n[best]
 
@@ -352,25 +360,25 @@ def detect(form: str, lang: str | None = None) -> list[tuple[str, int, int]]:
         return start
 
     for k in _index(lang).able(small):
-        one = rules[k]
-        for m in one.cue.finditer(form if one.cased else small):
-            if one.what == "after":  # the name is what ends there
+        what, _, cue, tail, edge, cased = rules[k]
+        for m in cue.finditer(form if cased else small):
+            if what == "after":  # the name is what ends there
                 if m := _ending(form, m.start()):
                     name(*m.span("n"))
                 continue
-            if one.tail is not None:
+            if tail is not None:
                 before = form[m.start() - 1] if m.start() else " "
-                if before.isalnum() or before == "_" or before in one.edge or not (m := one.tail.match(form, m.end())):
+                if before.isalnum() or before == "_" or before in edge or not (m := tail.match(form, m.end())):
                     continue
-            if one.what in ("name", "titled"):
+            if what in ("name", "titled"):
                 start = name(*m.span("n"))
                 if titles:
                     starts[m.end("n")] = max(starts.get(m.end("n"), 0), start)
-                if "a" in m.re.groupindex and m["a"] and any(ch.isdigit() for ch in m["a"]):
+                if "a" in m.re.groupindex and m["a"] and _DIGIT.search(m["a"]):
                     start, end = _address(small, *m.span("a")) if titles else m.span("a")
                     out["postal_address", start] = end
                 continue
-            kind, group = ("postal_address", "a") if one.what in ("address", "postal_address") else (one.what, "v")
+            kind, group = ("postal_address", "a") if what in ("address", "postal_address") else (what, "v")
             start, end = m.span(group)
             if kind == "postal_address" and titles:
                 start, end = _address(small, start, end)
@@ -410,7 +418,7 @@ def detect(form: str, lang: str | None = None) -> list[tuple[str, int, int]]:
     taken = bytearray(len(form))
     for a, b in [*kept, *mails, *((a, b) for (_, a), b in out.items())]:
         taken[a:b] = b"\1" * (b - a)
-    for kind, a, b in general(accented, small, lang):
+    for kind, a, b in general(accented, small, lang, taken):
         if 1 not in taken[a:b]:
             taken[a:b] = b"\1" * (b - a)
             if kind == "person_name":
@@ -432,6 +440,7 @@ def detect(form: str, lang: str | None = None) -> list[tuple[str, int, int]]:
     return sorted([*(("person_name", a, b) for a, b in kept), *((k, a, b) for (k, a), b in out.items())], key=lambda x: (x[1], x[0]))
 
 
+_DIGIT = re.compile(r"\d")
 _ARTICLE = re.compile(r"(?:the|der|dem|den|le|la|les|el|los|las|il|lo|the) ")
 _AND = re.compile(r" (?:and|und|et|y|e|with|mit|avec|con) [a-z]")
 
@@ -503,7 +512,7 @@ def entities(text: str | None, key: str) -> list[tuple[str, int, int, str, str]]
             names.entity(k, value)
     out = []
     for k, a, b, value in found:
-        title = _TITLE.search(text[max(0, a - 12) : a]) if k == "person_name" else None
+        title = _TITLE.search(text[max(0, a - 12) : a]) if k == "person_name" and (k, value) not in names.done else None
         out.append((k, a, b, f"[{PLACE[k]}_{names.entity(k, value)}]", names.replace(k, value, title[1] if title else "")))
     return out
 
@@ -541,9 +550,12 @@ def found(tables: dict[str, DataFrame], key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: set[tuple[str, str, str, int]] = set()
-            for t, i, text in zip(b.column("table_name").to_pylist(), b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                rows.update((t, i, k, a) for k, a, b, _, new in entities(text, key) if new != text[a:b])
+            rows = [
+                (t, i, k, a)
+                for t, i, text in zip(b.column("table_name").to_pylist(), b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True)
+                for k, a, z, _, new in entities(text, key)
+                if new != text[a:z]
+            ]
             kept = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == 3 else pa.string()) for n, c in enumerate(kept)], ["table_name", "id", "finding_type", "start_pos"])
 

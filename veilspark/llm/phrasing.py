@@ -245,10 +245,11 @@ def _index(lang: str) -> Index:
     return Index([word_of(plain) for _, plain, _ in _latin(lang)])
 
 
-def general(form: str, small: str, lang: str) -> Iterator[tuple[str, int, int]]:
+def general(form: str, small: str, lang: str, taken: bytearray) -> Iterator[tuple[str, int, int]]:
     """(finding type, start, end) of what the general layer finds; values may overlap what is known already.
 
-    ``small`` is the text in small letters without accents, letter for letter.
+    ``small`` is the text in small letters without accents, letter for letter. ``taken`` marks the known values; a phrase whose value,
+    next to it, is known isn't looked at again.
     """
     for run in _GROUPS.finditer(form):
         start = run.start()
@@ -272,14 +273,17 @@ def general(form: str, small: str, lang: str) -> Iterator[tuple[str, int, int]]:
             yield "postal_address", m.start("a") + (lead.end() if lead else 0), m.end("a")
         return
     todo: dict[tuple[int, int], int] = {}  # a pattern and the line that its word is in
+    phrases = _latin(lang)
     for last, (size, rules) in _index(lang).automaton.iter(small):
         a, b = last + 1 - size, last + 1
         if (b == len(small) or not small[b].isalnum()) and (not a or not small[a - 1].isalnum() or lang == "de"):
+            before, behind = 1 in taken[max(0, a - 3) : a], 1 in taken[b : b + 4]
             start = small.rfind("\n", 0, a) + 1
             for k in rules:
-                todo[k, start] = a
+                if not (before if phrases[k][0] == "person_name" else behind):
+                    todo[k, start] = a
     for (k, start), at in todo.items():
-        kind, _, rule = _latin(lang)[k]
+        kind, _, rule = phrases[k]
         # a phrase and its value stand on one line, or the name under a closing on the next
         end = small.find("\n", at)
         end = len(small) if end < 0 else end if kind != "person_name" else (small.find("\n", end + 1) + 1 or len(small) + 1) - 1

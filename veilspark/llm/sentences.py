@@ -156,9 +156,14 @@ def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
     return k * F.log(p) + (n - k) * F.log(1 - p)
 
 
+def _share(part: Column, whole: Column) -> Column:
+    """A share; of nothing 0."""
+    return part / F.greatest(whole, F.lit(1))
+
+
 def _ratio(both: Column, first: Column, second: Column, every: Column) -> Column:
     """Log-likelihood ratio for ``second`` following ``first`` in ``both`` of ``every`` cases, against independence."""
-    p, p1, p2 = second / every, both / F.greatest(first, F.lit(1)), (second - both) / F.greatest(every - first, F.lit(1))
+    p, p1, p2 = _share(second, every), _share(both, first), _share(second - both, every - first)
     return 2 * (_log_likelihood(both, first, p1) + _log_likelihood(second - both, every - first, p2) - _log_likelihood(both, first, p) - _log_likelihood(second - both, every - first, p))
 
 
@@ -170,23 +175,23 @@ def statistics(docs: DataFrame) -> DataFrame:
     both = wide.join(F.broadcast(total), "lang")  # a row per language the code knows
     used, every = F.col("w") + F.col("p"), F.col("tw") + F.col("tp")
     # how much better "nearly always with a period" explains the word than the language's rate of periods
-    fit = -2 * (_log_likelihood(F.col("p"), used, F.col("tp") / every) - _log_likelihood(F.col("p"), used, F.lit(0.99)))
+    fit = -2 * (_log_likelihood(F.col("p"), used, _share(F.col("tp"), every)) - _log_likelihood(F.col("p"), used, F.lit(0.99)))
     letters = F.length(F.regexp_replace("word", "[.]", ""))
     inner = F.length("word") - letters + 1
     score = fit * F.exp(-letters) * inner * F.pow(F.greatest(letters, F.lit(1)).cast("double"), -F.col("w").cast("double"))
     # words that go on with a small letter, a digit or a comma after their period can't be sentence ends there
-    goes_on = F.col("l") / F.greatest(F.lit(1), F.col("p"))
+    goes_on = _share(F.col("l"), F.col("p"))
     # and a title is never the last word of a paragraph, as the last word of a sentence is now and then
     never_last = (F.col("e") < 0.005 * F.col("p")) & (F.col("p") >= 3)
     spaced = ~F.col("word").rlike("[\\u3040-\\u30ff\\u4e00-\\u9fff\\uac00-\\ud7a3]")
     abbreviation = spaced & (F.col("p") > 0) & ((score >= ABBREVIATION) & ((goes_on > 0.02) | never_last) | (F.col("word").rlike("^([^.]{1,2}[.])+[^.]{1,3}$")) | ((goes_on >= 0.9) & never_last & (F.col("p") >= 5)) | ((goes_on > 0.2) & (F.col("p") >= 3) & (F.col("w") <= 0.1 * F.col("p"))))
     may_end = F.col("e") >= F.greatest(F.lit(1.0), 0.005 * F.col("p"))
-    starter = (_ratio(F.col("f"), F.col("tf"), used, every) >= STARTER) & (F.col("f") / F.col("tf") > used / every) & (F.col("f") > 0)
+    starter = (_ratio(F.col("f"), F.col("tf"), used, every) >= STARTER) & (_share(F.col("f"), F.col("tf")) > _share(used, every)) & (F.col("f") > 0)
     # a word also seen in small letters, as a name's capital says nothing
     starter &= F.col("c") < 0.9 * used
     # a word that follows numbers with a period more often than it follows the ends of sentences
     follows, ends = F.col("d") + F.col("f"), F.col("tn") + F.col("tf")
-    after = spaced & (F.col("d") > 0) & (_ratio(F.col("d"), F.col("tn"), follows, ends) >= COLLOCATION) & (F.col("d") / F.col("tn") > follows / ends) & (F.col("d") > F.col("f"))
+    after = spaced & (F.col("d") > 0) & (_ratio(F.col("d"), F.col("tn"), follows, ends) >= COLLOCATION) & (_share(F.col("d"), F.col("tn")) > _share(follows, ends)) & (F.col("d") > F.col("f"))
     before = ending & (F.col("l") >= 0.99 * F.col("p")) & (F.col("p") >= 10)
     return both.select(
         "lang", "word", (abbreviation & ~ending).alias("abbreviation"), may_end.alias("may_end"), (after & ~ending).alias("after_number"), (starter & ~ending).alias("starter"), before.alias("before_number"),

@@ -106,6 +106,12 @@ def _rest97(account: str) -> int:
     return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
 
 
+#: First letters of foreigners' numbers and the digits they stand for.
+_NIE = str.maketrans("XYZ", "012")
+def _nif_letter(digits: str) -> str:
+    return validators.NIF_LETTERS[int(digits.upper().translate(_NIE)) % 23]
+
+
 #: Length, letter first and letter last of a number, and the rule that numbers of this shape may keep.
 _CHECKS = {
     (9, False, True): validators.is_nif_es, (9, True, True): validators.is_nif_es, (18, False, False): validators.is_resident_id_cn, (18, False, True): validators.is_resident_id_cn,
@@ -113,6 +119,9 @@ _CHECKS = {
 }
 
 
+_PLACES = frozenset(map(bare, PLACES["latin"]))
+
+
 class Surrogates:
     """Replacements of one text of the language ``lang``. Values come in the legible form of :func:`personal.legible`."""
 
@@ -136,6 +145,8 @@ class Surrogates:
     # ---- who is who ----
 
     def script(self, value: str) -> str:
+        if max(value, default="") < "\u1100":
+            return "latin"
         if _HANGUL.search(value):
             return "ko"
         if _HAN.search(value):
@@ -149,10 +160,8 @@ class Surrogates:
         return kept
 
     def _split(self, value: str) -> list[tuple[str, str, str]]:
-        first, _, rest = value.partition(" ")
-        if rest and first < "\u2000" and first.isalpha() and rest.isalpha() and len(first) > 1 and bare(rest) not in PARTICLES and rest[0] < "\u2000":  # the commonest form
-            return [("g", bare(first), first), ("-", "", " "), ("s", bare(rest), rest)]
-        """(role, part, as written) of a name: ``g`` given name, ``i`` initial, ``s`` surname, ``-`` what stays."""
+        if value and max(value) < "\u02b0" and not {",", "-", "\n", "\t"} & set(value) and "  " not in value and value[0] != " " != value[-1]:  # words and single blanks
+            return self._words(value.split(" "))
         kind = self.script(value)
         if kind != "latin":
             joined = re.sub(r"[\s・]", "", value)
@@ -188,6 +197,21 @@ class Surrogates:
             at = b
         return [*out, ("-", "", value[at:])] if at < len(value) else out
 
+    def _words(self, words: list[str]) -> list[tuple[str, str, str]]:
+        """As :meth:`split`, of the words of a name without comma or hyphen."""
+        out, last = [], len(words) - 1
+        for k, w in enumerate(words):
+            part = bare(w)
+            initial = len(w.rstrip(".")) == 1 or "." in w and re.fullmatch(r"(?:\w\.)+\w?\.?", w)
+            given = initial or part in self.givens if not last else not k or k < last and len(w.rstrip(".")) == 1
+            if k:
+                out.append(("-", "", " "))
+            if last and part in PARTICLES:
+                out.append(("-", "", w))
+            else:
+                out.append(("i", w.casefold(), w) if given and initial else ("g" if given else "s", part, w))
+        return out
+
     @staticmethod
     def canonical(kind: str, form: str) -> str:
         """What all mentions of a value have in common, from its legible form."""
@@ -339,7 +363,9 @@ class Surrogates:
             return "".join(check[at.index(i)] if i in at else c for i, c in enumerate(new))
         shape = (len(plain), plain[:1].isalpha(), plain[-1:].isalpha())
         rule = _CHECKS.get(shape) or (_luhn if 13 <= len(plain) <= 19 and plain.isdigit() else None)
-        if rule is not None and not rule(value if rule is validators.is_rrn_kr else plain.upper()):
+        if rule is validators.is_nif_es:
+            rule = rule if plain[1:-1].isdigit() and plain[0].upper() in "0123456789XYZ" and plain[-1].upper() == _nif_letter(plain[:-1]) else None
+        elif rule is not None and not rule(value if rule is validators.is_rrn_kr else plain.upper()):
             rule = _luhn if rule is not _luhn and 13 <= len(plain) <= 19 and plain.isdigit() and _luhn(plain) else None
         if rule is None:
             return new
@@ -348,6 +374,8 @@ class Surrogates:
         if rule in (validators.is_resident_id_cn, validators.is_rrn_kr, validators.is_codice_fiscale):  # a date of birth inside must stay one
             new = "".join(b if i in self._dated(plain, value, rule) else a for i, (a, b) in enumerate(zip(new, value, strict=True)))
         last = max(i for i, c in enumerate(new) if c.isalnum())
+        if rule is validators.is_nif_es:  # its letter follows from its digits
+            return new[:last] + _nif_letter(_plain(new[:last])) + new[last + 1 :]
         for c in "0123456789X" if rule is not validators.is_nif_es and rule is not validators.is_codice_fiscale else "ABCDEFGHIJKLMNOPQRSTUVWXYZ":
             if rule(new[:last] + c if rule is validators.is_rrn_kr else _plain(new[:last] + c).upper()):
                 return new[:last] + c + new[last + 1 :]
@@ -374,7 +402,7 @@ class Surrogates:
             kind = self.lang
         pool = PLACES[kind]
         old = {bare(w) for w in re.findall(r"[^\W\d_]+", value)}
-        words = [w for w in pool if bare(w) not in old] if kind == "latin" else [w for w in pool if not set(w) & set(value)] or pool
+        words = (pool if old.isdisjoint(_PLACES) else [w for w in pool if bare(w) not in old]) if kind == "latin" else [w for w in pool if not set(w) & set(value)] or pool
         street, town = composed(words, d[0] % len(words) + len(words) * (n // 8), ""), words[d[1] % len(words)]
         house, post = d[2] % 280 + 1, re.search(r"(?<!\d)\d{4,6}(?!\d)", value)
         if kind == "ja":
