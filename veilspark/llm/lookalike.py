@@ -5,7 +5,7 @@ characters, accents are composed, hyphen forms become the hyphen. Look-alike let
 run of letters; where its letters come from more than one of Latin, Cyrillic and Greek, or from another script than
 nearly all of its text, the letters of the other script are replaced by their look-alikes of the dominant script, provided
 that the result is a word of the corpus. The corpus vocabulary is a table of its own, never collected or broadcast: the
-few doubtful spellings are joined with it. A result that two different doubtful spellings lead to counts as a word too.
+few doubtful spellings are joined with it.
 """
 
 from __future__ import annotations
@@ -130,12 +130,11 @@ def repairs(records: DataFrame) -> DataFrame:
 
     The first proposal that is a word of the corpus is accepted; the word may be written in any case.
     """
-    evidence = checkpoint(_evidence(records))  # read three times, made once
+    evidence = checkpoint(_evidence(records))  # read twice, made once
     doubtful = evidence.where("spelling IS NOT NULL").distinct()
     proposed = doubtful.select("spelling", "rank", "word", "low").distinct()
     clean = evidence.where("spelling IS NULL").select("low").distinct()
-    twice = proposed.where("rank = 0").groupBy("low").agg(F.countDistinct("spelling").alias("n")).where("n > 1").select("low")
-    accepted = proposed.join(clean.unionByName(twice).distinct(), "low", "left_semi").groupBy("spelling").agg(F.min_by("word", "rank").alias("word"))
+    accepted = proposed.join(clean, "low", "left_semi").groupBy("spelling").agg(F.min_by("word", "rank").alias("word"))
     per = doubtful.select("key", "spelling").distinct().join(accepted, "spelling")
     return per.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("spelling", "word"))).alias("words"))  # bounded by a record's own tokens
 
