@@ -35,7 +35,7 @@ AGREE, BITS, BINS = 66, 4, 4
 #: Runs of equal keys longer than this are cut into blocks of this size, and each two blocks are compared in a task of their own.
 LONG_RUN = 1024
 #: Rows of a part, about; texts in the sample; of these, how many make a left half key one that is split.
-PART, SAMPLE, COMMON = 250_000, 6000, 8
+PART, SAMPLE, COMMON = 150_000, 6000, 8
 #: A text as it travels: its class and right half keys, once per part; and the left half keys that point to it.
 TEXTS, KEYS = ((np.int64, 1), (np.uint16, RIGHTS)), ((np.uint64, 1), (np.uint32, 1))
 
