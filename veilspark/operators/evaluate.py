@@ -72,9 +72,8 @@ def scored(rows: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbers = expected.where("type = 'number'").select(F.coalesce("number_type", F.lit("")).alias("nt")).distinct()
     alone = ~F.col("expected")
     key = F.coalesce("predicted_number_type", F.lit(""))
-    marked = rows.join(F.broadcast(types.withColumn("known", F.lit(True))), "type", "left").join(  # at most the number of finding types
-        F.broadcast(numbers.withColumn("known_number", F.lit(True))), key == F.col("nt"), "left"
-    )
+    # the values of the data; they are sent to all tasks only if their size, known by then, allows it
+    marked = rows.join(types.withColumn("known", F.lit(True)), "type", "left").join(numbers.withColumn("known_number", F.lit(True)), key == F.col("nt"), "left")
     odd_number = alone & (F.col("type") == "number") & F.col("known_number").isNull()
     odd = odd_number | alone & F.col("known").isNull()
     name = F.when(odd_number, F.concat(F.lit("number:"), F.coalesce("predicted_number_type", F.lit("None")))).otherwise(F.col("type"))
