@@ -6,7 +6,7 @@ brought to one form with a map back to its stored positions, so that zero-width,
 nothing. A last pass finds further mentions of the names of the same text.
 
 Each found value is an entity of its text and gets a keyed surrogate of its own type, script and format (``surrogates``) and a typed
-placeholder with the number of the entity; :func:`entities` gives both, and every result here is read from it.
+placeholder with the number of the entity; every result here is read from :func:`entities`.
 """
 
 from __future__ import annotations
@@ -498,23 +498,17 @@ PLACE = {"person_name": "PERSON", "email": "EMAIL", "phone": "PHONE", "number":
 _TITLE = re.compile(r"([\w.]+)[ ]+$")
 
 
-def entities(text: str | None, key: str) -> list[tuple[str, int, int, str, str]]:
-    """(finding type, start, end, placeholder, surrogate) of each value in the stored text, in order.
-
-    The numbers of the placeholders and the surrogates are those of entities: all mentions of one have the same.
-    """
+def entities(text: str | None, key: str) -> tuple[list[tuple[str, int, int, str, str]], Surrogates]:
+    """(finding type, start, end, value in its legible form, surrogate) of each value in the stored text, in order, and the surrogates
+    of the text, which also number its entities. All mentions of an entity agree."""
     found, lang = _detected(text) if text else ([], "")
-    if not found:
-        return []
     names = Surrogates(key, lang)
-    for k, _, _, value in sorted(found, key=lambda f: f[1] - f[2]):  # the fullest mention of a person first
-        if k == "person_name":
-            names.entity(k, value)
-    out = []
-    for k, a, b, value in found:
-        title = _TITLE.search(text[max(0, a - 12) : a]) if k == "person_name" and (k, value) not in names.done else None
-        out.append((k, a, b, f"[{PLACE[k]}_{names.entity(k, value)}]", names.replace(k, value, title[1] if title else "")))
-    return out
+    people = [f for f in found if f[0] == "person_name"]
+    for _, a, _, value in sorted(people, key=lambda f: f[1] - f[2]) if len(people) > 1 else people:  # the fullest mention of a person first
+        if ("person_name", value) not in names.done:
+            title = _TITLE.search(text[max(0, a - 12) : a])
+            names.replace("person_name", value, title[1] if title else "")
+    return [(k, a, b, value, names.replace(k, value)) for k, a, b, value in found], names
 
 
 def rewritten(text: str | None, key: str) -> tuple[str | None, str | None, int]:
@@ -524,11 +518,15 @@ def rewritten(text: str | None, key: str) -> tuple[str | None, str | None, int]:
     """
     if not text:
         return text, text, 0
+    found, names = entities(text, key)
+    for k, _, _, value, _ in sorted(found, key=lambda f: f[1] - f[2]):
+        if k == "person_name":
+            names.entity(k, value)
     typed, faked, at, n = [], [], 0, 0
-    for _, a, b, place, new in sorted(entities(text, key), key=lambda f: (f[1], -f[2])):
+    for k, a, b, value, new in sorted(found, key=lambda f: (f[1], -f[2])):
         if a < at:
             continue
-        typed += [text[at:a], place]
+        typed += [text[at:a], f"[{PLACE[k]}_{names.entity(k, value)}]"]
         faked += [text[at:a], new]
         at, n = b, n + 1
     return "".join([*typed, text[at:]]), "".join([*faked, text[at:]]), n
@@ -553,7 +551,7 @@ def found(tables: dict[str, DataFrame], key: str) -> DataFrame:
             rows = [
                 (t, i, k, a)
                 for t, i, text in zip(b.column("table_name").to_pylist(), b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True)
-                for k, a, z, _, new in entities(text, key)
+                for k, a, z, _, new in entities(text, key)[0]
                 if new != text[a:z]
             ]
             kept = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
