@@ -498,10 +498,12 @@ PLACE = {"person_name": "PERSON", "email": "EMAIL", "phone": "PHONE", "number":
 _TITLE = re.compile(r"([\w.]+)[ ]+$")
 
 
-def entities(text: str | None, key: str) -> tuple[list[tuple[str, int, int, str, str]], Surrogates]:
+def entities(text: str | None, key: str) -> tuple[list[tuple[str, int, int, str, str]], Surrogates | None]:
     """(finding type, start, end, value in its legible form, surrogate) of each value in the stored text, in order, and the surrogates
-    of the text, which also number its entities. All mentions of an entity agree."""
+    of the text, which also number its entities (none without values). All mentions of an entity agree."""
     found, lang = _detected(text) if text else ([], "")
+    if not found:
+        return [], None
     names = Surrogates(key, lang)
     people = [f for f in found if f[0] == "person_name"]
     for _, a, _, value in sorted(people, key=lambda f: f[1] - f[2]) if len(people) > 1 else people:  # the fullest mention of a person first

@@ -256,7 +256,7 @@ def general(form: str, small: str, lang: str, taken: bytearray) -> Iterator[tupl
         while start and "A" <= form[start - 1] <= "Z":
             start -= 1
         for m in _CHECKED.finditer(form, start, run.end()):
-            if _is_checked(m[0]):
+            if 1 not in taken[m.start() : m.end()] and _is_checked(m[0]):
                 yield "number", *m.span()
     if lang in EAST:
         rules = EAST[lang]

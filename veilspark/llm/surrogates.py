@@ -65,18 +65,25 @@ def _keyed(key: str):
     return hashlib.blake2b(key=key.encode()[:64], digest_size=32)
 
 
-def draw(key: str, *what: object) -> int:
+def draw(key: str, what: str) -> int:
+    """256 bits that the key and what they are for decide."""
     h = _keyed(key).copy()
-    h.update("\x1f".join(map(str, what)).encode("utf-8", "surrogatepass"))
+    h.update(what.encode("utf-8", "surrogatepass"))
     return int.from_bytes(h.digest(), "big")
 
 
+@lru_cache(1 << 16)
+def _first(key: str, role: str, part: str) -> int:
+    """Where in its pool the replacement of a part of a name is looked for first."""
+    return draw(key, f"{role}\x1f{part}")
+
+
 @cache
 def _permutation(key: str) -> str:
     """Which initial stands for which."""
     letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     for i in range(len(letters) - 1, 0, -1):
-        j = draw(key, "initial", i) % (i + 1)
+        j = draw(key, f"initial\x1f{i}") % (i + 1)
         letters[i], letters[j] = letters[j], letters[i]
     return "".join(letters)
 
@@ -313,9 +320,9 @@ class Surrogates:
             for n in itertools.count():
                 if role == "g" and latin and "A" <= first <= "Z":  # the initial is that which initials of this letter get
                     new = GIVEN["f" if female else "m"][ord(self.initials[ord(first) - 65]) - 65]
-                    new += "" if not n else "-" + composed(pool, (draw(self.key, part) + n) % len(pool) if n < len(pool) else n, "-")
+                    new += "" if not n else "-" + composed(pool, (_first(self.key, "second", part) + n) % len(pool) if n < len(pool) else n, "-")
                 else:
-                    start = draw(self.key, role, part) % len(pool)
+                    start = _first(self.key, role, part) % len(pool)
                     new = composed(pool, (start + n) % len(pool) if n < len(pool) else n, "-" if latin else "")
                 if (role, bare(new)) not in self.taken and bare(new) != part:
                     break
@@ -327,23 +334,23 @@ class Surrogates:
         """Digits for digits, letters for letters of the same case; a country's code stays."""
         kept = _COUNTRY.match(value) if value[:1] in "+(0 " else None
         start = kept.end() if kept else 0
-        seed = draw(self.key, "shape", value, n)
+        seed = draw(self.key, f"shape\x1f{value}\x1f{n}")
         digits, letters, at = f"{seed:077d}", seed, 3
         out = []
         for ch in value[start:]:
             if "0" <= ch <= "9":
                 if at == 77:
-                    digits, at = f"{draw(self.key, value, n, len(out)):077d}", 3
+                    digits, at = f"{draw(self.key, f"{value}\x1f{n}\x1f{len(out)}"):077d}", 3
                 out.append(digits[at])
                 at += 1
             elif "a" <= ch <= "z" or "A" <= ch <= "Z":
-                letters, d = divmod(letters or draw(self.key, value, len(out), n), 26)
+                letters, d = divmod(letters or draw(self.key, f"letters\x1f{value}\x1f{n}\x1f{len(out)}"), 26)
                 out.append(chr((97 if ch >= "a" else 65) + d))
             elif ch.isdecimal():
-                letters, d = divmod(letters or draw(self.key, value, len(out), n), 10)
+                letters, d = divmod(letters or draw(self.key, f"letters\x1f{value}\x1f{n}\x1f{len(out)}"), 10)
                 out.append(chr(ord(ch) - unicodedata.decimal(ch) + d))
             elif ch.isalpha() and "a" <= bare(ch)[:1] <= "z":
-                letters, d = divmod(letters or draw(self.key, value, len(out), n), 26)
+                letters, d = divmod(letters or draw(self.key, f"letters\x1f{value}\x1f{n}\x1f{len(out)}"), 26)
                 out.append(chr((97 if ch.islower() else 65) + d))
             else:
                 out.append(ch)
@@ -390,11 +397,11 @@ class Surrogates:
 
     def _email(self, mail: str, n: int) -> str:
         local, _, _ = self.canonical("email", mail).partition("@")
-        return f"{self._shaped(local, n)}@mail{draw(self.key, mail, n) % (900 * (1 + n)) + 100}.example"
+        return f"{self._shaped(local, n)}@mail{draw(self.key, f"{mail}\x1f{n}") % (900 * (1 + n)) + 100}.example"
 
     def _address(self, value: str, n: int) -> str:
         """An address of the same script: street and house number, and the unit, postcode and town that the old one has."""
-        seed = draw(self.key, "address", value, n)
+        seed = draw(self.key, f"address\x1f{value}\x1f{n}")
         d = [seed >> 32 * i & 0xFFFFFFFF for i in range(8)]
         kind = {"kana": "ja"}.get(self.script(value), self.script(value))
         kind = kind if kind == "latin" or self.lang not in ("ja", "zh", "ko") else self.lang
