@@ -283,7 +283,7 @@ def grammar(lang: str) -> list[Cue]:
     titles = sorted(CUES[lang]["titles"].translate(FOLD).split(), key=len, reverse=True)
     spoken = "|".join(re.escape(t.capitalize()) for t in titles if len(t) > 1)
     title = r"(?:(?:" + "|".join(map(re.escape, titles)) + r")\b\.?[ ]{0,3}){0,2}"
-    street = rf"(?P<a>(?=[^\n;]*\d)[^\s,;.](?:[^\n;.]|\.(?![ ]{{1,3}}(?-i:[{UP}¿¡«\"„“'])|\s*\n|$)|(?<=\bavda)\.|(?<=str)\.|(?<=\bst)\.|(?<=\bp)\.|(?<=\bv)\.|(?<=\bc)\.|(?<=\bn)\.|(?<=\bint)\.|(?<=\bappt)\.)*)"
+    street = rf"(?P<a>(?=[^\n;]*?\d)[^\s,;.](?:[^\n;.]|\.(?![ ]{{1,3}}(?-i:[{UP}¿¡«\"„“'])|\s*\n|$)|(?<=\bavda)\.|(?<=str)\.|(?<=\bst)\.|(?<=\bp)\.|(?<=\bv)\.|(?<=\bc)\.|(?<=\bn)\.|(?<=\bint)\.|(?<=\bappt)\.)*)"
     of = lambda pattern: re.compile(pattern, re.IGNORECASE)
     named, called, where, number, phone = of(rf"(?:{title})(?P<n>{LATIN_NAME})"), of(rf"(?:(?-i:{spoken})\b\.?[ ]{{1,3}})?(?P<n>{LATIN_ONLY})"), of(street), of(rf"[ ]?:?[ ]{{0,3}}(?P<v>{NUMBER})"), of(rf"(?P<v>{PHONE})")
     to = "|".join(_blank(one) for _, one in alternatives(CUES[lang]["to"].translate(FOLD)))

@@ -202,9 +202,13 @@ def _east_names(lang: str) -> list[re.Pattern]:
 
 def _office(text: str, at: int, desk: str) -> bool:
     """Whether the sentence up to a number speaks of an office's number."""
-    start = text.rfind("\n", 0, at) + 1
-    for m in _STOP.finditer(text, start, at):
-        start = m.end()
+    wide = 200
+    while True:  # the stretch looked at grows until a sentence begins in it
+        first = max(0, at - wide)
+        start = max(first, text.rfind("\n", first, at) + 1, *(m.end() for m in _STOP.finditer(text, first, at)))
+        if start > first or not first:
+            break
+        wide *= 4
     return re.search(desk, text[start:at]) is not None
 
 
