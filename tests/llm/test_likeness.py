@@ -170,6 +170,66 @@ def test_p1_versions_of_one_template_all_pair(spark, monkeypatch):
     assert got == want
 
 
+def test_p1_common_run_costs_little_a_pair(spark):
+    """A run of 9,000 by 9,000 records, as large tables have many: near pairs come out, and the others take a few nanoseconds each."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(2), 9000
+    sketch = rng.integers(0, 256, (2, n, overlap.BINS // 8), dtype=np.uint8)
+    sketch[1, :50] = sketch[0, :50]
+    number, grams = np.full((n, 2), 30, np.uint32), np.full(n, 120, np.uint8)
+    rows = []
+    for s in (0, 1):
+        rec = (np.arange(n, dtype=np.uint64) + np.uint64(s * n)) << np.uint64(1)
+        rows += overlap._split(np.zeros(n, np.int64), 3, s, [np.full(n, 7, overlap.KEPT[0][0]), rec, number, grams, sketch[s]])
+    df = spark.createDataFrame(pa.Table.from_batches([overlap._batch(rows)]).to_pandas(), overlap.ROWS)
+    pairs = lambda rows: {tuple(r) for r in overlap.paired(rows, overlap.Bounds([], [], 1, 1), 0.6).collect()}
+    assert not pairs(df.where("side = 0"))  # workers are up
+    began = time.time()
+    got = pairs(df)
+    assert {(k, k + n) for k in range(50)} <= got and len(got) < 2000 and time.time() - began < 8
+
+
+@pytest.mark.parametrize("length", [60, 190, 500])
+def test_p1_sketches_tell_unlike_texts_from_near_ones(length):
+    """Pairs with an edit in every 25 characters stay, unlike ones of one frame go: 0.3 of their characters are equal."""
+    import numpy as np
+
+    rng = random.Random(length)
+    draw = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    frame, short = draw(length * 3 // 10), length < 200
+    a = [frame + draw(length - len(frame)) for _ in range(400)]
+    b = []
+    for x in a:
+        text = list(x)
+        for at in range(12, length, 25):
+            text[at] = "0"
+        b.append("".join(text))
+    (n, x), (n2, y) = (overlap._sketches(t, short) for t in (a, b))
+    assert [len({t[i : i + 5] for i in range(length - 4)}) for t in a] == n.tolist()
+    bits = np.bitwise_count(x[:, None] ^ y).sum(2, dtype=int) <= overlap._apart(0.6)[int(short), overlap._steps(n)[:, None], overlap._steps(n2)]
+    assert np.diag(bits).sum() >= 399 and bits.sum() - np.diag(bits).sum() < 1600  # 0.01
+
+
+def test_p1_sizes_too_far_apart_never_meet():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    unit, grams = (np.sort(rng.integers(0, 3, 700)).astype(np.uint64) for _ in range(2)), (rng.integers(20, 500, 700) for _ in range(2))
+    sides = []
+    for u, g in zip(unit, grams, strict=True):
+        order = np.lexsort((g, u))
+        sides.append((u[order], g[order], [np.zeros(700, np.uint32)] * 3))
+    (u, g, w), (u2, g2, w2) = sides
+    want = {(x, y) for x in range(700) for y in range(700) if u[x] == u2[y] and min(g[x], g2[y]) >= 0.6 * max(g[x], g2[y])}
+    met = [(x, y) for xs, ys in overlap._met(np.zeros(700, np.int64), u, overlap._steps(g), w, u2, overlap._steps(g2), w2, 0.6) for x, y in zip(xs.tolist(), ys.tolist(), strict=True)]
+    assert len(met) == len(set(met)) and want <= set(met)
+    assert all(u[x] == u2[y] and min(g[x], g2[y]) >= 0.52 * max(g[x], g2[y]) for x, y in met)
+
+
 def test_p1_random_edits_near_the_threshold(spark):
     rng = random.Random(9)
     left = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.choice([100, 250, 400, 800]))) for _ in range(300)]

@@ -10,6 +10,8 @@ Most shared stretches are frames that very many records have. Runs are therefore
 pairs only in its rarest runs, up to the point where what is left of its suffixes is less than a given share of them. Two records
 that have that share of the suffixes of each in common share a run before that point in both, so nothing is lost by it, however common a run is (the
 prefix filter of set joins). A run with very many records is paired in blocks of BLOCK by BLOCK, each a unit of its own.
+The pairs of common runs grow as the square of the input; those that the numbers of substrings rule out are never formed, and the
+others take a few operations on whole words each.
 Pairs that can reach the likeness by the suffixes left and by a sketch are then compared exactly, whole text
 against whole text, and the shared stretches of what is found are merged into covered characters per record.
 """
@@ -51,11 +53,16 @@ LEVELS = (Level(120, 1 << 60, 26, 16, 0.22), Level(0, 201, 5, 16, 0.12))
 #: Bytes of a suffix that travel and are sorted.
 CARRY = 16
 #: Suffix rows of a part, about; texts sampled for the bounds; records of a side of a unit of pairs.
-PART, SAMPLE, BLOCK = 250_000, 6000, 2048
-#: Bins of the sketch, a bit each: agreement is (1 + likeness) / 2 per bin. A pair is dropped 3.5 standard
-#: deviations under what LEAST gives, which loses a pair right at it with probability 0.0002.
-BINS = 192
+PART, SAMPLE, BLOCK = 250_000, 6000, 16384
+#: Bins of the sketch, a bit each. Long texts have a bit of the least hash of each bin: agreement is (1 + likeness) / 2 per bin. Short ones
+#: have whether the number of substrings in the bin is odd: bits differ by the substrings that one text alone has. A pair is dropped 3.5
+#: standard deviations beyond what LEAST gives, which loses a pair right at it with probability 0.0002.
+BINS = 224
 SPREAD = 3.5
+#: Steps in which the number of a record's different substrings travels, in one byte, rounded down.
+STEP = 1.05
+#: Pairs of a rectangle of rows from which it is compared as a whole, and pairs compared at once.
+WHOLE, AT_ONCE = 512, 1 << 18
 
 
 # ---- packing ---------------------------------------------------------------------------------------------------------
@@ -64,9 +71,11 @@ SPREAD = 3.5
 #: sketches; shared suffixes to their record; kept ones to their unit. Whole numbers that are small cost few bytes.
 SUFFIX = ((np.uint64, 1),)
 RECORD = ((np.uint64, 1), (np.uint32, 2), (np.uint8, BINS // 8))
-SHARED = ((np.uint64, 1), (np.uint64, 1), (np.uint8, 2))
-KEPT = ((np.uint64, 1), (np.uint64, 1), (np.uint32, 2), (np.uint8, 1), (np.uint8, BINS // 8))
+SHARED = ((np.uint64, 1), (np.uint32, 1), (np.uint8, 2))
+KEPT = ((np.uint32, 1), (np.uint64, 1), (np.uint32, 2), (np.uint8, 1), (np.uint8, BINS // 8))
 SHORT_NAME = np.uint64((1 << 40) - 1)
+#: Names of units within a part. Two units of one name cost comparisons, no pairs.
+SHORT_UNIT = np.uint64((1 << 24) - 1)
 ROWS = "part int, kind int, side int, n int, text binary, data binary"
 
 
@@ -155,12 +164,22 @@ def suffixes(forms: list[str], level: Level) -> tuple[np.ndarray, np.ndarray, np
     return text, head[once], np.bincount(text, minlength=len(forms))[text], place
 
 
-def _sketches(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of 5-character substrings and sketch of each form: a bit of the least hash in each of BINS bins of them."""
+def _sketches(forms: list[str], odd: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Number of different 5-character substrings and sketch of each form, of the kind of short texts (``odd``) or of long ones."""
     w = Windows(forms)
     at, counts = w.positions(WIDTH)
     h = w.hashes(at, WIDTH)
     text = np.repeat(np.arange(len(forms), dtype=np.uint64), counts)
+    name = np.sort(text << np.uint64(40) | h >> np.uint64(24))
+    new = np.ones(len(name), bool)
+    new[1:] = name[1:] != name[:-1]
+    name = name[new]
+    of = name >> np.uint64(40)
+    grams = np.bincount(of.astype(np.int64), minlength=len(forms)).astype(np.uint32)
+    if odd:
+        bin_ = (name & SHORT_NAME) * np.uint64(BINS) >> np.uint64(40)
+        times = np.bincount((of * np.uint64(BINS) + bin_).astype(np.int64), minlength=len(forms) * BINS)
+        return grams, np.packbits((times & 1).astype(np.uint8).reshape(len(forms), BINS), axis=1)
     bin_ = (h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)
     value = (h * MIX) >> np.uint64(1)
     cell = (text * np.uint64(BINS) + bin_).astype(np.int64)
@@ -172,7 +191,7 @@ def _sketches(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     # an empty bin takes the bit of the next one that is not, so that equal sets agree throughout
     places = np.where(empty, 2 * BINS, np.arange(BINS))
     nearest = np.minimum.accumulate(np.concatenate([places, places + BINS], 1)[:, ::-1], 1)[:, ::-1][:, :BINS] % BINS
-    return counts.astype(np.uint32), np.packbits(np.take_along_axis(bits, nearest, 1), axis=1)
+    return grams, np.packbits(np.take_along_axis(bits, nearest, 1), axis=1)
 
 
 def _distinct(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
@@ -242,7 +261,7 @@ def _suffix_rows(df: DataFrame, side: int, at: Bounds) -> DataFrame:
                     continue
                 rows += _split(at.place(k, head, rec[text]), 0, side, [rec[text]], head)
                 has, first = np.unique(text, return_index=True)
-                grams, sketch = _sketches([forms[i] for i in has.tolist()])
+                grams, sketch = _sketches([forms[i] for i in has.tolist()], k == 1)
                 rows += _split((mix(rec[has]) % np.uint64(at.parts)).astype(np.int64), 1, side, [rec[has], np.stack([many[first].astype(np.uint32), grams], 1), sketch])
             yield _batch(rows)
 
@@ -312,7 +331,7 @@ def shared_suffixes(rows: DataFrame, at: Bounds) -> DataFrame:
             for s in (0, 1):
                 on = np.nonzero(side == s)[0]
                 on = on[np.argsort(rec[on])]  # names in order cost less
-                yield _batch(_split((mix(rec[on]) % np.uint64(at.parts)).astype(np.int64), 2, s, [rec[on], name[group[on]] & SHORT_NAME, sizes[group[on]]]))
+                yield _batch(_split((mix(rec[on]) % np.uint64(at.parts)).astype(np.int64), 2, s, [rec[on], (name[group[on]] >> np.uint64(32)).astype(np.uint32), sizes[group[on]]]))
 
     return rows.repartition(at.tasks, "part").mapInArrow(run, ROWS)
 
@@ -333,7 +352,7 @@ def rare_suffixes(rows: DataFrame, at: Bounds) -> DataFrame:
                 of, numbers, sketch = _read(pieces, 1, s, RECORD)
                 of, first = np.unique(of, return_index=True)
                 numbers, sketch = numbers[first], sketch[first]
-                rec, name, sizes = own
+                rec, name, sizes = own[0], own[1].astype(np.uint64), own[2]
                 order = np.lexsort((name, sizes.astype(np.uint16).sum(1), rec))
                 rec, name, sizes = rec[order], name[order], sizes[order]
                 mine = np.searchsorted(of, rec)
@@ -355,14 +374,80 @@ def rare_suffixes(rows: DataFrame, at: Bounds) -> DataFrame:
                 with np.errstate(over="ignore"):
                     unit = mix(name[row] + i.astype(np.uint64) * MIX + mix(j.astype(np.uint64) + np.uint64(77)) * np.uint64(3))
                 both = np.stack([numbers[mine[row], 0], left[row]], 1)
-                bins = np.minimum(BINS, numbers[mine[row], 1]).astype(np.uint8)
-                order = np.argsort(unit & SHORT_NAME)  # names in order cost less
-                unit, row, both, bins = unit[order], row[order], both[order], bins[order]
-                yield _batch(_split((unit % np.uint64(at.parts)).astype(np.int64), 3, s, [unit & SHORT_NAME, rec[row], both, bins, sketch[mine[row]]]))
+                grams = _steps(numbers[mine[row], 1])
+                part, unit = (unit % np.uint64(at.parts)).astype(np.int64), (unit // np.uint64(at.parts) & SHORT_UNIT).astype(np.uint32)
+                order = np.argsort(unit)  # names in order cost less
+                part, unit, row, both, grams = part[order], unit[order], row[order], both[order], grams[order]
+                yield _batch(_split(part, 3, s, [unit, rec[row], both, grams, sketch[mine[row]]]))
 
     return rows.repartition(at.tasks, "part").mapInArrow(run, ROWS)
 
 
+def _steps(n: np.ndarray) -> np.ndarray:
+    """A number of substrings in one byte, rounded down in steps of STEP; what is larger counts as the largest."""
+    return np.minimum(255, np.floor(np.log(np.maximum(n, 1)) / np.log(STEP) + 1e-9)).astype(np.uint8)
+
+
+def _apart(least: float) -> np.ndarray:
+    """The most bits by which the sketches of a pair may differ: of long and of short texts, by the steps of either side."""
+    sample = np.clip(np.floor(STEP ** np.arange(256.0)), 1, BINS)
+    long = BINS * (1 - (1 + least) / 2 + SPREAD * 0.5 * np.sqrt((1 - least**2) / sample))
+    k = np.arange(256)
+    most = STEP ** (k + 1.0)
+    alone = np.minimum(1e6, np.ceil((1 - least) / (1 + least) * (most[:, None] + most)))  # substrings that one of the two has
+    two, four = (1 - 2 / BINS) ** alone, (1 - 4 / BINS) ** alone
+    short = BINS / 2 * (1 - two) + SPREAD * np.sqrt(np.maximum(0, BINS / 4 * (1 - four) + BINS * (BINS - 1) / 4 * (four - two**2))) + 1
+    return np.minimum(BINS, np.floor(np.stack([long[np.minimum(k[:, None], k)], short]) + 1e-9)).astype(np.int64)
+
+
+def _bits_apart(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Bits by which sketches differ, given word by word."""
+    apart = np.bitwise_count(x[0] ^ y[0])
+    for a, b in zip(x[1:], y[1:], strict=True):
+        apart += np.bitwise_count(a ^ b)
+    return apart
+
+
+def _met(level: np.ndarray, unit: np.ndarray, grams: np.ndarray, words: list[np.ndarray], unit2: np.ndarray, grams2: np.ndarray, words2: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the rows of each side that meet in a unit, in pieces: all pairs whose sketches may be near enough and whose numbers of
+    substrings are near enough for the likeness at all. Both sides in order of unit and grams."""
+    apart = _apart(least)
+
+    def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fit = _bits_apart([w[x] for w in words], [w[y] for w in words2]) <= apart[level[x], grams[x], grams2[y]]
+        return x[fit], y[fit]
+
+    reach = 255 if least <= 0 else min(255, int(1 + np.log(1 / least) / np.log(STEP) + 1e-9))
+    key, key2 = (u.astype(np.uint64) << np.uint64(8) | g.astype(np.uint64) for u, g in ((unit, grams), (unit2, grams2)))
+    new = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]  # rows of one unit and number of substrings meet the same rows
+    rows = np.diff(np.append(new, len(key)))
+    g = grams[new].astype(np.int64)
+    first = np.searchsorted(key2, key[new] >> np.uint64(8) << np.uint64(8) | np.maximum(0, g - reach).astype(np.uint64), "left")
+    last = np.searchsorted(key2, key[new] >> np.uint64(8) << np.uint64(8) | np.minimum(255, g + reach).astype(np.uint64), "right")
+    large = rows * (last - first) >= WHOLE
+    for a, n, lo, hi in zip(*(c[large].tolist() for c in (new, rows, first, last)), strict=True):
+        most = apart[level[a], grams[a], grams2[lo:hi]].max()
+        while lo < hi:
+            wide = min(hi - lo, AT_ONCE)
+            own = [w[lo : lo + wide] for w in words2]
+            high = max(1, AT_ONCE // wide)
+            for cut in range(a, a + n, high):
+                hits = np.flatnonzero(_bits_apart([w[cut : min(cut + high, a + n), None] for w in words], own) <= most)
+                if len(hits):
+                    x, y = np.divmod(hits, wide)
+                    yield near(x + cut, y + lo)
+            lo += wide
+    count = np.repeat(np.where(large, 0, last - first), rows)
+    first = np.repeat(first, rows)
+    ends, cut = np.cumsum(count), 0
+    while cut < len(key):
+        base = ends[cut - 1] if cut else 0
+        end = max(cut + 1, int(np.searchsorted(ends, base + AT_ONCE, "right")))
+        c = count[cut:end]
+        yield near(np.repeat(np.arange(cut, end), c), np.repeat(first[cut:end] - (np.cumsum(c) - c), c) + np.arange(c.sum()))
+        cut = end
+
+
 def paired(rows: DataFrame, at: Bounds, least: float) -> DataFrame:
     """Distinct ``a, b``: records that share a rare run and may reach the likeness."""
 
@@ -371,23 +456,12 @@ def paired(rows: DataFrame, at: Bounds, least: float) -> DataFrame:
             sides = [_read(pieces, 3, s, KEPT) for s in (0, 1)]
             if not all(sides):
                 continue
-            (unit, rec, number, bins, sketch), (unit2, rec2, number2, bins2, sketch2) = ([c[order] for c in cols] for cols in sides for order in [np.argsort(cols[0], kind="stable")])
-            first = np.searchsorted(unit2, unit, "left")
-            count = np.searchsorted(unit2, unit, "right") - first
-            ends = np.cumsum(count)
-            cut, held, some = 0, [], 0
-            while cut < len(unit):
-                base = ends[cut - 1] if cut else 0
-                end = max(cut + 1, int(np.searchsorted(ends, base + 500_000, "right")))
-                c = count[cut:end]
-                x, y = np.repeat(np.arange(cut, end), c), np.repeat(first[cut:end] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-                cut = end
+            (unit, rec, number, grams, sketch), (unit2, rec2, number2, grams2, sketch2) = ([c[order] for c in cols] for cols in sides for order in [np.lexsort((cols[3], cols[0]))])
+            words, words2 = ([np.ascontiguousarray(w) for w in np.ascontiguousarray(k).view(np.uint32).T] for k in (sketch, sketch2))
+            held, some = [], 0
+            for x, y in _met((rec & np.uint64(1)).astype(np.int64), unit, grams, words, unit2, grams2, words2, least):
                 a, b = number[x], number2[y]
                 fit = np.minimum(a[:, 1], b[:, 1]) >= _coverage(rec[x]) * np.maximum(a[:, 0], b[:, 0]) - 1e-6
-                x, y, a, b = x[fit], y[fit], a[fit], b[fit]
-                agree = BINS - np.bitwise_count(sketch[x] ^ sketch2[y]).sum(1, dtype=np.int64)
-                sample = np.minimum(bins[x], bins2[y])
-                fit = agree / BINS >= (1 + least) / 2 - SPREAD * 0.5 * np.sqrt((1 - least**2) / sample)
                 held.append(np.stack([rec[x[fit]] >> np.uint64(1), rec2[y[fit]] >> np.uint64(1)], 1).astype(np.int64))
                 some += len(held[-1])
                 if some > 1_000_000:
