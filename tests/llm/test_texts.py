@@ -278,3 +278,9 @@ def test_p5_long_mailboxes_and_short_names():
 def test_p8_languages_without_sentence_ends(spark):
     for rows in ([("o mundo em que as da do",)], [("3. 4. 5.",), ("!",)], [("The end of it is here",), ("。",)]):
         assert sentences.learn(spark.createDataFrame(rows, "text string")) is not None
+
+
+def test_p5_letter_for_letter_texts_need_no_positions():
+    assert personal.legible("ｎａｍｅ：　Ａｎｎ") == ("name: Ann", None)
+    assert personal.legible("A​nn") == ("Ann", [0, 2, 3])
+    assert personal.legible("ﬁ​n") == ("fin", [0, 0, 2])  # as long as the text, but not letter for letter

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -57,7 +56,10 @@ def legible(text: str) -> tuple[str, list[int] | None]:
                 parts[last], parts[i] = unicodedata.normalize("NFC", parts[last] + ch), ""
             elif parts[i]:
                 last = i
-    return "".join(parts), [i for i, part in enumerate(parts) for _ in part]
+    form = "".join(parts)
+    if len(form) == len(text) and "" not in parts:
+        return form, None
+    return form, [i for i, part in enumerate(parts) for _ in part]
 
 
 #: Accents that a writer may leave out, letter for letter.
@@ -194,9 +196,9 @@ def judged_language(form: str) -> tuple[str, int]:
         if (kana + han + hangul) * 6 > len(form):
             return "ko" if hangul > kana + han else "ja" if kana * 8 > han or not kana and _JA_WORDS.search(form) else "zh", kana + han + hangul
     n = dict.fromkeys(STOP, 0)
-    for w, times in Counter(filter(_STOP_OF.__contains__, form.lower().split())).items():
+    for w in filter(_STOP_OF.__contains__, form.lower().split()):
         for one, words in _STOP_OF[w]:
-            n[one] += words * times
+            n[one] += words
     best = max(n, key=n.get)
     return best, n[best]
 

@@ -259,6 +259,8 @@ def general(form: str, small: str, lang: str, taken: bytearray) -> Iterator[tupl
         start = run.start()
         while start and "A" <= form[start - 1] <= "Z":
             start -= 1
+        if 0 not in taken[start : run.end()]:
+            continue
         for m in _CHECKED.finditer(form, start, run.end()):
             if 1 not in taken[m.start() : m.end()] and _is_checked(m[0]):
                 yield "number", *m.span()
