@@ -284,3 +284,13 @@ def test_p5_letter_for_letter_texts_need_no_positions():
     assert personal.legible("ｎａｍｅ：　Ａｎｎ") == ("name: Ann", None)
     assert personal.legible("A​nn") == ("Ann", [0, 2, 3])
     assert personal.legible("ﬁ​n") == ("fin", [0, 0, 2])  # as long as the text, but not letter for letter
+
+
+def test_p5_cues_are_sought_by_their_words():
+    for lang in personal.CUES:
+        assert not [c.cue.pattern for c in personal.grammar(lang) if c.cue.pattern.startswith(r"\s")], lang  # a blank is everywhere
+    for text in ("x seen by y", "xseen by y   seen by seen by  seen by z", "\n\n\n\nseen by  \t\u3000 seen by ", ", seen by   ,seen by", "seen by "):
+        for least, most in ((1, 3), (0, 2)):
+            assert list(personal._led(re.compile(r"seen by\s{1,3}"), least, most, text)) == [m.start() for m in re.finditer(rf"\s{{{least},{most}}}seen by\s{{1,3}}", text)], (text, least)
+    hits = personal._index("en").able("ask for ann, holder of a passport")
+    assert [(a, b) for a, b, _ in hits[1]] == [(4, 7), (25, 33)] and {personal.grammar("en")[k].word for k in hits[0]} == {"holder", "passport"}

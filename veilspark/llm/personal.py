@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from operator import itemgetter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.lookalike import CYRILLIC, GREEK, HYPHENS
-from veilspark.llm.phrasing import Index, alternatives, general, word_of
+from veilspark.llm.phrasing import Index, alternatives, general, in_bytes, phrase_words, word_of
 from veilspark.llm.surrogates import Surrogates
 from veilspark.session import spread
 
@@ -41,21 +42,34 @@ class _Forms(dict):
 
 _FORMS = _Forms()
 _MARKS = re.compile("[\u0300-\u036f\u3099\u309a]")
+#: Characters that may have another form: not those that most texts are made of.
+_ODD = re.compile("[^\n -~À-ÖØ-öø-ÿ、。ぁ-ゖァ-ヺー一-鿿가-힣]")
 _HIDDEN = re.compile("[\u00ad\u0370-\u052f\u061c\u180e\u200b-\u200f\u2010\u2011\u202a-\u202e\u2060-\u206f\ufeff]")
 
 
 def legible(text: str) -> tuple[str, list[int] | None]:
     """The text in one form, and the stored position of each of its characters (None: the same)."""
-    if text.isascii() or (unicodedata.is_normalized("NFKC", text) and not _HIDDEN.search(text)):
+    if text.isascii() or (unicodedata.is_normalized("NFKC", text) and not ("\u00ad" in text if in_bytes(text) is not None else _HIDDEN.search(text))):
         return text, None
+    odd = set(_ODD.findall(text))
+    if not _MARKS.search("".join(odd)):
+        if all(len(_FORMS[ch]) == 1 for ch in odd):
+            return _ODD.sub(lambda m: _FORMS[m[0]], text), None
+        parts, at, last = [], [], 0
+        for m in _ODD.finditer(text):
+            i, form = m.start(), _FORMS[m[0]]
+            parts += [text[last:i], form]
+            at += range(last, i)
+            at += [i] * len(form)
+            last = i + 1
+        return "".join([*parts, text[last:]]), [*at, *range(last, len(text))]
     parts = [_FORMS[ch] for ch in text]
-    if _MARKS.search(text):
-        last = -1
-        for i, ch in enumerate(text):
-            if _MARKS.match(ch) and last >= 0:
-                parts[last], parts[i] = unicodedata.normalize("NFC", parts[last] + ch), ""
-            elif parts[i]:
-                last = i
+    last = -1
+    for i, ch in enumerate(text):
+        if _MARKS.match(ch) and last >= 0:
+            parts[last], parts[i] = unicodedata.normalize("NFC", parts[last] + ch), ""
+        elif parts[i]:
+            last = i
     form = "".join(parts)
     if len(form) == len(text) and "" not in parts:
         return form, None
@@ -67,19 +81,34 @@ FOLD = str.maketrans({c: unicodedata.normalize("NFD", c)[0] for c in map(chr, ra
 
 
 _ACCENTED = re.compile("[\u00c0-\u017e]")
-#: The same for texts that fit into a code page, byte by byte.
+#: The same for texts that fit into a code page, byte by byte; in the first 256 characters accents are where they are in the page.
 _PAGE = bytes(ord(base) if (base := chr(FOLD[ord(ch)]) if isinstance(FOLD.get(ord(ch)), int) else FOLD.get(ord(ch), "")) else b for b in range(256) for ch in [bytes([b]).decode("cp1252", "replace")])
 
 
+_BYTES = bytes(range(0xC0)) + _PAGE[0xC0:]
+
+
 def unaccented(form: str) -> str:
     if form.isascii():
         return form
+    if (page := in_bytes(form)) is not None:
+        return page.translate(_BYTES).decode("latin-1")
     try:
         return form.encode("cp1252").translate(_PAGE).decode("cp1252")
     except UnicodeError:
         return _ACCENTED.sub(lambda m: FOLD.get(ord(m[0]), m[0]), form)
 
 
+_LOWER = bytes(ord(chr(b).lower()) for b in range(256))
+
+
+def lowered(form: str) -> str:
+    """``form.lower()``, sooner where a byte a character suffices."""
+    if form.isascii() or (page := in_bytes(form)) is None:
+        return form.lower()
+    return page.translate(_LOWER).decode("latin-1")
+
+
 # ---- what a value looks like -------------------------------------------------------------------------------------
 
 UP = "A-ZÀ-ÖØ-ÞŒŠŽ"
@@ -97,7 +126,8 @@ CJK_NAME = {
 AT = r"(?:[ ]?@[ ]?|[ ]?[\[(][ ]?(?:at|arroba|chiocciola|AT)[ ]?[\])][ ]?)"
 DOT = r"(?:\.|[ ]?[\[(][ ]?(?:dot|punto|punkt|point|DOT)[ ]?[\])][ ]?)"
 EMAIL = re.compile(rf"(?<![\w.%+-])([\w%+-]+(?:{DOT}[\w%+-]+)*){AT}([a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?(?:{DOT}[a-zA-Z0-9-]+)+)", re.ASCII)
-_AT = re.compile(r"@|[\[(] ?(?:at|arroba|chiocciola) ?[\])]", re.IGNORECASE)
+_AT = re.compile(r"[@\[(](?:(?<=@)|(?<!@) ?(?i:at|arroba|chiocciola) ?[\])])")
+_BRACKET = re.compile(r"[\[\]()]")
 # Mailboxes of a role.
 ROLES = frozenset(
     "info contact contacto kontakt contatti contatto support soporte supporto assistenza atencion atención accueil office buero büro service servizio servicio admin sales ventas vendite help helpdesk hello hola mail post noreply no-reply postmaster webmaster press presse prensa stampa hr jobs billing rechnung reception empfang recepcion segreteria secretariat sekretariat enquiries inquiries anfrage".split()
@@ -177,7 +207,7 @@ STRONG = {
 }
 
 
-_HAN, _KANA, _HAN_ONLY, _HANGUL = (re.compile(f"[{r}]") for r in ("\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3", "\u3040-\u30ff", "\u4e00-\u9fff", "\uac00-\ud7a3"))
+_HAN, _KANA, _HAN_ONLY, _HANGUL = (re.compile(f"[{r}]+") for r in ("\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3", "\u3040-\u30ff", "\u4e00-\u9fff", "\uac00-\ud7a3"))
 
 
 #: Words of labels that Japanese alone writes this way, for texts without kana.
@@ -191,22 +221,26 @@ def language(form: str) -> str:
 
 def judged_language(form: str) -> tuple[str, int]:
     """The language, and how many of its common words speak for it; 0 if nothing does."""
-    if not form.isascii() and _HAN.search(form):
-        kana, han, hangul = (len(r.findall(form)) for r in (_KANA, _HAN_ONLY, _HANGUL))
+    if not form.isascii() and in_bytes(form) is None and _HAN.search(form):
+        kana, han, hangul = (sum(map(len, r.findall(form))) for r in (_KANA, _HAN_ONLY, _HANGUL))
         if (kana + han + hangul) * 6 > len(form):
             return "ko" if hangul > kana + han else "ja" if kana * 8 > han or not kana and _JA_WORDS.search(form) else "zh", kana + han + hangul
-    n = dict.fromkeys(STOP, 0)
-    for w in filter(_STOP_OF.__contains__, form.lower().split()):
-        for one, words in _STOP_OF[w]:
-            n[one] += words
-    best = max(n, key=n.get)
-    return best, n[best]
+    said = list(map(_SAYS.__getitem__, filter(_SAYS.__contains__, lowered(form).split())))
+    n = [0] * len(STOP)
+    for k in range(0, len(said), 500):  # so many words that no count needs more bits
+        part = sum(said[k : k + 500])
+        n = [had + (part >> at & 1023) for had, at in zip(n, _AT_BITS, strict=True)]
+    most = max(n)
+    return list(STOP)[n.index(most)], most
 
 
 _STOP_OF: dict[str, list[tuple[str, int]]] = {}
 for _one, _words in STOP.items():
     for _w in {*_words, *STRONG[_one]}:
         _STOP_OF.setdefault(_w, []).append((_one, 2 if _w in STRONG[_one] else 1))
+#: The same as one number a word, with ten bits for each language.
+_AT_BITS = range(0, 10 * len(STOP), 10)
+_SAYS = {w: sum(words << 10 * list(STOP).index(one) for one, words in said) for w, said in _STOP_OF.items()}
 
 #: Start of a sentence or a clause, in scripts without spaces between words.
 EDGE = r"(?:(?<=^)|(?<=[。!?\n,、:;」』”’\"'.!?…]))[ ]{0,2}"
@@ -260,13 +294,31 @@ CJK = {
 }
 
 
+_LEAD = re.compile(r"\\s\{(\d),(\d)\}(?=[^\\\[(.?*+{|]|\\\()")
+
+
+def _led(cue: re.Pattern, least: int, most: int, text: str) -> Iterator[int]:
+    """Where a cue begins with the blanks before it, of which there must be some number. Sought by the cue, as blanks are everywhere."""
+    at = floor = 0
+    while m := cue.search(text, at):
+        a = b = m.start()
+        while a > floor and b - a < most and text[a - 1].isspace():
+            a -= 1
+        if b - a < least:
+            at = b + 1
+        else:
+            yield a
+            at = floor = m.end()
+
+
 def _blank(cue: str) -> str:
     return cue.translate(FOLD).replace(" ?", "\x00").replace(" ", r"\s{1,3}").replace("\x00", r"\s{0,2}")
 
 
 class Cue(NamedTuple):
     """What a cue says of what follows it (``tail``) or, of kind ``after``, of what stands before it. A cue is sought in the text in small
-    letters, unless it is ``cased``; its tail is read from where it ends. ``edge`` are characters that may not stand before it."""
+    letters, unless it is ``cased``; its tail is read from where it ends. ``edge`` are characters that may not stand before it.
+    ``lead`` is the least and the most number of blanks before a cue ``after``, which aren't in its pattern."""
 
     what: str
     word: str
@@ -274,6 +326,14 @@ class Cue(NamedTuple):
     tail: re.Pattern | None = None
     edge: str = "\0"
     cased: bool = False
+    lead: tuple[int, int] = (0, 0)
+
+
+def _after(word: str, cue: re.Pattern) -> Cue:
+    """A cue of kind ``after``; its first blanks are counted apart."""
+    if m := _LEAD.match(cue.pattern):
+        return Cue("after", word, re.compile(cue.pattern[m.end() :]), lead=(int(m[1]), int(m[2])))
+    return Cue("after", word, cue)
 
 
 @cache
@@ -292,7 +352,7 @@ def grammar(lang: str) -> list[Cue]:
     sent = of(rf"\b[^.\n]{{3,}}?(?:{to})(?:{title})(?P<n>{LATIN_NAME}),\s{{1,3}}{street}")
     return [
         *(Cue("name", word, cue, named) for word, cue in [*c["before"], ("report", re.compile(r"report [\w./-]+ links "))]),
-        *(Cue("after", word, cue) for word, cue in c["after"]),
+        *(_after(word, cue) for word, cue in c["after"]),
         *(Cue("titled", word_of(t), re.compile(rf"{re.escape(t.capitalize())}\b\.?[ ]{{1,3}}"), called, "@.+-", True) for t in titles if len(t) > 1),
         *(Cue("name", word_of(one), re.compile(one), sent) for one in SEND[lang].translate(FOLD).lower().split("|")),
         *(Cue("address", word, cue, where) for word, cue in c["address"]),
@@ -304,7 +364,8 @@ def grammar(lang: str) -> list[Cue]:
 _NAME = re.compile(rf"(?P<n>{LATIN_NAME})", re.IGNORECASE)
 #: Where a name may begin: a capital, or the small letter of a prefix, that no word goes on with.
 _NAME_STARTS = re.compile(rf"(?<![\w@.+-])(?:[{UP}]|d['’])")
-
+#: A stretch without what no name has in it.
+_MAY_NAME = re.compile(r"[^\n\d_:;()\[\]{}!?\"„“”«»/@#&*+]*")
 
 _WORDS = re.compile(r"[^\s,]+")
 _FIRM = re.compile(r"(?:\b[A-Z]\.){2,}[ ]+|\b(?:Inc|Ltd|Coop|Corp)\.[ ]+")
@@ -315,6 +376,10 @@ _AROUND = {k: {w for part in ("before", "after") for w in re.findall(r"[a-z]{2,}
 
 def _untitled(form: str, start: int, end: int, titles: frozenset[str]) -> int:
     """Start of a name without the titles before it; one-letter titles are judged later, as they may be initials."""
+    if form[start] != "," and not form[start].isspace():  # mostly there is none
+        first = form[start:end].replace(",", " ").split(None, 1)[0]
+        if first.rstrip(".").lower() not in titles and first.lower() not in titles:
+            return start
     for m in _WORDS.finditer(form, start, end):
         if len(m[0].rstrip(".")) > 1 and m[0].rstrip(".").lower() in titles or m[0].lower() in titles and len(m[0]) > 2:
             continue
@@ -324,7 +389,7 @@ def _untitled(form: str, start: int, end: int, titles: frozenset[str]) -> int:
 
 @cache
 def _index(lang: str) -> Index:
-    return Index([one.word for one in grammar(lang)])
+    return Index([one.word for one in grammar(lang)], phrase_words(lang))
 
 
 @cache
@@ -339,7 +404,7 @@ def detect(form: str, lang: str | None = None) -> list[tuple[str, int, int]]:
     accented = form
     if titles:
         form = unaccented(form)
-    lower = form.lower()
+    lower = lowered(form)
     small = lower if len(lower) == len(form) else "".join(c.lower() if len(c.lower()) == 1 else c for c in form)
     out: dict[tuple[str, int], int] = {}
     names: dict[int, int] = {}
@@ -361,13 +426,15 @@ def detect(form: str, lang: str | None = None) -> list[tuple[str, int, int]]:
             names[start] = end
         return start
 
-    for k in _index(lang).able(small):
-        what, _, cue, tail, edge, cased = rules[k]
-        for m in cue.finditer(form if cased else small):
-            if what == "after":  # the name is what ends there
-                if m := _ending(form, m.start()):
+    able, hits = _index(lang).able(small)
+    for k in able:
+        what, _, cue, tail, edge, cased, lead = rules[k]
+        if what == "after":  # the name is what ends there
+            for at in _led(cue, *lead, small):
+                if m := _ending(form, at):
                     name(*m.span("n"))
-                continue
+            continue
+        for m in cue.finditer(form if cased else small):
             if tail is not None:
                 before = form[m.start() - 1] if m.start() else " "
                 if before.isalnum() or before == "_" or before in edge or not (m := tail.match(form, m.end())):
@@ -401,8 +468,12 @@ def detect(form: str, lang: str | None = None) -> list[tuple[str, int, int]]:
             names[starts[b]] = b
     # one-letter titles: an initial if the text has a person whose given name begins with it and whose surname follows
     if titles:
-        known = [form[a:b].casefold() for a, b in names.items()]
+        known = None
         for a, b in list(names.items()):
+            if form[a + 1 : a + 2] != ".":
+                continue
+            if known is None:
+                known = [form[a:b].casefold() for a, b in names.items()]
             first = _WORDS.match(form, a, b)
             if first and len(first[0]) == 2 and first[0][1] == "." and first[0][0].lower() in titles and b > first.end() + 1:
                 letter, rest = first[0][0].lower(), form[first.end() : b].casefold().replace("-", " ").split()
@@ -420,7 +491,7 @@ def detect(form: str, lang: str | None = None) -> list[tuple[str, int, int]]:
     taken = bytearray(len(form))
     for a, b in [*kept, *mails, *((a, b) for (_, a), b in out.items())]:
         taken[a:b] = b"\1" * (b - a)
-    for kind, a, b in general(accented, small, lang, taken):
+    for kind, a, b in general(accented, small, lang, taken, hits):
         if 1 not in taken[a:b]:
             taken[a:b] = b"\1" * (b - a)
             if kind == "person_name":
@@ -439,9 +510,10 @@ def detect(form: str, lang: str | None = None) -> list[tuple[str, int, int]]:
                     kept.append((at, end))
                     taken[at:end] = b"\1" * (end - at)
                 at = text.find(one, end)
-    return sorted([*(("person_name", a, b) for a, b in kept), *((k, a, b) for (k, a), b in out.items())], key=lambda x: (x[1], x[0]))
+    return sorted([*[("person_name", a, b) for a, b in kept], *[(k, a, b) for (k, a), b in out.items()]], key=_ORDER)
 
 
+_ORDER = itemgetter(1, 0)
 _DIGIT = re.compile(r"\d")
 _ARTICLE = re.compile(r"(?:the|der|dem|den|le|la|les|el|los|las|il|lo|the) ")
 _AND = re.compile(r" (?:and|und|et|y|e|with|mit|avec|con) [a-z]")
@@ -462,8 +534,12 @@ def _ending(form: str, at: int) -> re.Match | None:
     wide = 80
     while True:
         start = max(0, at - wide)
-        m = next((m for first in _NAME_STARTS.finditer(form, start, at) if (m := _NAME.fullmatch(form, first.start(), at))), None)
-        if not start or not m or m.start() > start + 40:
+        begin = at - _MAY_NAME.match(form[start:at][::-1]).end()
+        m = None
+        for first in _NAME_STARTS.finditer(form, begin, at):
+            if m := _NAME.fullmatch(form, first.start(), at):
+                break
+        if not start or begin > start or not m or m.start() > start + 40:
             return m
         wide *= 4
 
@@ -473,7 +549,14 @@ def _mail(form: str, hit: re.Match, least: int) -> re.Match | None:
     wide = 80
     while True:
         a, b = max(least, hit.start() - wide), min(len(form), hit.end() + wide)
-        m = next((m for m in EMAIL.finditer(form, a, b) if m.end() > hit.end()), None)
+        begin = form.rfind(" ", a, hit.start()) + 1
+        if begin <= a or begin == hit.start() or form[begin - 2] in "])" or hit[0] != "@" or _BRACKET.search(form, begin, hit.start()):
+            begin = a  # blanks may be part of the address
+        m = None
+        for one in EMAIL.finditer(form, begin, b):
+            if one.end() > hit.end():
+                m = one
+                break
         if a == least and b == len(form) or m and (a < m.start() or a == least) and (m.end() < b or b == len(form)) or not m and wide > 80 and not form[hit.start() - wide : hit.start()].strip():
             return m
         if not m and re.search(r"\s\S*\s", form[a : hit.start()]) and re.search(r"\s\S*\s", form[hit.end() : b]):
@@ -500,6 +583,18 @@ PLACE = {"person_name": "PERSON", "email": "EMAIL", "phone": "PHONE", "number":
 _TITLE = re.compile(r"([\w.]+)[ ]+$")
 
 
+def _title(before: str) -> str:
+    """The word that ends a stretch of text but for blanks after it."""
+    if before[-1:] not in (" ", "\n"):
+        return ""
+    last = before.rstrip(" ")
+    word = last[last.rfind(" ") + 1 :]
+    if word.replace(".", "a").isalpha():
+        return word
+    title = _TITLE.search(before)
+    return title[1] if title else ""
+
+
 def entities(text: str | None, key: str) -> tuple[list[tuple[str, int, int, str, str]], Surrogates | None]:
     """(finding type, start, end, value in its legible form, surrogate) of each value in the stored text, in order, and the surrogates
     of the text, which also number its entities (none without values). All mentions of an entity agree."""
@@ -510,8 +605,7 @@ def entities(text: str | None, key: str) -> tuple[list[tuple[str, int, int, str,
     people = [f for f in found if f[0] == "person_name"]
     for _, a, _, value in sorted(people, key=lambda f: f[1] - f[2]) if len(people) > 1 else people:  # the fullest mention of a person first
         if ("person_name", value) not in names.done:
-            title = _TITLE.search(text[max(0, a - 12) : a])
-            names.replace("person_name", value, title[1] if title else "")
+            names.replace("person_name", value, _title(text[max(0, a - 12) : a]))
     return [(k, a, b, value, names.replace(k, value)) for k, a, b, value in found], names
 
 
@@ -552,14 +646,15 @@ def found(tables: dict[str, DataFrame], key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [
-                (t, i, k, a)
-                for t, i, text in zip(b.column("table_name").to_pylist(), b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True)
-                for k, a, z, _, new in entities(text, key)[0]
-                if new != text[a:z]
-            ]
-            kept = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == 3 else pa.string()) for n, c in enumerate(kept)], ["table_name", "id", "finding_type", "start_pos"])
+            rows, kinds, at = [], [], []
+            for n, text in enumerate(b.column("text").to_pylist()):
+                for k, a, z, _, new in entities(text, key)[0]:
+                    if new != text[a:z]:
+                        rows.append(n)
+                        kinds.append(k)
+                        at.append(a)
+            rows = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("table_name").take(rows), b.column("id").take(rows), pa.array(kinds, pa.string()), pa.array(at, pa.int32())], ["table_name", "id", "finding_type", "start_pos"])
 
     whole = _stacked(tables).where("id IS NOT NULL AND text IS NOT NULL")
     return whole.mapInArrow(run, "table_name string, id string, finding_type string, start_pos int").distinct()

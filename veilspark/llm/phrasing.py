@@ -155,9 +155,17 @@ def alternatives(cues: str) -> list[tuple[str, str]]:
     return out
 
 
+def in_bytes(text: str) -> bytes | None:
+    """The text with a byte for each character, if all are in the first 256."""
+    try:
+        return text.encode("latin-1")
+    except UnicodeError:
+        return None
+
+
 @cache
 def _latin(lang: str) -> list[tuple[str, str, re.Pattern]]:
-    """(kind, text that must be there, pattern) of every phrase of a language."""
+    """(kind, text that must be there, in small letters without accents, pattern) of every phrase of a language."""
     w = WORDS[lang]
     polite = r"(?:(?i:mr|mrs|ms|dr|prof|herr|frau|monsieur|madame|señor|señora|signor|signora|sr|sra|sig|m|mme)\.?[ ]+)*"
     name = _NAME.replace("{", "{{").replace("}", "}}")
@@ -170,13 +178,13 @@ def _latin(lang: str) -> list[tuple[str, str, re.Pattern]]:
         "call": ("phone", r"\b(?i:{})\b(?:\.[ ]?(?=[\d+(])|[^\n\d+(.!?]{{0,24}})(?P<v>\(?\+?\d[\d ().\-/]{{6,18}}\d)(?![\w/]|\.\d|-\w)"),
         "paper": ("number", r"(?<!\w)(?i:{})(?:[ ](?i:is|ist|est|es|è|é|number|nummer))?[ ]?[:#]?[ ]{{0,2}}(?P<v>(?=(?:[^\n,;]{{0,10}}\d){{4}})[A-Z0-9](?:[ ./-]?[A-Z0-9]){{4,33}})(?!\w)"),
     }
-    out = [(kind, plain, re.compile(shape.format(one))) for field, (kind, shape) in shapes.items() for plain, one in alternatives(w[field])]
+    out = [(kind, folded(plain), re.compile(shape.format(one))) for field, (kind, shape) in shapes.items() for plain, one in alternatives(w[field])]
     street = re.compile(rf"(?P<v>{STREET[lang]}(?:,?[ ](?:[A-Z]{{0,2}}\d{{4,6}}|[{_UP}][\w'’-]+)(?:,?[ ][{_UP}0-9][\w'’-]*)*)?)")
-    return [*out, *(("postal_address", word, street) for word in STREET_WORDS[lang])]
+    return [*out, *(("postal_address", folded(word), street) for word in STREET_WORDS[lang])]
 
 
 #: Runs of digits and capitals in groups, of which a number may be a part; capitals may stand before.
-_GROUPS = re.compile(r"\d[\dA-Z -]{6,}[\dA-Z]")
+_GROUPS, _ASCII_GROUPS = (re.compile(rf"[{d}](?=[{d}A-Z -]{{6}})[{d}A-Z -]{{6,}}[{d}A-Z]") for d in (r"\d", "0-9"))
 _CHECKED = re.compile(r"(?<![\w-])(?:[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{3}-\d{2}-\d{4}|\d{6}-[1-8]\d{6}|\d{17}[\dX]|\d{8}-?[A-Z]|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z])(?![\w-])")
 
 
@@ -213,49 +221,57 @@ def _office(text: str, at: int, desk: str) -> bool:
 
 
 class Index:
-    """Which patterns can match a text: those whose word is in it. One pass over the text finds the words of all patterns."""
+    """Which cues can match a text, those whose word is in it, and where words of phrases are. One pass over the text finds all words."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, cues: list[str], phrases: list[str]):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        self.always = [k for k, word in enumerate(words) if not word]
-        by: dict[str, list[int]] = {}
-        for k, word in enumerate(words):
-            if word:
-                by.setdefault(word, []).append(k)
+        self.always = [k for k, word in enumerate(cues) if not word]
+        by: dict[str, tuple[list[int], list[int]]] = {}
+        for n, words in enumerate((cues, phrases)):
+            for k, word in enumerate(words):
+                if word:
+                    by.setdefault(word, ([], []))[n].append(k)
         for word, rules in by.items():
-            self.automaton.add_word(word, (len(word), rules))
+            self.automaton.add_word(word, (len(word), *rules))
         if by:
             self.automaton.make_automaton()
 
-    def able(self, text: str) -> list[int]:
-        """The patterns whose word is in the text, in their order."""
-        found = set(self.always)
+    def able(self, text: str) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
+        """The cues whose word is in the text, in their order; the start, end and phrases of each word of a phrase."""
+        found, hits = set(self.always), []
         if len(self.automaton):
-            for _, (_, rules) in self.automaton.iter(text):
-                found.update(rules)
-        return sorted(found)
+            for last, (size, cues, phrases) in self.automaton.iter(text):
+                if cues:
+                    found.update(cues)
+                if phrases:
+                    hits.append((last + 1 - size, last + 1, phrases))
+        return sorted(found), hits
+
+
+def folded(plain: str) -> str:
+    """A text without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", plain) if not unicodedata.combining(c)) if not plain.isascii() else plain
 
 
 def word_of(plain: str) -> str:
     """The longest word of a stretch of plain text, without accents."""
-    folded = "".join(c for c in unicodedata.normalize("NFD", plain) if not unicodedata.combining(c)) if not plain.isascii() else plain
-    return max(reversed(re.findall(r"[^\W\d_]+", folded) or [""]), key=len)
+    return max(reversed(re.findall(r"[^\W\d_]+", folded(plain)) or [""]), key=len)
 
 
-@cache
-def _index(lang: str) -> Index:
-    return Index([word_of(plain) for _, plain, _ in _latin(lang)])
+def phrase_words(lang: str) -> list[str]:
+    """The word that must be in a text for each phrase of a language."""
+    return [word_of(plain) for _, plain, _ in _latin(lang)] if lang in WORDS else []
 
 
-def general(form: str, small: str, lang: str, taken: bytearray) -> Iterator[tuple[str, int, int]]:
+def general(form: str, small: str, lang: str, taken: bytearray, hits: list[tuple[int, int, list[int]]]) -> Iterator[tuple[str, int, int]]:
     """(finding type, start, end) of what the general layer finds; values may overlap what is known already.
 
     ``small`` is the text in small letters without accents, letter for letter. ``taken`` marks the known values; a phrase whose value,
-    next to it, is known isn't looked at again.
+    next to it, is known isn't looked at again. ``hits`` are the words of phrases in ``small`` as :meth:`Index.able` gives them.
     """
-    for run in _GROUPS.finditer(form):
+    for run in (_GROUPS if in_bytes(form) is None else _ASCII_GROUPS).finditer(form):
         start = run.start()
         while start and "A" <= form[start - 1] <= "Z":
             start -= 1
@@ -280,8 +296,7 @@ def general(form: str, small: str, lang: str, taken: bytearray) -> Iterator[tupl
         return
     todo: dict[tuple[int, int], int] = {}  # a pattern and the line that its word is in
     phrases = _latin(lang)
-    for last, (size, rules) in _index(lang).automaton.iter(small):
-        a, b = last + 1 - size, last + 1
+    for a, b, rules in hits:
         if (b == len(small) or not small[b].isalnum()) and (not a or not small[a - 1].isalnum() or lang == "de"):
             before, behind = 1 in taken[max(0, a - 3) : a], 1 in taken[b : b + 4]
             start = small.rfind("\n", 0, a) + 1
@@ -289,10 +304,12 @@ def general(form: str, small: str, lang: str, taken: bytearray) -> Iterator[tupl
                 if not (before if phrases[k][0] == "person_name" else behind):
                     todo[k, start] = a
     for (k, start), at in todo.items():
-        kind, _, rule = phrases[k]
+        kind, plain, rule = phrases[k]
         # a phrase and its value stand on one line, or the name under a closing on the next
         end = small.find("\n", at)
         end = len(small) if end < 0 else end if kind != "person_name" else (small.find("\n", end + 1) + 1 or len(small) + 1) - 1
+        if small.find(plain, start, end) < 0:  # its word was another's
+            continue
         for m in rule.finditer(form, start, end):
             a, b = m.span("v")
             if kind == "person_name" and _FIRM.match(form[b : b + 14]):

@@ -52,6 +52,7 @@ _KANA, _HAN, _HANGUL = re.compile("[ァ-ヴー]"), re.compile("[一-鿿々]"), r
 _OTHER = re.compile("[^0-9A-Za-z]+")
 _COUNTRY = re.compile(r"[\s(]*\+\s?\d{2}|[\s(]*00\s?\d{2}")
 _PARTS = re.compile(r"[^\s,・\-‐‑]+")
+_WORD, _POST = re.compile(r"[^\W\d_]+"), re.compile(r"(?<!\d)\d{4,6}(?!\d)")
 
 
 @lru_cache(1 << 16)
@@ -126,6 +127,7 @@ _CHECKS = {
 }
 
 
+_SMALL, _LARGE, _TEN = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 26**10
 _PLACES = frozenset(map(bare, PLACES["latin"]))
 
 
@@ -152,7 +154,7 @@ class Surrogates:
     # ---- who is who ----
 
     def script(self, value: str) -> str:
-        if max(value, default="") < "\u1100":
+        if value.isascii() or max(value) < "\u1100":
             return "latin"
         if _HANGUL.search(value):
             return "ko"
@@ -167,7 +169,7 @@ class Surrogates:
         return kept
 
     def _split(self, value: str) -> list[tuple[str, str, str]]:
-        if value and max(value) < "\u02b0" and not {",", "-", "\n", "\t"} & set(value) and "  " not in value and value[0] != " " != value[-1]:  # words and single blanks
+        if value and (value.isascii() or max(value) < "\u02b0") and "," not in value and "-" not in value and "\n" not in value and "\t" not in value and "  " not in value and value[0] != " " != value[-1]:  # words and single blanks
             return self._words(value.split(" "))
         kind = self.script(value)
         if kind != "latin":
@@ -289,15 +291,18 @@ class Surrogates:
     def _name(self, form: str, title: str) -> str:
         roles = self.split(form)
         kind = self.script(form)
-        female = any(r == "g" and (r, p) not in self.parts for r, p, _ in roles) and self._female(title, "".join(p for r, p, _ in roles if r == "g"), kind)
-        out = []
+        female, out = None, []
         for role, part, written in roles:
-            new = written
+            if role == "-":
+                out.append(written)
+                continue
             if role == "i":
                 new = "".join(self.initials[ord(b) - 65] if "A" <= (b := bare(c).upper()[:1] or c) <= "Z" else c for c in written)
-            elif role in ("g", "s"):
-                new = self._part(role, part, kind, female)
-            if role != "-" and len(written) > 1:
+            elif (new := self.parts.get((role, part))) is None:
+                if role == "g" and female is None:  # told by the name as a whole, where a part of it is new
+                    female = self._female(title, "".join([p for r, p, _ in roles if r == "g"]), kind)
+                new = self._part(role, part, kind, bool(female))
+            if len(written) > 1:
                 new = new.upper() if written.isupper() else new.lower() if written.islower() else new
             out.append(new)
         return "".join(out)
@@ -335,8 +340,26 @@ class Surrogates:
         kept = _COUNTRY.match(value) if value[:1] in "+(0 " else None
         start = kept.end() if kept else 0
         seed = draw(self.key, f"shape\x1f{value}\x1f{n}")
-        digits, letters, at = f"{seed:077d}", seed, 3
-        out = []
+        letters, at, out = seed, 3, []
+        if len(value) - start <= 40 and value.isascii():  # as below, for what one draw suffices for
+            some = left = 0
+            digits = ""
+            for ch in value[start:]:
+                if ch.isdigit():
+                    digits = digits or f"{seed:077d}"
+                    out.append(digits[at])
+                    at += 1
+                elif ch.isalpha():
+                    if not left:
+                        letters, some = divmod(letters, _TEN)
+                        left = 10
+                    left -= 1
+                    some, d = divmod(some, 26)
+                    out.append(_SMALL[d] if ch >= "a" else _LARGE[d])
+                else:
+                    out.append(ch)
+            return value[:start] + "".join(out)
+        digits = f"{seed:077d}"
         for ch in value[start:]:
             if "0" <= ch <= "9":
                 if at == 77:
@@ -402,16 +425,16 @@ class Surrogates:
     def _address(self, value: str, n: int) -> str:
         """An address of the same script: street and house number, and the unit, postcode and town that the old one has."""
         seed = draw(self.key, f"address\x1f{value}\x1f{n}")
-        d = [seed >> 32 * i & 0xFFFFFFFF for i in range(8)]
-        kind = {"kana": "ja"}.get(self.script(value), self.script(value))
-        kind = kind if kind == "latin" or self.lang not in ("ja", "zh", "ko") else self.lang
+        d = [seed >> 32 * i & 0xFFFFFFFF for i in range(6)]
+        kind = self.script(value)
+        kind = "ja" if kind == "kana" else kind if kind == "latin" or self.lang not in ("ja", "zh", "ko") else self.lang
         if kind == "latin" and self.lang in ("ja", "zh", "ko"):
             kind = self.lang
         pool = PLACES[kind]
-        old = {bare(w) for w in re.findall(r"[^\W\d_]+", value)}
+        old = {bare(w) for w in _WORD.findall(value)}
         words = (pool if old.isdisjoint(_PLACES) else [w for w in pool if bare(w) not in old]) if kind == "latin" else [w for w in pool if not set(w) & set(value)] or pool
         street, town = composed(words, d[0] % len(words) + len(words) * (n // 8), ""), words[d[1] % len(words)]
-        house, post = d[2] % 280 + 1, re.search(r"(?<!\d)\d{4,6}(?!\d)", value)
+        house, post = d[2] % 280 + 1, _POST.search(value)
         if kind == "ja":
             return f"{town}市{street}{d[3] % 9 + 1}丁目{d[4] % 40 + 1}番{house % 30 + 1}号"
         if kind == "zh":
@@ -420,7 +443,7 @@ class Surrogates:
             return f"{town}시 {street}로 {house}"
         types = [t for t in STREETS.get(self.lang, STREETS["en"]) if bare(t) not in old] or STREETS["en"]
         sort = types[d[3] % len(types)]
-        line = {"en": f"{house} {street} {sort}", "de": f"{street}{sort} {house}", "fr": f"{house} {sort} {street}"}.get(self.lang, f"{sort} {street}, {house}")
+        line = f"{house} {street} {sort}" if self.lang == "en" else f"{street}{sort} {house}" if self.lang == "de" else f"{house} {sort} {street}" if self.lang == "fr" else f"{sort} {street}, {house}"
         code = "".join(str(d[5] // 10**i % 10) for i in range(len(post[0]))) if post else ""
         tail = f"{town}, {code}" if self.lang == "en" and code else f"{code} {town}".strip()
         return f"{line}, {tail}" if "," in value or post else line
